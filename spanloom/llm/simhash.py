@@ -8,8 +8,9 @@ differing over all fingerprints) plus the probes they cost.
 
 Two uses:
 
-`link` (exact, distance up to 2): distinct fingerprints that a probe shows to have company are
-verified through ball centres. Fingerprints at distance 2 or less share a point at distance 1 or
+`link` (exact, distance up to 2): a probe also has to agree on one of t + 1 groups of the bits outside its
+partition, by the same principle, so chance agreements don't grow with the corpus. Distinct fingerprints
+that a probe shows to have company are verified through ball centres. Fingerprints at distance 2 or less share a point at distance 1 or
 less from each, and all members around one point are that close to each other; so linking each
 member to the smallest around the point gives every component exactly. A point has at most 65
 members, whatever the size of a group of copies, so no group is gathered and no pairs are emitted.
@@ -163,8 +164,9 @@ def closeness(both: np.ndarray, n: int) -> np.ndarray:
     return close
 
 
-def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
-    """Partitions of the 64 bits with their thresholds, for all pairs within distance."""
+def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], list[int], int]]:
+    """Probes for all pairs within distance: the bits of a partition, a group of the other bits that has to agree
+    as well, and the partition's threshold."""
     both, n = together(fps, BITS)
     close, share = closeness(both, n), np.diag(both) / max(1, n)
     differ = 2 * share * (1 - share)
@@ -184,7 +186,13 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
         at += len(layout)
         thresholds, cost = allocate(costs, gains, distance + 1)
         found.append((cost, list(zip(layout, thresholds))))
-    return min(found, key=lambda x: x[0])[1]
+    out = []
+    for group, t in min(found, key=lambda x: x[0])[1]:
+        rest = [b for b in range(BITS) if b not in group]
+        n_rest, parts = len(rest), distance + 1
+        inner = group_bits(close[np.ix_(rest, rest)], [n_rest // parts + (i < n_rest % parts) for i in range(parts)])
+        out += [(group, [rest[b] for b in part], t) for part in inner if t >= 0]
+    return out
 
 
 def mask(bits: list[int]) -> int:
@@ -200,15 +208,14 @@ def ball(bits: list[int], radius: int) -> list[int]:
     return [signed(x) for x in out]
 
 
-def accompanied(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFrame:
+def accompanied(fps: DataFrame, probes: list[tuple[list[int], list[int], int]]) -> DataFrame:
     """The distinct fingerprints for which a probe finds another one."""
-    used = [(i, bits, t) for i, (bits, t) in enumerate(partitions) if t >= 0]
-    value = lambda bits: F.col("fp").bitwiseAND(F.lit(mask(bits)))
-    index = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), value(bits).alias("value")) for i, bits, _ in used))).alias("k")).select("k.*").groupBy("i", "value").agg(F.count("*").alias("n"))
-    if all(t == 0 for *_, t in used):
+    value = lambda own, other: F.col("fp").bitwiseAND(F.lit(mask(own + other)))
+    index = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), value(a, b).alias("value")) for i, (a, b, _) in enumerate(probes)))).alias("k")).select("k.*").groupBy("i", "value").agg(F.count("*").alias("n"))
+    if all(t == 0 for *_, t in probes):
         index = index.where("n > 1")
-    probes = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), value(bits).bitwiseXOR(F.lit(x)).alias("value"), F.lit(int(x == 0)).alias("own")) for i, bits, t in used for x in ball(bits, t)))).alias("k")).select("fp", "k.*")
-    return probes.join(index, ["i", "value"]).where("n > own").select("fp").distinct()
+    asked = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), value(a, b).bitwiseXOR(F.lit(x)).alias("value"), F.lit(int(x == 0)).alias("own")) for i, (a, b, t) in enumerate(probes) for x in ball(a, t)))).alias("k")).select("fp", "k.*")
+    return asked.join(index, ["i", "value"]).where("n > own").select("fp").distinct()
 
 
 def link(spark: SparkSession, fps: DataFrame, distance: int = 2) -> DataFrame:
