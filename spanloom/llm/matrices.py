@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import table
 from spanloom.llm.packing import CAPACITY, cut_pieces
-from spanloom.llm.tokens import Encoder, tokenizer_path
+from spanloom.llm.tokens import encoder, tokenizer_path
 
 PAD, SHARD_DOCS = 0, 2000
 SCHEMA = "sequence_id long, n_tokens int, n_segments int, doc_ids array<{kind}>, pieces array<int>, starts array<long>, cumulative_lengths array<int>, input_ids binary, position_ids binary"
@@ -82,9 +82,9 @@ def matrices(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        encoder = Encoder(path)
+        known = encoder(path)
         for b in batches:
-            out = cut_pieces(b, encoder, capacity, True)
+            out = cut_pieces(b, known, capacity, True)
             out["doc_id"] = b.doc_id.iloc[out["at"]].array
             ids = [np.frombuffer(x, "<u4") for x in out.ids]
             out["ids"] = [x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else x.tobytes() for x in ids]  # half the shuffle

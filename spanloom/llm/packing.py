@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import Stash, table
-from spanloom.llm.tokens import Encoder, tokenizer_path
+from spanloom.llm.tokens import Encoder, encoder, tokenizer_path
 
 CAPACITY, SEPARATOR = 2048, 0
 STEP = 44  # bits of a rank
@@ -54,10 +54,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids binary" * with_ids
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, seen = Encoder(path), np.zeros(capacity + 1, np.int64)
+        known, seen = encoder(path), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for b in batches:
-            out = cut_pieces(b, encoder, capacity, with_ids)
+            out = cut_pieces(b, known, capacity, with_ids)
             out["place"] = out.groupby("length").cumcount() + seen[out.length.to_numpy(np.int64)]
             seen += np.bincount(out.length.to_numpy(np.int64), minlength=capacity + 1)
             out["part"], out["doc_id"] = part, b.doc_id.iloc[out["at"]].array

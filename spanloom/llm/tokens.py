@@ -10,10 +10,11 @@ least, are forgotten.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
-CACHE, SHORT = 600_000, 6
+CACHE, SHORT = 1_000_000, 6
 LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 #: The pre-tokenizer's pattern, restricted to lower-case Latin-1.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s{LETTERS}0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -27,6 +28,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process, so that it starts with the pieces it knows."""
+    return Encoder(path)
+
+
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids, as bytes."""
 
