@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer file, fast for repeated words.
 
-Ids come from the tokenizers library alone. A text of Latin-1 letters is cut where the tokenizer's
-own pre-tokenizer cuts it, and the ids of each piece are remembered; new pieces are encoded
-together, a blank between them, and told apart by the end-of-word tokens. Any other text goes to
+Ids come from the tokenizers library alone. A text of Latin-1 letters is cut at white space, and words at
+the places where the tokenizer's own pre-tokenizer cuts them; the ids of pieces and of short words are
+remembered. Any other text goes to
 the library whole. Memory is bounded: at CACHE entries the long pieces, which come up again the
 least, are forgotten.
 """
@@ -10,11 +10,12 @@ least, are forgotten.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-CACHE, SHORT = 1_000_000, 6
+CACHE, SHORT, WORD = 1_000_000, 6, 10
 LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 #: The pre-tokenizer's pattern, restricted to lower-case Latin-1.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s{LETTERS}0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -28,6 +29,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Known(dict[str, bytes]):
+    """Ids of pieces and short words; those of other words come from their pieces."""
+
+    def __init__(self, tokenizer):
+        self.encode = tokenizer.encode
+
+    def __missing__(self, word: str) -> bytes:
+        pieces = PIECES.findall(word)
+        if len(pieces) == 1:
+            ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            ids = b"".join([self[p] for p in pieces])
+            if len(word) > WORD:
+                return ids
+        if len(self) >= CACHE:
+            short = {p: i for p, i in self.items() if len(p) <= SHORT}
+            self.clear()
+            self.update(short if len(short) < CACHE // 2 else {})
+        self[word] = ids
+        return ids
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One for all tasks of a worker process, so that it starts with the pieces it knows."""
@@ -44,41 +67,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.known = Known(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache = {p: ids for p, ids in self.cache.items() if len(p) <= SHORT}
-            if len(self.cache) > CACHE // 2:
-                self.cache.clear()
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            got = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[got]) + 1
-            if len(stops) == len(part):
-                data = got.tobytes()
-                starts = [0, *(4 * stops[:-1]).tolist()]
-                self.cache.update(zip(part, [data[a:b] for a, b in zip(starts, (4 * stops).tolist())]))
-            else:  # a piece without an end-of-word token
-                self.cache.update((p, self.whole(p)) for p in part)
-
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            cut = [None if WHOLE.search(t) else PIECES.findall(t.lower()) for t in texts[at : at + 256]]
-            new = {p for pieces in cut if pieces for p in pieces}.difference(self.cache)
-            if new:
-                held = len(self.cache)
-                self.learn(list(new))
-                if len(self.cache) < held + len(new):  # some were forgotten meanwhile
-                    self.learn(list({p for pieces in cut if pieces for p in pieces}.difference(self.cache)))
-            get = self.cache.__getitem__
-            for text, pieces in zip(texts[at : at + 256], cut):
-                out.append(self.whole(text) if pieces is None else b"".join(map(get, pieces)))
-        return out
+        get = self.known.__getitem__
+        return [self.whole(t) if WHOLE.search(t) else b"".join(map(get, t.lower().split())) for t in texts]
