@@ -17,10 +17,13 @@ SYLLABLE, HANZI, LETTER = "[가-힣]", "[㐀-䶿一-鿿]", "[A-Za-z]"
 SPACES = "[\\s 　]+"
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
+def nfc(name: Column | str) -> Column:
     """Composed Unicode form; Spark has no function for it. Apply once, at ingest."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    def composed(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return F.pandas_udf(composed, "string")(name)
 
 
 def normalize(name: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanloom.operators.folds import fold_groups
+
 # Fixed values.
 ATTEMPTS = 3
 FAILS, FAIL_WINDOW, BLOCK = 5, 15 * 60 * 1000, 60 * 60 * 1000
@@ -85,14 +87,14 @@ LIMIT = "key string, ts long, outcome string, allowed boolean, blocked_until lon
 def limited(events: DataFrame) -> DataFrame:
     """events: key, ts (ms), outcome. Whether each attempt was let in. One key's attempts are folded in order."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[tuple]:
         state, out = (0, 0, 0), []
-        for key, ts, outcome in pdf.sort_values("ts", kind="stable")[["key", "ts", "outcome"]].itertuples(index=False):
-            state, allowed = step(state, ts, outcome)
-            out.append((key, ts, outcome, allowed, state[2]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LIMIT.split(", ")])
+        for r in rows:
+            state, allowed = step(state, r["ts"], r["outcome"])
+            out.append((r["key"], r["ts"], r["outcome"], allowed, state[2]))
+        return out
 
-    return events.groupBy("key").applyInPandas(fold, LIMIT)
+    return fold_groups(events.select("key", "ts", "outcome"), "key", ["ts"], fold, LIMIT)
 
 
 def limited_stream(events: DataFrame) -> DataFrame:
