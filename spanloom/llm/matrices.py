@@ -4,7 +4,7 @@ Documents become token ids and a separator; longer ones than a row are cut lossl
 Pieces are dealt to shards of bounded size by a hash; in each, pieces in decreasing length go to the
 bin with the least sufficient room, found in a segment tree over room sizes. A shard writes one row
 for each sequence: ids (padded with PAD), cumulative segment lengths and positions that start
-again at each segment.
+again at each segment. Both matrices are little-endian, 16 bits a value if the vocabulary fits, else 32.
 
 Defined cases: a null text is empty and makes a piece with the separator alone; repeated rows and
 null keys are packed as rows of their own; an empty table gives an empty result; columns other than
@@ -78,6 +78,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> list[l
 
 def matrices(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     path = path or tokenizer_path()
+    unit = "<u2" if encoder(path).tokenizer.get_vocab_size() <= 65536 else "<u4"
     shards = max(1, math.ceil(docs.count() / shard_docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -86,30 +87,34 @@ def matrices(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         for b in batches:
             out = cut_pieces(b, known, capacity, True)
             out["doc_id"] = b.doc_id.iloc[out["at"]].array
-            ids = [np.frombuffer(x, "<u4") for x in out.ids]
-            out["ids"] = [x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else x.tobytes() for x in ids]  # half the shuffle
+            out["ids"] = [np.frombuffer(x, "<u4").astype(unit).tobytes() for x in out.ids]
             yield out[["doc_id", "piece", "start", "length", "ids_crc32", "ids"]]
 
     made = docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, ids binary")
     dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    blank = np.full(capacity, PAD, unit).tobytes()
+    width = len(blank) // capacity
 
     def pack_shard(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["doc_id", "piece", "ids_crc32"], na_position="last", kind="stable", ignore_index=True)
-        shard, lengths, out = int(b.shard.iloc[0]), b.length.to_numpy(), []
+        shard, lengths, out = int(b.shard.iloc[0]), b.length.to_numpy(np.int64), []
+        keys = b.doc_id.astype(object).where(b.doc_id.notna(), None).tolist()
+        pieces, starts, ids = b.piece.tolist(), b.start.tolist(), b.ids.tolist()
         for k, inside in enumerate(best_fit_decreasing(lengths, capacity)):
             own = lengths[inside]
-            data = [np.frombuffer(b.ids[i], "<u2" if len(b.ids[i]) == 2 * n else "<u4").astype("<u4") for i, n in zip(inside, own)]
-            row = np.concatenate([*data, np.full(capacity - own.sum(), PAD, "<u4")]).astype("<u4")
-            positions = np.concatenate([*(np.arange(n) for n in own), np.zeros(capacity - own.sum(), int)]).astype("<u4")
-            keys = [None if pd.isna(x) else x for x in b.doc_id.iloc[inside]]
-            out.append((k * shards + shard, int(own.sum()), len(own), keys, b.piece.iloc[inside].tolist(), b.start.iloc[inside].tolist(), [0, *np.cumsum(own).tolist()], row.tobytes(), positions.tobytes()))
+            ends = np.cumsum(own)
+            total = int(ends[-1])
+            positions = np.zeros(capacity, unit)
+            positions[:total] = np.arange(total) - np.repeat(ends - own, own)
+            row = b"".join([ids[i] for i in inside]) + blank[: width * (capacity - total)]
+            out.append((k * shards + shard, total, len(own), [keys[i] for i in inside], [pieces[i] for i in inside], [starts[i] for i in inside], [0, *ends.tolist()], row, positions.tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return dealt.groupBy("shard").applyInPandas(pack_shard, SCHEMA.format(kind=kind))
 
 
 def write_matrices(docs: DataFrame, out: str, **settings) -> None:
-    """Parquet files of the packed rows; `input_ids` and `position_ids` are little-endian unsigned 32-bit."""
+    """Parquet files of the packed rows; see above for the binary columns."""
     matrices(docs, **settings).write.mode("overwrite").parquet(out)
 
 

@@ -19,8 +19,17 @@ CACHE, SHORT, WORD = 1_000_000, 6, 10
 LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 #: The pre-tokenizer's pattern, restricted to lower-case Latin-1.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s{LETTERS}0-9\xb2\xb3\xb9\xbc-\xbe]+")
-#: Beyond Latin-1, special tokens and the control characters that Python alone counts as space.
-WHOLE = re.compile("[^\x00-\xff]|[\x1c-\x1f]|<\\|")
+#: Control characters that Python alone counts as space.
+SEPARATORS = b"\x1c\x1d\x1e\x1f"
+
+
+def simple(text: str) -> bool:
+    """Only Latin-1, no special token and none of the separators."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text and len(data.translate(None, SEPARATORS)) == len(data)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,4 +83,4 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         get = self.known.__getitem__
-        return [self.whole(t) if WHOLE.search(t) else b"".join(map(get, t.lower().split())) for t in texts]
+        return [b"".join(map(get, t.lower().split())) if simple(t) else self.whole(t) for t in texts]
