@@ -33,6 +33,7 @@ from spanloom.llm.common import Stash, shared_dir, table
 
 LEAST_BYTES = 0
 RECORDS_A_FILE = 3000
+BROADCAST_PAYLOADS = 100_000
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
@@ -68,12 +69,16 @@ def record(kind: Column | str, own: Column, fields: list[tuple[str, Column | str
 
 def write_warc(spark: SparkSession, pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", body.alias("html")).withColumns({"row": F.monotonically_increasing_id(), "digest": base32_sha1(F.col("html").cast("binary"))})
-    rows = Stash(spark, "pages").put(rows)  # fixes the row numbers
+    rows = pages.select("page_id", "url", body.alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
+    if rows.groupBy("page_id", "digest").count().where("count > 1").limit(1).count():  # only then rows need numbers, written so that they stay
+        rows = Stash(spark, "pages").put(rows.withColumn("row", F.monotonically_increasing_id()))
+    else:
+        rows = rows.withColumn("row", F.lit(0).cast("long"))
     rank = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "row")
     shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max(rank).alias("holder"), F.count("*").alias("n")).where("n > 1").select("digest", "holder")
-    joined = rows.join(shared, "digest", "left")
-    revisit = F.coalesce(F.col("holder.row") != F.col("row"), F.lit(False)) & (F.octet_length("html") >= least_bytes)
+    shared = Stash(spark, "payloads").put(shared)  # known before the pages are joined, which then stay where they are
+    joined = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_PAYLOADS else shared, "digest", "left")
+    revisit = F.col("holder").isNotNull() & ~F.struct(F.col("page_id").alias("p"), F.col("row").alias("r")).eqNullSafe(F.struct(F.col("holder.page_id").alias("p"), F.col("holder.row").alias("r"))) & (F.octet_length("html") >= least_bytes)
     parts = joined.select(
         "page_id", "row", "html", F.concat(F.lit("sha1:"), "digest").alias("digest"), revisit.alias("revisit"),
         F.regexp_replace("url", r"[\r\n]", "%0A").alias("uri"), record_id("response").alias("own"), record_id("request").alias("asked"), record_id("metadata").alias("about"),
@@ -178,7 +183,8 @@ def archived(spark: SparkSession, pages: DataFrame, path: str | None = None, lea
     """Writes the archive, reads it back, and returns a row for each page from what it holds."""
     path = path or f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}.warc"
     write_warc(spark, pages, path, least_bytes)
-    seen = assemble(read_warc(spark, path), ("block",))
+    slim = read_warc(spark, path).withColumn("block", F.when(F.col("type") == "metadata", F.col("block"))).drop("headers")
+    seen = assemble(Stash(spark, "records").put(slim), ("block",))  # the files are parsed once
     kind = pages.schema["page_id"].dataType.simpleString()
     page = F.nullif(F.regexp_extract(F.col("metadata.block").cast("string"), r"(?m)^page-id: (-?\d+)\r?$", 1), F.lit("")).cast(kind)
     flat = seen.select("record_id", page.alias("page_id"), "type", "refers_to", "http_length", "payload_bytes", "payload_sha1", F.regexp_replace("payload_digest", "^sha1:", "").alias("said"))
