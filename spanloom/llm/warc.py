@@ -2,7 +2,7 @@
 
 Writing: each page makes a response or revisit record, a request and a metadata record, the last two
 concurrent to the first. Records are rows of text whose line separator is the record's closing blank
-lines, so Spark's own writer makes the files: they go to any store, and a lost task's files are
+lines, so Spark's own writer makes the files (each gzipped as a whole): they go to any store, and a lost task's files are
 written again. Of pages with equal payloads (of at least LEAST_BYTES), that with the largest page_id
 holds the payload; the others are revisit records that refer to it.
 
@@ -22,6 +22,7 @@ capture is in no transaction.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -99,7 +100,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, path: str, least_bytes: in
                      F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)))
     metadata = record("metadata", F.col("about"), [("WARC-Target-URI", F.col("uri")), ("WARC-Concurrent-To", F.col("own")), ("Content-Type", "application/warc-fields")],
                       F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))))
-    parts.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    parts.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes):
@@ -148,7 +149,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.content:
                 out = []
-                for headers, block in parse(content):
+                for headers, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                     out.append(one(headers, block))
                     if len(out) == 500:
                         yield pd.DataFrame(out, columns=names)
@@ -183,7 +184,7 @@ def archived(spark: SparkSession, pages: DataFrame, path: str | None = None, lea
     """Writes the archive, reads it back, and returns a row for each page from what it holds."""
     path = path or f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}.warc"
     write_warc(spark, pages, path, least_bytes)
-    slim = read_warc(spark, path).withColumn("block", F.when(F.col("type") == "metadata", F.col("block"))).drop("headers")
+    slim = read_warc(spark, path).withColumn("block", F.when(F.col("type") == "metadata", F.col("block"))).drop("headers", "target_uri", "date", "content_type")
     seen = assemble(Stash(spark, "records").put(slim), ("block",))  # the files are parsed once
     kind = pages.schema["page_id"].dataType.simpleString()
     page = F.nullif(F.regexp_extract(F.col("metadata.block").cast("string"), r"(?m)^page-id: (-?\d+)\r?$", 1), F.lit("")).cast(kind)
