@@ -141,8 +141,7 @@ def probabilities(weight: np.ndarray, share: np.ndarray, keep_share: float | Non
 def sampled(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
     """The sampled rows of docs, with its columns."""
     out = mixed(spark, docs, **settings).where("not sampled").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    return keyed.join(out, keyed.doc_id.eqNullSafe(out.gone_id) & (keyed["__hash"] == out.gone_hash), "left_anti").drop("__hash")
+    return docs.join(out, docs["doc_id"].eqNullSafe(out["gone_id"]) & (F.xxhash64(docs["text"]) == out["gone_hash"]), "left_anti")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

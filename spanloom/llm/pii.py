@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.common import table
@@ -434,13 +435,16 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            got = find([t or "" for t in b.text], w)
-            b["text"] = [t if t is None else masked(t, base + more) for t, (base, more) in zip(b.text, got)]
-            if "n_chars" in b:
-                b["n_chars"] = [n if t is None else len(t) for n, t in zip(b.n_chars, b.text)]
-            yield b
-
-    return docs.mapInPandas(rows, docs.schema)
+            names = b.schema.names
+            old = b.column(names.index("text")).to_pylist()
+            new = [t if t is None else masked(t, base + more) for t, (base, more) in zip(old, find([t or "" for t in old], w))]
+            changed = {"text": new}
+            if "n_chars" in names:
+                known = b.column(names.index("n_chars")).to_pylist()
+                changed["n_chars"] = [n if n is None or t is None else len(t) for n, t in zip(known, new)]
+            yield pa.RecordBatch.from_arrays([pa.array(changed[n], f.type) if n in changed else c for n, f, c in zip(names, b.schema, b.columns)], schema=b.schema)
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,9 +195,10 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            yield b[(net.score(features(b.text)) if net else np.full(len(b), 0.5)) >= KEEP_FROM]
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array((net.score(features(pd.Series(texts, dtype=object))) if net else np.full(len(texts), 0.5)) >= KEEP_FROM))
 
-    return docs.mapInPandas(rows, docs.schema)
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,14 +222,12 @@ def link(spark: SparkSession, fps: DataFrame, distance: int = 2) -> DataFrame:
     """fps: distinct column fp (signed 64-bit). Returns (node, root) for those with a neighbour within distance (0 to 2)."""
     if distance not in (0, 1, 2):
         raise ValueError("distance must be 0, 1 or 2")
+    if distance == 0:  # equal fingerprints are one row already
+        return components(spark, fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
     company = accompanied(fps, plan(fps, distance))
-    if distance == 2:
-        centres = ball(list(range(BITS)), 1)
-    elif distance == 1:  # the two ends of a flip share the point without that bit: the bit is named with it
+    if distance == 1:  # the two ends of a flip share the point without that bit: the bit is named with it
         return components(spark, _stars(company.select("fp", F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.col("fp").bitwiseAND(F.lit(signed(~(1 << b) & 0xFFFFFFFFFFFFFFFF))).alias("v")) for b in range(BITS)))).alias("c")), 1))
-    else:
-        return components(spark, fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    around = company.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(x)) for x in centres))).alias("c"))
+    around = company.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(x)) for x in ball(list(range(BITS)), 1)))).alias("c"))
     return components(spark, _stars(around, distance))
 
 
@@ -341,11 +339,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, similarity: float = SIMILAR
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = classes.groupBy("root").agg(F.min(rank).alias("best"))
     gone = classes.join(best, "root").where(~rank.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = keyed.join(gone, keyed.doc_id.eqNullSafe(gone.gone_id) & (keyed["__hash"] == gone.gone_hash), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")
     if classes.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__hash"])
-    return kept.drop("__hash")
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
