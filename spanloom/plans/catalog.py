@@ -35,8 +35,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- stand-ins
 
-KIND = F.when(F.col("l_returnflag") == "N", "printed").when(F.col("l_returnflag") == "R", "handwritten").otherwise("seal")
-CONFIDENCE = 1 - F.col("l_discount") * 3
 KIND_SQL = "case l_returnflag when 'N' then 'printed' when 'R' then 'handwritten' else 'seal' end"
 NEEDS_SQL = "(l_returnflag <> 'N' or 1 - l_discount * 3 < 0.75)"
 ROLE_SQL = "['" + "','".join(rules.ROLES) + "'][l_linenumber]"
@@ -44,7 +42,9 @@ ROLE_SQL = "['" + "','".join(rules.ROLES) + "'][l_linenumber]"
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.element_at(F.array(*map(F.lit, rules.ROLES)), F.col("l_linenumber"))
-    d = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.col("l_suppkey").alias("name"), KIND.alias("source_kind"), CONFIDENCE.alias("confidence"), role.alias("role"))
+    kind = F.when(F.col("l_returnflag") == "N", "printed").when(F.col("l_returnflag") == "R", "handwritten").otherwise("seal")
+    confidence = 1 - F.col("l_discount") * 3
+    d = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.col("l_suppkey").alias("name"), kind.alias("source_kind"), confidence.alias("confidence"), role.alias("role"))
     return d.withColumn("needs_human", rules.needs_human(F.col("source_kind"), F.col("confidence")))
 
 
