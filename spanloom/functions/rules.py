@@ -161,7 +161,7 @@ def classify(tag: Column, filename: Column, folder: Column, content: Column) ->
 
 def clean_lines(text: Column) -> Column:
     """Line feeds only, no blanks at line ends or around the text."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), r"[ \t]+(?=\n|$)", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), r"[ \t]+(?=\n|$)", ""), r"^\s+|\s+$", "")
 
 
 def clean_blocks(text: Column) -> Column:
@@ -228,7 +228,7 @@ def response_persons(text: Column, doc_type: Column) -> Column:
 
 def endpoints(setting: Column) -> Column:
     """'url|model,url|model' as structs; incomplete entries go."""
-    pairs = F.transform(F.split(setting, ","), lambda x: F.transform(F.split(x, r"\|"), F.trim))
+    pairs = F.transform(F.split(setting, ","), lambda x: F.transform(F.split(x, r"\|"), lambda v: F.trim(v)))
     whole = F.filter(pairs, lambda p: (F.size(p) >= 2) & (F.get(p, 0) != "") & (F.get(p, 1) != ""))
     return F.transform(whole, lambda p: F.struct(F.get(p, 0).alias("url"), F.get(p, 1).alias("model")))
 

@@ -30,7 +30,7 @@ def found_names(segment: Column) -> Column:
     """Korean names of a segment; Latin ones only if there are none."""
     korean = F.filter(F.transform(F.regexp_extract_all(segment, F.lit(f"({KOREAN})"), 1), names.normalize), lambda n: (F.length(n) >= 2) & ~n.isin(rules.KO_STOPWORDS))
     stop = rf"(?i){L}(?:{'|'.join(rules.LATIN_STOPWORDS)}){R}"
-    latin = F.filter(F.transform(F.regexp_extract_all(segment, F.lit(f"({LATIN})"), 1), F.trim), lambda n: ~n.rlike(stop))
+    latin = F.filter(F.transform(F.regexp_extract_all(segment, F.lit(f"({LATIN})"), 1), lambda v: F.trim(v)), lambda n: ~n.rlike(stop))
     return F.when(F.size(korean) > 0, korean).otherwise(latin)
 
 
@@ -59,7 +59,7 @@ def article_people(docs: DataFrame) -> DataFrame:
     cut = F.regexp_extract("text", rf"(?is)^(.+?)(?:{STOP})", 1)
     block = head.select("documentId", "sourcePage", F.when(cut != "", cut).otherwise(F.substring("text", 1, BLOCK)).alias("block"))
     domain = F.nullif(F.substring_index(F.regexp_extract("block", EMAIL, 0), "@", -1), F.lit(""))
-    lines = F.filter(F.transform(F.split("block", "\n+"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("block", "\n+"), lambda v: F.trim(v)), lambda x: x != "")
     each = block.select("documentId", "sourcePage", domain.alias("affiliation"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).alias("l", "line"))
     segments = F.filter(F.transform(F.split("line", SEPARATOR), rules.strip_markers), lambda s: s != "")
     signal = (F.size("segments") >= 2) | F.col("line").rlike(SEPARATOR) | F.col("line").rlike(r"(^|\s)[A-Z]\.?(\s|$)")
