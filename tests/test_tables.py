@@ -1,5 +1,6 @@
 import io
 import struct
+import time
 import zipfile
 import zlib
 from datetime import datetime
@@ -154,7 +155,9 @@ def test_limiter_stream(spark, tmp_path):
     spark.createDataFrame([("k", i * MINUTE, "fail") for i in range(6)], "key string, ts long, outcome string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, ts long, outcome string").parquet(str(tmp_path / "in"))
     q = queue.limited_stream(stream).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).start()  # timers keep it from ending by itself
-    q.processAllAvailable()
+    deadline = time.time() + 40
+    while time.time() < deadline and spark.sql("select * from limited").count() < 6:
+        time.sleep(0.5)
     q.stop()
     assert sorted((r.ts, r.allowed) for r in spark.sql("select * from limited").collect()) == [(i * MINUTE, i < 5) for i in range(6)]
 
