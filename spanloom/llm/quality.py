@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import fold, table
 
 FIT_POSITIVES, FIT_UNLABELLED = 6000, 12000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 60, 512, 3e-3, 1e-3, 20
+HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 200, 512, 3e-3, 1e-3, 20
 KEEP_FROM = 0.3
 MARKS = string.punctuation.encode()
 ENDS = re.compile(r"[^\w\s]+$", re.M)
