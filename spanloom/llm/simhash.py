@@ -16,11 +16,12 @@ member to the smallest around the point gives every component exactly. A point h
 members, whatever the size of a group of copies, so no group is gathered and no pairs are emitted.
 
 `near_classes` (the pipeline's stage; five-word shingles, similarity of 0.8 or more): 512-bit
-fingerprints of shingle sets, whose distance estimates the similarity to about 0.02. The bits are
+fingerprints of shingle sets, whose distance estimates the similarity to about 0.04. The bits are
 partitioned several times over; the same programme now picks which partitions to probe so that a
 pair at the limit shares one with the chance RECALL, at the fewest estimated candidates. Members of
-a shared value are linked to its smallest member and to one other and verified by distance: at most
-two links for each row and partition.
+a shared value are linked to its smallest member and to one other: at most two links for each row and
+partition. A distance UNSURE standard deviations from the limit decides a link; nearer to it the
+shingle sets themselves are compared, but only for pairs that the sure links leave in two classes.
 
 Defined cases: null text is empty; texts without words have fingerprint zero and link with each
 other; fewer words than a shingle make one shingle of all; repeated rows each get their row; a null
@@ -31,7 +32,7 @@ columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,8 @@ from spanloom.llm.components import components
 BITS, WIDE = 64, 512
 SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.97
 SEED = 42
+UNSURE = 3.0
+BROADCAST_TEXTS = 100_000
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -295,9 +298,9 @@ def wide_plan(prints: DataFrame, similarity: float) -> list[list[int]]:
 
 
 def near_links(prints: DataFrame, similarity: float, partitions: list[list[int]]) -> DataFrame:
-    """prints: (node, fp) distinct. Verified links (a, b)."""
+    """prints: (node, fp) distinct. Links (a, b) that may be close enough; sure where the distance alone tells."""
     limit = differing_share(similarity) * WIDE
-    limit += 1.5 * math.sqrt(limit * (1 - limit / WIDE))  # pairs at the limit itself scatter around it
+    spread = UNSURE * math.sqrt(limit * (1 - limit / WIDE))  # pairs at the limit itself scatter around it
     weights = [np.left_shift(1, np.arange(len(g), dtype=np.int64)) for g in partitions]
 
     def keys(batches):
@@ -314,7 +317,27 @@ def near_links(prints: DataFrame, similarity: float, partitions: list[list[int]]
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     word = lambda name, j: F.conv(F.substring(F.hex(f"fp_{name}"), 8 * j + 1, 8), 16, 10).cast("long")
     apart = reduce(lambda x, y: x + y, [F.bit_count(word("a", j).bitwiseXOR(word("b", j))) for j in range(WIDE // 32)])
-    return both.where(apart <= limit).select("a", "b")
+    return both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= limit + spread).select("a", "b", (F.col("apart") < limit - spread).alias("sure"))
+
+
+def confirmed(docs: DataFrame, holders: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are as similar as asked for. holders: (node, text_hash), a text of each node."""
+    wanted = holders.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    few = wanted.count() <= BROADCAST_TEXTS
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(wanted) if few else wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+
+    def rows(batches):
+        known = lru_cache(64)(lambda text: np.unique(shingle_hashes(text, SHINGLE)))
+        for b in batches:
+            close = []
+            for x, y in zip(b.text_a, b.text_b):
+                sx, sy = known(x), known(y)
+                common = len(np.intersect1d(sx, sy, assume_unique=True))
+                close.append(common >= similarity * (len(sx) + len(sy) - common))
+            yield b.loc[np.array(close, bool), ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(rows, "a long, b long")
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -326,10 +349,16 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(rows, f"doc_id {kind}, text_hash long, fp binary")
-    kept = Stash(spark, "wide").put(made.withColumn("node", F.xxhash64("fp")))
+    stash = Stash(spark, "wide")
+    kept = stash.put(made.withColumn("node", F.xxhash64("fp")))
     prints = kept.groupBy("node").agg(F.first("fp").alias("fp"))  # equal nodes have equal fingerprints
-    partitions = wide_plan(prints, similarity)
-    roots = components(spark, near_links(prints, similarity, partitions))
+    links = stash.put(near_links(prints, similarity, wide_plan(prints, similarity)))
+    sure = stash.put(components(spark, links.where("sure").select("a", "b")))
+    root = lambda name: sure.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    apart = links.where("not sure").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    holders = kept.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    more = confirmed(docs, holders, stash.put(apart), similarity)
+    roots = components(spark, more.unionByName(sure.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
@@ -337,9 +366,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, similarity: float = SIMILAR
     """One row of each class stays, that with the smallest doc_id (nulls last; of equal ones the smallest text hash)."""
     classes = Stash(spark, "classes").put(near_classes(spark, docs, similarity))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = classes.groupBy("root").agg(F.min(rank).alias("best"))
-    gone = classes.join(best, "root").where(~rank.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")
+    best = classes.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.doc_id").alias("kept_id"), F.col("best.text_hash").alias("kept_hash"))
+    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["kept_id"]) & (F.xxhash64(docs["text"]) == best["kept_hash"]), "left_semi")
     if classes.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
