@@ -9,7 +9,7 @@ never read. The class prior is estimated first, from a positive-versus-unlabelle
 scores on a held-back half (the smallest ratio of unlabelled to positive mass above a threshold).
 
 Only the fit is bounded (FIT_POSITIVES and FIT_UNLABELLED rows, chosen by a hash of the key);
-every text is scored whole.
+every text is scored whole. Of rows with one key the smallest text is learnt from.
 
 Defined cases: a null text counts as empty; an empty text gets the score of its (zero) statistics;
 repeated rows are each scored; null keys are scored, and are in the held-out fold that crc32 of the
@@ -147,7 +147,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Fits on at most FIT_POSITIVES positives outside the held-out fold and FIT_UNLABELLED texts without a label."""
     d = docs.select("doc_id", "text")
-    keyed = labels.select("doc_id", "quality")
+    keyed = labels.select("doc_id", "quality").where("quality is not null")
     chosen = (
         keyed.where((F.col("quality") == 1) & (fold(F.col("doc_id")) != 0)).select("doc_id").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_POSITIVES).withColumn("positive", F.lit(True))
@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
         for b in batches:
             yield pd.DataFrame({"positive": b.positive, "x": list(features(b.text))})
 
-    got = d.join(F.broadcast(ids), "doc_id").select("text", "positive").mapInPandas(rows, "positive boolean, x array<double>").toPandas()
+    picked = d.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("positive").alias("positive"))
+    got = picked.select("text", "positive").mapInPandas(rows, "positive boolean, x array<double>").toPandas()
     x = np.array(got.x.tolist(), np.float64).reshape(-1, WIDTH)
     order = np.lexsort(x.T)  # the rows come in any order
     x, positive = x[order], got.positive.to_numpy(bool)[order]
