@@ -35,6 +35,7 @@ from spanloom.llm.common import Stash, shared_dir, table
 LEAST_BYTES = 0
 RECORDS_A_FILE = 3000
 BROADCAST_PAYLOADS = 100_000
+SALTS = 32
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
@@ -191,11 +192,16 @@ def archived(spark: SparkSession, pages: DataFrame, path: str | None = None, lea
     flat = seen.select("record_id", page.alias("page_id"), "type", "refers_to", "http_length", "payload_bytes", "payload_sha1", F.regexp_replace("payload_digest", "^sha1:", "").alias("said"))
     flat = Stash(spark, "captures").put(flat)
     holders = flat.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("holder_page"), F.col("payload_bytes").alias("holder_bytes"), F.col("payload_sha1").alias("holder_sha1"))
-    wanted = flat.where("type = 'revisit'").select("refers_to").distinct()  # few of the responses are revisited
-    full = flat.join(holders.join(wanted, "refers_to", "left_semi"), "refers_to", "left")
-    return full.select(
-        "page_id", F.coalesce("payload_bytes", "holder_bytes").alias("payload_bytes"), F.coalesce("payload_sha1", "holder_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.col("holder_page").alias("refers_to")
-    )
+    revisits = flat.where("type = 'revisit'")  # responses need no holder and stay where they are
+    wanted = holders.join(revisits.select("refers_to").distinct(), "refers_to", "left_semi")
+    wanted = Stash(spark, "holders").put(wanted)  # few of the responses are revisited
+    if wanted.count() <= BROADCAST_PAYLOADS:
+        full = revisits.join(F.broadcast(wanted), "refers_to", "left")
+    else:  # a payload may have a third of all rows: its holder is dealt to SALTS tasks
+        salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        full = revisits.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(salted, ["refers_to", "salt"], "left")
+    own = flat.where("type = 'response'").select("page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast(kind).alias("refers_to"))
+    return own.unionByName(full.select("page_id", F.col("holder_bytes").alias("payload_bytes"), F.col("holder_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.col("holder_page").alias("refers_to")))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,7 +294,9 @@ def test_recover_retries(pdocs):
 # ---- archives
 
 
-def test_archive(spark):
+@pytest.mark.parametrize("most", [warc.BROADCAST_PAYLOADS, -1])
+def test_archive(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", most)
     pages = spark.createDataFrame([(1, "http://a/x", "aa"), (2, "http://a/y", "aa"), (5, "http://b", "aa"), (5, "http://b", "aa"), (None, "http://c", "aa"), (None, None, "zz"), (7, "u\r\nv", None), (8, "http://e/ö?q", "x\r\n\r\nWARC/1.1\r\n\r\n"), (9, "http://e", "")], "page_id long, url string, html string").withColumn("digest", F.lit(1))
     got = {(r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in warc.archived(spark, pages).collect()}
     assert got == {(1, "revisit", 2, 5), (2, "revisit", 2, 5), (5, "response", 2, None), (5, "revisit", 2, 5), (None, "revisit", 2, 5), (None, "response", 2, None), (7, "revisit", 0, 9), (9, "response", 0, None), (8, "response", 17, None)}
