@@ -17,6 +17,7 @@ row that row is its own next; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import math
 import re
@@ -32,7 +33,7 @@ from spanloom.llm.common import table
 
 CELLS, FACTOR, HASHES = 18, 4, 3
 LONG, WORDS_MOST = 160, 64
-BUCKET_DOCS = 4000
+BUCKET_DOCS, MOST_BUCKETS, CUT_ROWS = 4000, 20_000, 20
 SENTENCE = re.compile(r"\n+|(?<=[.!?])[ \t]+")
 
 
@@ -184,15 +185,31 @@ def compare(keys: list, texts: list[str], cells: int) -> pd.DataFrame:
     }, columns=COLUMNS)
 
 
+def bucket_cuts(d: DataFrame) -> list[tuple[int, int, int]]:
+    """Ascending places (doc_id known, doc_id, hash of the text) that cut the rows into buckets of about one size, from a
+    sample, chosen by hash, of about CUT_ROWS rows a bucket. They only deal the rows: any cuts give the same result."""
+    n = d.count()
+    buckets = min(MOST_BUCKETS, math.ceil(n / BUCKET_DOCS))
+    if buckets < 2:
+        return []
+    tie = F.xxhash64("text")
+    drawn = d.where(F.pmod(F.xxhash64("doc_id", tie), F.lit(max(1, n // (buckets * CUT_ROWS)))) == 0).select("doc_id", tie.alias("tie")).distinct()
+    places = sorted((int(k is not None), int(k or 0), t) for k, t in drawn.collect())
+    return sorted({places[len(places) * i // buckets] for i in range(1, buckets)}) if places else []
+
+
 def ordered_with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """(bucket, last, doc_id, text): buckets of neighbouring doc_ids, descending, each with the row that follows it
     (last = 1) behind its own rows. One shuffle of the texts; only bucket bounds and first rows are looked up."""
     d = docs.select("doc_id", "text")
-    n = d.count()
-    buckets = max(1, math.ceil(n / BUCKET_DOCS))
-    cuts = sorted({int(x) for x in d.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets)}, reverse=True) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("doc_id") < c)) if cuts else F.lit(0)
-    rows = d.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(bucket).cast("int"))
+    cuts = bucket_cuts(d)
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series, tie: pd.Series) -> pd.Series:
+        places = ((0, 0, t) if pd.isna(k) else (1, int(k), t) for k, t in zip(key, tie))
+        return pd.Series([len(cuts) - bisect.bisect_right(cuts, p) for p in places], dtype="int32")
+
+    rows = d.withColumn("bucket", bucket(F.col("doc_id").cast("string"), F.xxhash64("text")) if cuts else F.lit(0))
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("tie"))
     heads = sorted(rows.groupBy("bucket").agg(F.max(place).alias("head")).collect())  # a row for each bucket
     follows = {head.bucket: heads[i - 1].bucket for i, head in enumerate(heads)}  # the bucket before, and round to the last

@@ -271,7 +271,9 @@ def test_matrices_round_trip(spark, docs, pdocs):
 # ---- fingerprints
 
 
-def test_sketch_likeness_is_that_of_sets(spark, docs, pdocs):
+@pytest.mark.parametrize("bucket", [sketches.BUCKET_DOCS, 15])
+def test_sketch_likeness_is_that_of_sets(spark, docs, pdocs, monkeypatch, bucket):
+    monkeypatch.setattr(sketches, "BUCKET_DOCS", bucket)
     got = sketches.fingerprint_versions(docs).toPandas().sort_values("doc_id", ascending=False)
     texts = list(pdocs.sort_index(ascending=False).text)
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
@@ -285,6 +287,13 @@ def test_sketch_likeness_is_that_of_sets(spark, docs, pdocs):
     assert got.fingerprint.nunique() == len(set(texts))
 
 
+def test_buckets_do_not_show(spark, nasty, monkeypatch):
+    want = sorted(map(repr, sketches.fingerprint_versions(nasty).collect()))
+    monkeypatch.setattr(sketches, "BUCKET_DOCS", 2)
+    assert sketches.ordered_with_next(nasty)[1] > 3
+    assert sorted(map(repr, sketches.fingerprint_versions(nasty).collect())) == want
+
+
 def test_recover_retries(pdocs):
     a, b = " ".join(pdocs.text[:20]), " ".join(pdocs.text[15:40])
     da, db = set(sketches.digests(a).tolist()), set(sketches.digests(b).tolist())
