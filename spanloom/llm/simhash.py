@@ -22,6 +22,11 @@ pair at the limit shares one with the chance RECALL, at the fewest estimated can
 a shared value are linked to its smallest member and to one other: at most two links for each row and
 partition. A distance UNSURE standard deviations from the limit decides a link; nearer to it the
 shingle sets themselves are compared, but only for pairs that the sure links leave in two classes.
+These links are only a start, which makes one class of most copies. An exact join finds all that is left:
+shingles are put in one order, those common in a sample last; two sets as similar as asked for share one of
+their first shingles (`first_shingles`), early enough for the rest to suffice. Pairs of different classes
+that do so are compared shingle by shingle. A shared shingle costs the rows outside its largest class times
+all its rows; both are dealt over blocks, and none is dropped.
 
 Defined cases: null text is empty; texts without words have fingerprint zero and link with each
 other; fewer words than a shingle make one shingle of all; repeated rows each get their row; a null
@@ -48,6 +53,9 @@ SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.97
 SEED = 42
 UNSURE = 3.0
 BROADCAST_TEXTS = 100_000
+SAMPLED_TEXTS, MOST_COMMON = 20_000, 100_000  # what the order of shingles is taken from; any order is right
+BROADCAST_SHINGLES = 500_000
+BLOCK = 4000
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -80,8 +88,11 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 
 
 def wide_fingerprint(text: str | None, k: int = SHINGLE) -> bytes:
+    return wide_of(np.unique(shingle_hashes(text, k)))
+
+
+def wide_of(h: np.ndarray) -> bytes:
     """Of the set of shingles: each is spread to WIDE bits by a fixed mixing of its hash."""
-    h = np.unique(shingle_hashes(text, k))
     if not len(h):
         return bytes(WIDE // 8)
     spread = np.empty((len(h), WIDE // 64), ">u8")
@@ -340,25 +351,78 @@ def confirmed(docs: DataFrame, holders: DataFrame, pairs: DataFrame, similarity:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(rows, "a long, b long")
 
 
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in three or more texts of a sample, sorted, and their ranks by number of texts."""
+    parts = max(1, docs.count() // SAMPLED_TEXTS)
+    texts = docs.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(parts)) == 0).select("text").distinct()
+
+    def rows(batches):
+        for b in batches:
+            for t in b.text:
+                yield pd.DataFrame({"shingle": np.unique(shingle_hashes(t, SHINGLE)).view(np.int64)})
+
+    counts = texts.mapInPandas(rows, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toPandas()
+    counts = counts.sort_values("shingle")
+    return counts["shingle"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
+
+
+def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a set (signed hashes): as many of the first in the common order as leave too few to be similar without them."""
+    known, rank = common
+    order = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        order = np.where(known[at] == h, rank[at], 0)
+    return h[np.lexsort((h, order))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else h
+
+
+def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> DataFrame:
+    """sets: (node, root, size, first). All pairs (a, b) of different roots that may be similar enough, by their first shingles."""
+    stash = Stash(spark, "first")
+    placed = sets.select("node", "root", "size", F.posexplode("first").alias("pos", "shingle"))
+    mixed = stash.put(placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
+    few = mixed.count() <= BROADCAST_SHINGLES
+    shared = stash.put(placed.join(F.broadcast(mixed) if few else mixed, "shingle"))
+    by_root = shared.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    sizes = stash.put(by_root.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
+    sized = shared.join(F.broadcast(sizes) if few else sizes, "shingle")
+    named = lambda df, x: df.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "pos", "main")))
+    a = named(sized.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
+    b = named(sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "b")
+    left = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))  # the most that they have in common
+    may = (1 + similarity) * left >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6
+    once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
+    pairs = a.join(b, ["shingle", "block"]).where((F.col("root_a") != F.col("root_b")) & once & may)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, root): the class of every row."""
+    common = spark.sparkContext.broadcast(common_shingles(docs))
 
     def rows(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "text_hash": b.text_hash, "fp": [wide_fingerprint(t) for t in b.text]})
+            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in b.text]
+            first = [first_shingles(np.sort(h.view(np.int64)), common.value, similarity) for h in sets]
+            nodes = [signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets]
+            yield pd.DataFrame({"doc_id": b.doc_id, "text_hash": b.text_hash, "node": nodes, "fp": [wide_of(h) for h in sets], "size": [len(h) for h in sets], "first": first})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(rows, f"doc_id {kind}, text_hash long, fp binary")
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(rows, f"doc_id {kind}, text_hash long, node long, fp binary, size int, first array<long>")
     stash = Stash(spark, "wide")
-    kept = stash.put(made.withColumn("node", F.xxhash64("fp")))
-    prints = kept.groupBy("node").agg(F.first("fp").alias("fp"))  # equal nodes have equal fingerprints
+    kept = stash.put(made)  # equal sets are one node
+    prints = kept.groupBy("node").agg(F.first("fp").alias("fp"))
     links = stash.put(near_links(prints, similarity, wide_plan(prints, similarity)))
     sure = stash.put(components(spark, links.where("sure").select("a", "b")))
     root = lambda name: sure.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
     apart = links.where("not sure").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     holders = kept.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     more = confirmed(docs, holders, stash.put(apart), similarity)
-    roots = components(spark, more.unionByName(sure.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    linked = lambda pairs, known: stash.put(components(spark, pairs.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    roots = linked(more, sure)
+    sets = kept.groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"))
+    sets = stash.put(sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "first"))
+    roots = linked(confirmed(docs, holders, stash.put(exact_pairs(spark, sets, similarity)), similarity), roots)
     return kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 

@@ -424,6 +424,27 @@ def test_near_dedup_recall(spark):
     assert set(kept.doc_id) == set(p.doc_id.groupby(root.loc[p.doc_id].to_numpy()).min())
 
 
+def joined(spark, texts, pairs):
+    """Whether each pair of texts is in one class."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = simhash.near_classes(spark, docs).toPandas().set_index("doc_id").root
+    for a, b in pairs:
+        x, y = (set(simhash.shingle_hashes(texts[i], 5).tolist()) for i in (a, b))
+        assert len(x & y) / len(x | y) >= 0.8
+    return [root[a] == root[b] for a, b in pairs], root.nunique()
+
+
+@pytest.mark.parametrize("block", [50, 4000])
+def test_near_dedup_finds_all_pairs_of_a_template_family(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    core = [f"core{i}" for i in range(160)]
+    own = lambda i: [f"own{i}x{j}" for j in range(40)]  # noqa: E731  any two are at about 0.65
+    texts = [" ".join(core + own(i)) for i in range(600)]
+    texts += [" ".join(core + own(i)[:20] + [f"end{i}x{j}" for j in range(20)]) for i in range(300)]
+    got, classes = joined(spark, texts, [(i, 600 + i) for i in range(300)])
+    assert all(got) and classes == 600
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(5, 5), (None, 3)]
     got = dict(map(tuple, components(spark, spark.createDataFrame(edges, "a long, b long")).collect()))
