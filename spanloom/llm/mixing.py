@@ -9,10 +9,10 @@ as asked for), so the expected tokens have the target margins.
 A document's topic, where none is given, is the largest of TOPICS classes of its words (a hash of each
 distinct word of five letters or more); it stands for any classifier's label.
 
-Scale: one pass over the texts, whose output is written without them. Each margin keeps its
-MOST_CATEGORIES categories with the most tokens and pools the rest (their rows stay), so the raked table on
-the driver has a bound that doesn't grow with the corpus; counting is combined before its shuffle and the
-weights that are joined back are the cells of that table.
+Scale: one pass over the texts, whose output is written without them. All categories are raked, however
+many. Only cells that have tokens are held: up to DRIVER_CELLS on the driver, more as a table that takes one
+factor a category and step. Counting is combined before its shuffle. Weights are broadcast if they are few;
+else only those of the largest cells, so that no key of the join has most rows.
 
 Defined cases: null source, language or topic is a category of its own; null and empty texts count one
 token, so each document can be drawn; repeated rows with one key share their fate; null keys are drawn by
@@ -35,7 +35,8 @@ from spanloom.llm.common import Stash, table
 
 MARGINS = ("source", "lang", "topic")
 TOPICS, LETTERS = 8, 5
-MOST_CATEGORIES = 400
+DRIVER_CELLS = 200_000
+BROADCAST_CELLS = 20_000
 FLATTEN = 0.7
 ROUNDS, CLOSE = 200, 1e-10
 SEED = 2024
@@ -70,13 +71,17 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def rake(table_: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
     """Scales a table of non-negative counts until the sums along each axis are in proportion to its targets."""
-    x = table_ / max(table_.sum(), 1e-300)
+    return rake_cells(table_.ravel(), [c.ravel() for c in np.indices(table_.shape)], targets).reshape(table_.shape)
+
+
+def rake_cells(counts: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
+    """The same for the cells that are there; codes: each cell's category, by margin."""
+    x = counts / max(counts.sum(), 1e-300)
     for _ in range(ROUNDS):
         worst = 0.0
-        for axis, target in enumerate(targets):
-            sums = x.sum(axis=tuple(i for i in range(x.ndim) if i != axis))
-            factor = np.divide(target, sums, out=np.zeros_like(sums), where=sums > 0)
-            x = x * factor.reshape([-1 if i == axis else 1 for i in range(x.ndim)])
+        for code, target in zip(codes, targets):
+            sums = np.bincount(code, x, len(target))
+            x = x * np.divide(target, sums, out=np.zeros_like(sums), where=sums > 0)[code]
             worst = max(worst, float(np.abs(sums - target).max(initial=0)))
         if worst < CLOSE:
             break
@@ -96,34 +101,74 @@ def category(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
 
 
+def weights_on_driver(spark: SparkSession, cells: DataFrame, keys: list[str], given: list[Mapping[str, float] | None], keep_share: float | None) -> DataFrame:
+    """The cells, DRIVER_CELLS at most, with weight and probability."""
+    held = cells.toPandas().sort_values(keys, ignore_index=True)
+    axes = [pd.Categorical(held[k]) for k in keys]
+    codes, n = [a.codes.astype(np.int64) for a in axes], held.n.to_numpy(float)
+    wanted = [aims(np.bincount(c, n), list(a.categories), g) for c, a, g in zip(codes, axes, given)]
+    share = n / n.sum()
+    weight = rake_cells(n, codes, wanted) / share
+    chance = probabilities(weight, share, keep_share)
+    return spark.createDataFrame(list(zip(*(held[k] for k in keys), held.n.tolist(), weight.tolist(), chance.tolist())), [*keys, "n", "weight", "probability"])
+
+
+def weights_by_tables(spark: SparkSession, cells: DataFrame, keys: list[str], given: list[Mapping[str, float] | None], keep_share: float | None) -> DataFrame:
+    """The same, with grouped sums and joins in place of arrays."""
+    known, stash = Stash(spark, "aims"), Stash(spark, "rake")
+    total = float(cells.agg(F.sum("n")).first()[0])
+    wanted = []
+    for k, g in zip(keys, given):
+        own = cells.groupBy(k).agg((F.sum("n") / total).alias("own")).where("own > 0")
+        if g:
+            own = own.join(spark.createDataFrame([(c, float(v)) for c, v in g.items()], f"{k} string, given double"), k, "left").withColumn("want", F.coalesce("given", "own"))
+        else:
+            own = own.withColumn("want", F.col("own") ** FLATTEN)
+        own = known.put(own.select(k, "want"))
+        wanted.append(own.withColumn("want", F.col("want") / max(own.agg(F.sum("want")).first()[0], 1e-300)))
+    now = cells.withColumn("x", F.col("n") / total)
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for k, want in zip(keys, wanted):
+            step = stash.put(now.groupBy(k).agg(F.sum("x").alias("sum")).join(want, k).select(k, F.abs(F.col("sum") - F.col("want")).alias("off"), F.when(F.col("sum") > 0, F.col("want") / F.col("sum")).otherwise(0.0).alias("factor")))
+            size, off = step.agg(F.count("*"), F.max("off")).first()
+            worst = max(worst, off)
+            factors = step.select(k, "factor")
+            now = stash.put(now.join(F.broadcast(factors) if size <= BROADCAST_CELLS else factors, k).withColumn("x", F.col("x") * F.col("factor")).drop("factor"))
+            stash.drop_older()
+        if worst < CLOSE:
+            break
+    share = F.col("n") / total
+    now = now.withColumn("weight", F.col("x") / share)
+    least, most = now.agg(F.min(F.when(F.col("weight") > 0, F.col("weight"))), F.max("weight")).first()
+    low, high = 0.0, 1 / max(least, 1e-12)
+    for _ in range(20 if keep_share is not None else 0):  # as in probabilities, 31 places a pass
+        places = np.linspace(low, high, 33)
+        kept = now.agg(*(F.sum(F.least(F.lit(1.0), F.col("weight") * float(x)) * share) for x in places[1:-1])).first()
+        at = sum(k < keep_share for k in kept)
+        low, high = float(places[at]), float(places[at + 1])
+    chance = F.col("weight") / most if keep_share is None else F.least(F.lit(1.0), F.col("weight") * high)
+    return now.select(*keys, "n", "weight", chance.alias("probability"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep_share: float | None = None) -> DataFrame:
     """doc_id, text_hash, source, lang, topic, n_tokens, weight, probability and sampled of every row.
     targets: shares by margin and category. keep_share: expected share of tokens to keep, as far as probabilities allow."""
     stash = Stash(spark, "mixing")
-    rows = stash.put(counted(docs).withColumns({f"c_{m}": category(F.col(m)) for m in MARGINS}))
-    names = {}
-    for m in MARGINS:
-        top = rows.groupBy(f"c_{m}").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), f"c_{m}").limit(MOST_CATEGORIES)
-        names[m] = [r[0] for r in top.select(f"c_{m}").collect()]
-    held = rows.withColumns({f"c_{m}": F.when(F.col(f"c_{m}").isin(names[m]), F.col(f"c_{m}")).otherwise("rest") for m in MARGINS})
     keys = [f"c_{m}" for m in MARGINS]
-    cells = held.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).toPandas()  # bounded by the categories kept
-    if not len(cells):
+    rows = stash.put(counted(docs).withColumns({k: category(F.col(m)) for k, m in zip(keys, MARGINS)}))
+    cells = stash.put(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n")))
+    n_cells = cells.count()
+    if not n_cells:
         return rows.select("doc_id", "text_hash", *MARGINS, "n_tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"), F.lit(False).alias("sampled"))
-    axes = [pd.Categorical(cells[k]) for k in keys]
-    grid = np.zeros([len(a.categories) for a in axes])
-    np.add.at(grid, tuple(a.codes for a in axes), cells.n.to_numpy(float))
-    wanted = []
-    for i, (m, a) in enumerate(zip(MARGINS, axes)):
-        given = {"null" if k is None else f"={k}": v for k, v in (targets or {}).get(m, {}).items()}
-        wanted.append(aims(grid.sum(axis=tuple(j for j in range(grid.ndim) if j != i)), list(a.categories), given or None))
-    raked = rake(grid, wanted)
-    share = cells.n.to_numpy(float) / cells.n.sum()
-    weight = raked[tuple(a.codes for a in axes)] / share
-    cells["weight"], cells["probability"] = weight, probabilities(weight, share, keep_share)
-    weights = spark.createDataFrame(list(zip(*(cells[k].astype(str) for k in keys), cells.weight.tolist(), cells.probability.tolist())), [*keys, "weight", "probability"])
+    given = [{"null" if k is None else f"={k}": v for k, v in (targets or {}).get(m, {}).items()} or None for m in MARGINS]
+    weights = stash.put((weights_on_driver if n_cells <= DRIVER_CELLS else weights_by_tables)(spark, cells, keys, given, keep_share))
+    if n_cells <= BROADCAST_CELLS:
+        joined = rows.join(F.broadcast(weights.drop("n")), keys)
+    else:
+        largest = stash.put(weights.orderBy(F.desc("n"), *keys).limit(BROADCAST_CELLS).drop("n"))
+        joined = rows.join(F.broadcast(largest), keys).unionByName(rows.join(F.broadcast(largest), keys, "left_anti").join(weights.drop("n"), keys))
     drawn = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text_hash").cast("string"))), F.lit(SEED)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    joined = held.join(F.broadcast(weights) if len(cells) <= 20_000 else weights, keys)
     return joined.select("doc_id", "text_hash", *MARGINS, "n_tokens", "weight", "probability", (drawn < F.col("probability")).alias("sampled"))
 
 

@@ -473,3 +473,19 @@ def test_sample_meets_targets(spark):
     assert np.allclose(expected / expected.sum(), [0.2, 0.4, 0.2, 0.2], atol=1e-6)
     drawn = got[got.sampled].groupby("lang").n_tokens.sum()
     assert np.allclose(drawn / drawn.sum(), [0.2, 0.4, 0.2, 0.2], atol=0.05)
+
+
+@pytest.mark.parametrize("driver_cells, keep", [(200_000, None), (0, None), (0, 0.5)])
+def test_all_categories_are_raked(spark, monkeypatch, driver_cells, keep):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", driver_cells)
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 200_000 if driver_cells else 100)
+    rows = [(i, "some words of one topic " * (1 + (600 - i % 600) // 50), f"s{i % 600}", "en" if i % 7 else "de") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mixed(spark, docs, {"source": {"s599": 0.1, "s598": 0.002}}, keep).toPandas()
+    assert len(got) == 2400
+    weighted = (got.n_tokens * got.weight).groupby(got.source).sum() / got.n_tokens.sum()
+    own = got.n_tokens.groupby(got.source).sum() / got.n_tokens.sum()
+    whole = 0.102 + own.drop(["s599", "s598"]).sum()
+    assert np.allclose([weighted.s599, weighted.s598, weighted.s0, weighted.s450], [0.1 / whole, 0.002 / whole, own.s0 / whole, own.s450 / whole], atol=1e-8)
+    expected = (got.n_tokens * got.probability).sum() / got.n_tokens.sum()
+    assert got.probability.max() <= 1 and (abs(expected - 0.5) < 1e-6 if keep else got.probability.max() == 1)
