@@ -53,9 +53,10 @@ SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.97
 SEED = 42
 UNSURE = 3.0
 BROADCAST_TEXTS = 100_000
-SAMPLED_TEXTS, MOST_COMMON = 20_000, 100_000  # what the order of shingles is taken from; any order is right
+SAMPLED_TEXTS, MOST_COMMON = 5_000, 100_000  # what the order of shingles is taken from; any order is right
 BROADCAST_SHINGLES = 500_000
 BLOCK = 4000
+PIECE = 500
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -377,12 +378,13 @@ def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
 
 
 def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> DataFrame:
-    """sets: (node, root, size, first). All pairs (a, b) of different roots that may be similar enough, by their first shingles."""
+    """sets: (node, root, size, first), repeats allowed. All pairs (a, b) of different roots that may be similar enough,
+    by their first shingles."""
     stash = Stash(spark, "first")
     placed = sets.select("node", "root", "size", F.posexplode("first").alias("pos", "shingle"))
     mixed = stash.put(placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
     few = mixed.count() <= BROADCAST_SHINGLES
-    shared = stash.put(placed.join(F.broadcast(mixed) if few else mixed, "shingle"))
+    shared = stash.put(placed.join(F.broadcast(mixed) if few else mixed, "shingle").distinct())
     by_root = shared.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     sizes = stash.put(by_root.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
     sized = shared.join(F.broadcast(sizes) if few else sizes, "shingle")
@@ -393,7 +395,9 @@ def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> Data
     may = (1 + similarity) * left >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
     pairs = a.join(b, ["shingle", "block"]).where((F.col("root_a") != F.col("root_b")) & once & may)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    out = stash.put(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    stash.drop_older()
+    return out
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -402,10 +406,13 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
 
     def rows(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in b.text]
-            first = [first_shingles(np.sort(h.view(np.int64)), common.value, similarity) for h in sets]
-            nodes = [signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets]
-            yield pd.DataFrame({"doc_id": b.doc_id, "text_hash": b.text_hash, "node": nodes, "fp": [wide_of(h) for h in sets], "size": [len(h) for h in sets], "first": first})
+            for at in range(0, len(b), PIECE):
+                part, made = b.iloc[at : at + PIECE], []
+                for t in part.text:
+                    h = np.unique(shingle_hashes(t, SHINGLE))
+                    made.append((signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), wide_of(h), len(h), first_shingles(h.view(np.int64), common.value, similarity)))
+                node, fp, size, first = zip(*made)
+                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "text_hash": part.text_hash.to_numpy(), "node": node, "fp": fp, "size": size, "first": first})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(rows, f"doc_id {kind}, text_hash long, node long, fp binary, size int, first array<long>")
@@ -420,15 +427,17 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     more = confirmed(docs, holders, stash.put(apart), similarity)
     linked = lambda pairs, known: stash.put(components(spark, pairs.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     roots = linked(more, sure)
-    sets = kept.groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"))
-    sets = stash.put(sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "first"))
-    roots = linked(confirmed(docs, holders, stash.put(exact_pairs(spark, sets, similarity)), similarity), roots)
-    return kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    few = roots.count() <= BROADCAST_SHINGLES
+    sets = kept.join(F.broadcast(roots) if few else roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "first")
+    roots = linked(confirmed(docs, holders, exact_pairs(spark, sets, similarity), similarity), roots)
+    classes = stash.put(kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
+    stash.drop_older()
+    return classes
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class stays, that with the smallest doc_id (nulls last; of equal ones the smallest text hash)."""
-    classes = Stash(spark, "classes").put(near_classes(spark, docs, similarity))
+    classes = near_classes(spark, docs, similarity)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = classes.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.doc_id").alias("kept_id"), F.col("best.text_hash").alias("kept_hash"))
     kept = docs.join(best, docs["doc_id"].eqNullSafe(best["kept_id"]) & (F.xxhash64(docs["text"]) == best["kept_hash"]), "left_semi")
