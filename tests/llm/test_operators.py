@@ -445,6 +445,13 @@ def test_near_dedup_finds_all_pairs_of_a_template_family(spark, monkeypatch, blo
     assert all(got) and classes == 600
 
 
+def test_near_dedup_finds_short_pairs(spark):
+    words = [[f"w{i}x{j}" for j in range(9)] for i in range(300)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[:8]) for w in words]  # five and four shingles
+    got, classes = joined(spark, texts, [(i, 300 + i) for i in range(300)])
+    assert all(got) and classes == 300
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(5, 5), (None, 3)]
     got = dict(map(tuple, components(spark, spark.createDataFrame(edges, "a long, b long")).collect()))
