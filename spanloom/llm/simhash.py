@@ -41,6 +41,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -359,10 +360,10 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def rows(batches):
         for b in batches:
-            for t in b.text:
-                yield pd.DataFrame({"shingle": np.unique(shingle_hashes(t, SHINGLE)).view(np.int64)})
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64))], ["shingle"])
 
-    counts = texts.mapInPandas(rows, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toPandas()
+    counts = texts.mapInArrow(rows, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toPandas()
     counts = counts.sort_values("shingle")
     return counts["shingle"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
 
@@ -406,16 +407,17 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
 
     def rows(batches):
         for b in batches:
-            for at in range(0, len(b), PIECE):
-                part, made = b.iloc[at : at + PIECE], []
-                for t in part.text:
+            for at in range(0, b.num_rows, PIECE):
+                part, made = b.slice(at, PIECE), []
+                for t in part.column("text").to_pylist():
                     h = np.unique(shingle_hashes(t, SHINGLE))
                     made.append((signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), wide_of(h), len(h), first_shingles(h.view(np.int64), common.value, similarity)))
                 node, fp, size, first = zip(*made)
-                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "text_hash": part.text_hash.to_numpy(), "node": node, "fp": fp, "size": size, "first": first})
+                made = [pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *made], ["doc_id", "text_hash", "node", "fp", "size", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(rows, f"doc_id {kind}, text_hash long, node long, fp binary, size int, first array<long>")
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, f"doc_id {kind}, text_hash long, node long, fp binary, size int, first array<long>")
     stash = Stash(spark, "wide")
     kept = stash.put(made)  # equal sets are one node
     prints = kept.groupBy("node").agg(F.first("fp").alias("fp"))
