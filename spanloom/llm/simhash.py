@@ -318,9 +318,11 @@ def near_links(prints: DataFrame, similarity: float, partitions: list[list[int]]
 
     def keys(batches):
         for b in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(b.fp), np.uint8).reshape(len(b), -1), axis=1)
-            values = np.stack([(bits[:, g] @ w) * len(partitions) + i for i, (g, w) in enumerate(zip(partitions, weights))], axis=1)
-            yield pd.DataFrame({"node": b.node, "keys": list(values)})
+            for at in range(0, len(b), PIECE):
+                part = b.iloc[at : at + PIECE]
+                bits = np.unpackbits(np.frombuffer(b"".join(part.fp), np.uint8).reshape(len(part), -1), axis=1)
+                values = np.stack([(bits[:, g] @ w) * len(partitions) + i for i, (g, w) in enumerate(zip(partitions, weights))], axis=1)
+                yield pd.DataFrame({"node": part.node.to_numpy(), "keys": list(values)})
 
     keyed = prints.mapInPandas(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
