@@ -9,24 +9,24 @@ differing over all fingerprints) plus the probes they cost.
 Two uses:
 
 `link` (exact, distance up to 2): a probe also has to agree on one of t + 1 groups of the bits outside its
-partition, by the same principle, so chance agreements don't grow with the corpus. Distinct fingerprints
-that a probe shows to have company are verified through ball centres. Fingerprints at distance 2 or less share a point at distance 1 or
-less from each, and all members around one point are that close to each other; so linking each
-member to the smallest around the point gives every component exactly. A point has at most 65
-members, whatever the size of a group of copies, so no group is gathered and no pairs are emitted.
-
-`near_classes` (the pipeline's stage; five-word shingles, similarity of 0.8 or more): 512-bit
-fingerprints of shingle sets, whose distance estimates the similarity to about 0.04. The bits are
-partitioned several times over; the same programme now picks which partitions to probe so that a
-pair at the limit shares one with the chance RECALL, at the fewest estimated candidates. Members of
-a shared value are linked to its smallest member and to one other: at most two links for each row and
-partition. A distance UNSURE standard deviations from the limit decides a link; nearer to it the
-shingle sets themselves are compared, but only for pairs that the sure links leave in two classes.
-These links are only a start, which makes one class of most copies. An exact join finds all that is left:
-shingles are put in one order, those common in a sample last; two sets as similar as asked for share one of
-their first shingles (`first_shingles`), early enough for the rest to suffice. Pairs of different classes
-that do so are compared shingle by shingle. A shared shingle costs the rows outside its largest class times
-all its rows; both are dealt over blocks, and none is dropped.
+partition, by the same principle, so chance agreements don't grow with the corpus. Probes joined to the
+index give candidate pairs, verified bit by bit; components of these are the classes. A value that
+more than CROWD distinct fingerprints have would make too many pairs; those are linked around points instead:
+fingerprints at distance 2 or less share a point at distance 1 or less from each, a point has at most 65
+members, and linking each to the smallest around it gives the same components. So no group is gathered
+and a fingerprint makes a bounded number of pairs.
+
+`near_classes` (the pipeline's stage; five-word shingles, similarity of 0.8 or more, exact): 512-bit
+fingerprints of shingle sets, whose distance estimates the similarity to about 0.04. The programme picks
+thresholds at which a pair at the limit is probed with the chance PROBED. Members of a shared value are
+candidates with its smallest and largest member. Candidates near enough by distance are verified by their
+shingle sets: first each node with its nearest, then those that still stand in two classes.
+That makes one class of most copies, at a cost in proportion to the rows. An exact join then finds every
+pair that probing left out: shingles are put in one order, those common in a sample last; two
+sets as similar as asked for share one of their first shingles (`first_shingles`), early enough for the
+rest to suffice. Pairs of different classes that do so are verified alike. A shared shingle costs the rows
+outside its largest class times all its rows; common shingles are salted, pairs are dealt over blocks, and
+none is dropped. So every class is a component of the graph of all pairs at the limit or above.
 
 Defined cases: null text is empty; texts without words have fingerprint zero and link with each
 other; fewer words than a shingle make one shingle of all; repeated rows each get their row; a null
@@ -37,20 +37,21 @@ columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import math
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import Stash, table
 from spanloom.llm.components import components
 
 BITS, WIDE = 64, 512
-SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.97
+SIMILARITY, SHINGLE, PROBED = 0.8, 5, 0.65
+CROWD = 64
 SEED = 42
 UNSURE = 3.0
 BROADCAST_TEXTS = 100_000
@@ -224,14 +225,54 @@ def ball(bits: list[int], radius: int) -> list[int]:
     return [signed(x) for x in out]
 
 
+def keyed(fps: DataFrame, probes: list[tuple[list[int], list[int], int]]) -> DataFrame:
+    """The index: (fp, i, value), the bits that probe i looks at."""
+    return fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask(own + other))).alias("value")) for i, (own, other, _) in enumerate(probes)))).alias("k")).select("fp", "k.*")
+
+
+def asked(fps: DataFrame, probes: list[tuple[list[int], list[int], int]]) -> DataFrame:
+    """(fp, i, value, own): every value that a partner within the probe's threshold may have; own marks the fingerprint's own."""
+    return fps.select("fp", F.explode(F.array(*(
+        F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask(own + other))).bitwiseXOR(F.lit(x)).alias("value"), F.lit(int(x == 0)).alias("own"))
+        for i, (own, other, t) in enumerate(probes) for x in ball(own, t)
+    ))).alias("k")).select("fp", "k.*")
+
+
 def accompanied(fps: DataFrame, probes: list[tuple[list[int], list[int], int]]) -> DataFrame:
     """The distinct fingerprints for which a probe finds another one."""
-    value = lambda own, other: F.col("fp").bitwiseAND(F.lit(mask(own + other)))
-    index = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), value(a, b).alias("value")) for i, (a, b, _) in enumerate(probes)))).alias("k")).select("k.*").groupBy("i", "value").agg(F.count("*").alias("n"))
+    index = keyed(fps, probes).groupBy("i", "value").agg(F.count("*").alias("n"))
     if all(t == 0 for *_, t in probes):
         index = index.where("n > 1")
-    asked = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), value(a, b).bitwiseXOR(F.lit(x)).alias("value"), F.lit(int(x == 0)).alias("own")) for i, (a, b, t) in enumerate(probes) for x in ball(a, t)))).alias("k")).select("fp", "k.*")
-    return asked.join(index, ["i", "value"]).where("n > own").select("fp").distinct()
+    return asked(fps, probes).join(index, ["i", "value"]).where("n > own").select("fp").distinct()
+
+
+def probed_links(spark: SparkSession, fps: DataFrame, probes: list[tuple[list[int], list[int], int]], distance: int) -> DataFrame:
+    """Links (a, b) that join all fingerprints within distance. Candidates come from the probes and are verified bit by bit.
+    A value that more than CROWD fingerprints have would make too many pairs: what asks for it or has it is linked around
+    points instead, which finds the same components at 65 rows a fingerprint."""
+    company = Stash(spark, "company").put(accompanied(fps, probes))
+    index, wants = keyed(company, probes), asked(company, probes)
+    crowds = index.groupBy("i", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("i", "value")
+    crowds = Stash(spark, "crowds").put(crowds)
+    other = index.join(crowds, ["i", "value"], "left_anti").withColumnRenamed("fp", "b")
+    pairs = wants.withColumnRenamed("fp", "a").join(other, ["i", "value"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if not crowds.limit(1).count():
+        return pairs
+    crowded = wants.join(crowds, ["i", "value"], "left_semi").select("fp").unionByName(index.join(crowds, ["i", "value"], "left_semi").select("fp")).distinct()
+    return pairs.unionByName(around_points(crowded, distance))
+
+
+def around_points(fps: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) among distinct fingerprints: fingerprints within 2 share a point within 1 of each, those within 1 the
+    point without the bit that differs. A point has at most 65 members; each is linked to the smallest, if close enough."""
+    if distance == 1:
+        point = F.array(*(F.struct(F.lit(b).alias("b"), F.col("fp").bitwiseAND(F.lit(signed(~(1 << b) & 0xFFFFFFFFFFFFFFFF))).alias("v")) for b in range(BITS)))
+    else:
+        point = F.array(*(F.col("fp").bitwiseXOR(F.lit(x)) for x in ball(list(range(BITS)), 1)))
+    groups = fps.select("fp", F.explode(point).alias("c")).groupBy("c").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
+    pairs = groups.select(F.explode("members").alias("a"), F.array_min("members").alias("b"))
+    return pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).distinct()
 
 
 def link(spark: SparkSession, fps: DataFrame, distance: int = 2) -> DataFrame:
@@ -240,18 +281,7 @@ def link(spark: SparkSession, fps: DataFrame, distance: int = 2) -> DataFrame:
         raise ValueError("distance must be 0, 1 or 2")
     if distance == 0:  # equal fingerprints are one row already
         return components(spark, fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    company = accompanied(fps, plan(fps, distance))
-    if distance == 1:  # the two ends of a flip share the point without that bit: the bit is named with it
-        return components(spark, _stars(company.select("fp", F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.col("fp").bitwiseAND(F.lit(signed(~(1 << b) & 0xFFFFFFFFFFFFFFFF))).alias("v")) for b in range(BITS)))).alias("c")), 1))
-    around = company.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(x)) for x in ball(list(range(BITS)), 1)))).alias("c"))
-    return components(spark, _stars(around, distance))
-
-
-def _stars(around: DataFrame, distance: int) -> DataFrame:
-    """Members of a point, 65 at most, linked to its smallest and verified."""
-    groups = around.groupBy("c").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
-    pairs = groups.select(F.explode("members").alias("a"), F.array_min("members").alias("b"))
-    return pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).distinct()
+    return components(spark, probed_links(spark, fps, plan(fps, distance), distance))
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -288,75 +318,99 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_plan(prints: DataFrame, similarity: float) -> list[list[int]]:
-    """The partitions to probe. Their width follows the number of fingerprints, so that a value is shared by few by chance."""
+def wide_plan(prints: DataFrame, similarity: float) -> list[tuple[list[int], int]]:
+    """Partitions of the wide fingerprints and their thresholds (-1, 0 or 1): the least estimated rows and candidates at which a
+    pair at the limit is probed with the chance PROBED. Partitions don't overlap and hold bits that go together; their
+    width follows the number of fingerprints, so that a value is shared by few by chance."""
     both, n = together(prints, WIDE)
     close, share = closeness(both, n), np.diag(both) / max(1, n)
-    same = 1 - 2 * share * (1 - share)
-    width = max(10, math.ceil(math.log2(max(2, n))) + 4)
-    p = differing_share(similarity)
-    rng = np.random.default_rng(SEED)
-    groups: list[list[int]] = []
-    miss, units = 0.0, 1000
-    while miss > math.log(1 - RECALL) * 1.25:  # a quarter more than needed, for the programme to choose from
-        order = rng.permutation(WIDE)
-        # widths vary, so that the programme weighs a partition's chance against its candidates
-        sizes = [width + d for d in rng.integers(-1, 3, WIDE // width)]
-        groups += [[int(order[b]) for b in g] for g in group_bits(close[np.ix_(order, order)], sizes) if len(g) >= width - 1]
-        miss = sum(math.log1p(-((1 - p) ** len(g))) for g in groups)
-    costs = [{-1: 0.0, 0: n + float(n) * n * float(np.prod(same[g]))} for g in groups]
-    gains = [{-1: 0, 0: round(-units * math.log1p(-((1 - p) ** len(g))))} for g in groups]
-    chosen, _ = allocate(costs, gains, round(-units * math.log(1 - RECALL)))
-    return [g for g, t in zip(groups, chosen) if t == 0]
-
-
-def near_links(prints: DataFrame, similarity: float, partitions: list[list[int]]) -> DataFrame:
-    """prints: (node, fp) distinct. Links (a, b) that may be close enough; sure where the distance alone tells."""
+    differ = 2 * share * (1 - share)
+    width = min(48, max(10, math.ceil(math.log2(max(2, n))) + 4))
+    count = WIDE // width
+    groups = group_bits(close, [WIDE // count + (i < WIDE % count) for i in range(count)])
+    p, units, costs, gains = differing_share(similarity), 1000, [], []
+    for g in groups:
+        chance, at_random = odds_within(np.full(len(g), p), 1), odds_within(differ[g], 1)
+        balls = {0: 1, 1: 1 + len(g)}
+        costs.append({-1: 0.0} | {t: balls[t] * n + float(n) * n * float(at_random[t]) for t in balls})
+        gains.append({-1: 0} | {t: round(-units * math.log1p(-min(chance[t], 1 - 1e-9))) for t in balls})
+    need = min(round(-units * math.log(1 - PROBED)), sum(g[1] for g in gains))
+    chosen, _ = allocate(costs, gains, need)
+    return [(g, t) for g, t in zip(groups, chosen) if t >= 0]
+
+
+def near_links(prints: DataFrame, similarity: float, probes: list[tuple[list[int], int]]) -> DataFrame:
+    """prints: (node, fp) distinct. Candidates (a, b, apart) from the probes: each member of a shared value with the smallest
+    and the largest one, as far as the fingerprints' distance allows the similarity."""
     limit = differing_share(similarity) * WIDE
-    spread = UNSURE * math.sqrt(limit * (1 - limit / WIDE))  # pairs at the limit itself scatter around it
-    weights = [np.left_shift(1, np.arange(len(g), dtype=np.int64)) for g in partitions]
+    most = limit + UNSURE * math.sqrt(limit * (1 - limit / WIDE))  # pairs at the limit itself scatter around it
+    weights = [np.left_shift(1, np.arange(len(g), dtype=np.int64)) for g, _ in probes]
+    # threshold 1: partners agree in all bits but one, which is left out and named in the key
+    forms = [(i, w - w * (np.arange(len(w)) == b), b + 1) for i, ((_, t), w) in enumerate(zip(probes, weights)) for b in (range(len(w)) if t else [-1])]
 
     def keys(batches):
         for b in batches:
             for at in range(0, len(b), PIECE):
                 part = b.iloc[at : at + PIECE]
                 bits = np.unpackbits(np.frombuffer(b"".join(part.fp), np.uint8).reshape(len(part), -1), axis=1)
-                values = np.stack([(bits[:, g] @ w) * len(partitions) + i for i, (g, w) in enumerate(zip(partitions, weights))], axis=1)
-                yield pd.DataFrame({"node": part.node.to_numpy(), "keys": list(values)})
+                values = np.stack([(bits[:, probes[i][0]] @ w) * np.int64(64) + gone for i, w, gone in forms], axis=1).astype(np.uint64)
+                values = values * np.uint64(0x9E3779B97F4A7C15) ^ (np.array([i for i, *_ in forms], np.uint64) << np.uint64(56))
+                yield pd.DataFrame({"node": part.node.to_numpy(), "keys": list(values.view(np.int64))})
 
-    keyed = prints.mapInPandas(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    pairs = keyed.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    found = prints.mapInPandas(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    ends = found.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    pairs = found.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
     pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     side = lambda name: prints.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     word = lambda name, j: F.conv(F.substring(F.hex(f"fp_{name}"), 8 * j + 1, 8), 16, 10).cast("long")
     apart = reduce(lambda x, y: x + y, [F.bit_count(word("a", j).bitwiseXOR(word("b", j))) for j in range(WIDE // 32)])
-    return both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= limit + spread).select("a", "b", (F.col("apart") < limit - spread).alias("sure"))
-
-
-def confirmed(docs: DataFrame, holders: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are as similar as asked for. holders: (node, text_hash), a text of each node."""
-    wanted = holders.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    few = wanted.count() <= BROADCAST_TEXTS
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(wanted) if few else wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
-    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    return both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= most)
+
+
+def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are as similar as asked for. holders: (node, doc_id, text_hash), a row of each node.
+    A pair goes to the end that has more pairs (in chunks of BLOCK), so that a pair costs one text and a chunk another."""
+    stash = Stash(spark, "pairs")
+    pairs = stash.put(pairs.select("a", "b").distinct())
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    of = lambda x: degree.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b")
+    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    leaf = F.when(first, F.col("b")).otherwise(F.col("a"))
+    chunk = F.pmod(F.xxhash64(leaf), F.ceil(F.greatest("n_a", "n_b") / BLOCK)).cast("int")
+    sent = stash.put(sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), chunk.alias("chunk"), leaf.alias("node")))
+    both = sent.withColumn("kind", F.lit(1)).unionByName(sent.select("hub", "chunk", F.col("hub").alias("node"), F.lit(0).alias("kind")).distinct())
+    placed = stash.put(both.join(holders, "node").withColumnsRenamed({"doc_id": "at_id", "text_hash": "at_hash"}))
+    few = placed.count() <= BROADCAST_TEXTS
+    known = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = known.join(F.broadcast(placed) if few else placed, known["doc_id"].eqNullSafe(placed["at_id"]) & (known["text_hash"] == placed["at_hash"]))
+    dealt = texts.select("hub", "chunk", "kind", "node", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "kind")
 
     def rows(batches):
-        known = lru_cache(64)(lambda text: np.unique(shingle_hashes(text, SHINGLE)))
+        at, own = None, None
         for b in batches:
-            close = []
-            for x, y in zip(b.text_a, b.text_b):
-                sx, sy = known(x), known(y)
-                common = len(np.intersect1d(sx, sy, assume_unique=True))
-                close.append(common >= similarity * (len(sx) + len(sy) - common))
-            yield b.loc[np.array(close, bool), ["a", "b"]]
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(rows, "a long, b long")
+            hubs, nodes, out = [], [], []
+            for hub, chunk, kind, node, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
+                h = np.unique(shingle_hashes(text.as_py(), SHINGLE))
+                if kind == 0:
+                    at, own = (hub, chunk), h
+                    continue
+                if (hub, chunk) != at:
+                    raise ValueError("a chunk without its hub's text")
+                common = len(np.intersect1d(own, h, assume_unique=True))
+                if common >= similarity * (len(own) + len(h) - common):
+                    hubs.append(hub)
+                    nodes.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+
+    out = Stash(spark, "verified").put(dealt.mapInArrow(rows, "a long, b long").distinct())
+    stash.drop_older(0)
+    return out
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in three or more texts of a sample, sorted, and their ranks by number of texts."""
+    """Shingles in three or more texts of a sample, sorted, and in about how many rows of docs each is."""
     parts = max(1, docs.count() // SAMPLED_TEXTS)
     texts = docs.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(parts)) == 0).select("text").distinct()
 
@@ -367,27 +421,36 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     counts = texts.mapInArrow(rows, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toPandas()
     counts = counts.sort_values("shingle")
-    return counts["shingle"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
+    return counts["shingle"].to_numpy(np.int64), counts["count"].to_numpy(np.int64) * parts
 
 
-def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """Of a set (signed hashes): as many of the first in the common order as leave too few to be similar without them."""
-    known, rank = common
-    order = np.zeros(len(h), np.int64)
+def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set (signed hashes): as many of the first in the common order as leave too few to be similar without them,
+    and in about how many rows each is (0: not common)."""
+    known, count = common
+    often = np.zeros(len(h), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        order = np.where(known[at] == h, rank[at], 0)
-    return h[np.lexsort((h, order))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else h
+        often = np.where(known[at] == h, count[at], 0)
+    if not len(h):
+        return h, often
+    first = np.lexsort((h, often))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+    return h[first], often[first]
 
 
 def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> DataFrame:
-    """sets: (node, root, size, first), repeats allowed. All pairs (a, b) of different roots that may be similar enough,
-    by their first shingles."""
+    """sets: (node, root, size, first, often), repeats allowed. All pairs (a, b) of different roots that may be similar enough,
+    by their first shingles. One shuffle of these, by shingle and, for common ones, a salt; what only one root has goes."""
     stash = Stash(spark, "first")
-    placed = sets.select("node", "root", "size", F.posexplode("first").alias("pos", "shingle"))
-    mixed = stash.put(placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
+    spots = F.arrays_zip("first", "often")
+    placed = sets.select("node", "root", "size", F.posexplode(spots).alias("pos", "s")).select("node", "root", "size", "pos", F.col("s.first").alias("shingle"), F.ceil(F.col("s.often") / BLOCK).cast("int").alias("salts"))
+    placed = placed.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("node"), F.col("salts"))).otherwise(0).cast("int"))
+    group = Window.partitionBy("shingle", "salt")  # about BLOCK rows: a third of all rows can only share a common shingle
+    held = placed.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where("low <> high or salts > 1")
+    held = stash.put(held.drop("low", "high", "salt"))
+    mixed = stash.put(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
     few = mixed.count() <= BROADCAST_SHINGLES
-    shared = stash.put(placed.join(F.broadcast(mixed) if few else mixed, "shingle").distinct())
+    shared = stash.put(held.join(F.broadcast(mixed) if few else mixed, "shingle").drop("salts").distinct())
     by_root = shared.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     sizes = stash.put(by_root.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
     sized = shared.join(F.broadcast(sizes) if few else sizes, "shingle")
@@ -398,8 +461,8 @@ def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> Data
     may = (1 + similarity) * left >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
     pairs = a.join(b, ["shingle", "block"]).where((F.col("root_a") != F.col("root_b")) & once & may)
-    out = stash.put(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-    stash.drop_older()
+    out = Stash(spark, "exact").put(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    stash.drop_older(0)
     return out
 
 
@@ -413,29 +476,33 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
                 part, made = b.slice(at, PIECE), []
                 for t in part.column("text").to_pylist():
                     h = np.unique(shingle_hashes(t, SHINGLE))
-                    made.append((signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), wide_of(h), len(h), first_shingles(h.view(np.int64), common.value, similarity)))
-                node, fp, size, first = zip(*made)
-                made = [pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *made], ["doc_id", "text_hash", "node", "fp", "size", "first"])
+                    made.append((signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), wide_of(h), len(h), *first_shingles(h.view(np.int64), common.value, similarity)))
+                node, fp, size, first, often = zip(*made)
+                made = [pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *made], ["doc_id", "text_hash", "node", "fp", "size", "first", "often"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, f"doc_id {kind}, text_hash long, node long, fp binary, size int, first array<long>")
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, f"doc_id {kind}, text_hash long, node long, fp binary, size int, first array<long>, often array<long>")
     stash = Stash(spark, "wide")
     kept = stash.put(made)  # equal sets are one node
-    prints = kept.groupBy("node").agg(F.first("fp").alias("fp"))
+    # the row that shows a node's text, and stands for it: the same one wherever the node is met
+    held = stash.put(kept.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("h")).select("node", "h.doc_id", "h.text_hash"))
+    prints = stash.put(kept.groupBy("node").agg(F.first("fp").alias("fp")))
     links = stash.put(near_links(prints, similarity, wide_plan(prints, similarity)))
-    sure = stash.put(components(spark, links.where("sure").select("a", "b")))
-    root = lambda name: sure.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    apart = links.where("not sure").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    holders = kept.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    more = confirmed(docs, holders, stash.put(apart), similarity)
-    linked = lambda pairs, known: stash.put(components(spark, pairs.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))))
-    roots = linked(more, sure)
+    union = lambda pairs, known: stash.put(components(spark, pairs.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    rooted = lambda df, roots, x: df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    apart = lambda pairs, roots: rooted(rooted(pairs, roots, "a"), roots, "b").where("root_a <> root_b").select("a", "b")
+    # first each node with its nearest candidate, then those whose ends are still apart
+    ends = links.select("a", "b", "apart").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    none = spark.createDataFrame([], "node long, root long")
+    roots = union(verified(spark, docs, held, nearest, similarity), none)
+    roots = union(verified(spark, docs, held, apart(links, roots), similarity), roots)
     few = roots.count() <= BROADCAST_SHINGLES
-    sets = kept.join(F.broadcast(roots) if few else roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "first")
-    roots = linked(confirmed(docs, holders, exact_pairs(spark, sets, similarity), similarity), roots)
-    classes = stash.put(kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
-    stash.drop_older()
+    sets = kept.join(F.broadcast(roots) if few else roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "first", "often")
+    roots = union(verified(spark, docs, held, exact_pairs(spark, sets, similarity), similarity), roots)
+    classes = Stash(spark, "classes").put(kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
+    stash.drop_older(0)
     return classes
 
 

@@ -353,8 +353,9 @@ def brute_roots(ids, fps, distance):
     return {d: best[find(i)] for i, d in enumerate(ids)}
 
 
-@pytest.mark.parametrize("distance", [0, 1, 2])
-def test_link_is_exact(spark, distance):
+@pytest.mark.parametrize("distance, crowd", [(0, 64), (1, 64), (2, 64), (1, 2), (2, 2)])
+def test_link_is_exact(spark, monkeypatch, distance, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(9)
     base = [int(x) for x in rng.integers(0, 2**63, 40)]
     fps = sorted({b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), replace=False)) for b in base for _ in range(8)} | {0, 1, 7})
@@ -393,35 +394,27 @@ def test_allocation_is_the_cheapest():
     assert abs(simhash.allocate(costs, gains, 3)[1] - brute) < 1e-12
 
 
-def test_near_dedup_recall(spark):
+def test_near_dedup_is_exact(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     root = simhash.near_classes(spark, docs).toPandas().set_index("doc_id").root
     p = docs.toPandas()
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in p.text]
-    seen = collections.defaultdict(list)
-    for i, s in enumerate(sets):
-        for x in s:
-            seen[x].append(i)
-    pairs = {(b, a) for v in seen.values() if len(v) < 100 for a in v for b in v if b < a}
-    close = [root[p.doc_id[a]] == root[p.doc_id[b]] for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
-    assert np.mean(close) > 0.97
-    brute = {i: i for i in range(len(sets))}
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in p.text]
+    brute = list(range(len(sets)))
 
     def top(i):
         while brute[i] != i:
             i = brute[i]
         return i
 
-    first = {}
-    same = [(first.setdefault(frozenset(s), i), i) for i, s in enumerate(sets)]
-    for a, b in [*same, *((a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)]:
-        brute[max(top(a), top(b))] = min(top(a), top(b))
-    held = collections.defaultdict(set)
-    for i, k in enumerate(p.doc_id):
-        held[root[k]].add(top(i))
-    assert [v for v in held.values() if len(v) > 1] == []  # no class joins texts that 0.8 keeps apart
+    for a, x in enumerate(sets):
+        for b in range(a):
+            y = sets[b]
+            if x == y or (x and y and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) / len(x | y) >= 0.8):
+                brute[max(top(a), top(b))] = min(top(a), top(b))
+    want = [top(i) for i in range(len(sets))]
+    assert len(set(zip(want, root[p.doc_id]))) == len(set(want)) == root.nunique() < len(p)
     kept = simhash.near_dedup(spark, docs).toPandas()
-    assert set(kept.doc_id) == set(p.doc_id.groupby(root.loc[p.doc_id].to_numpy()).min())
+    assert set(kept.doc_id) == set(p.doc_id.groupby(want).min())
 
 
 def joined(spark, texts, pairs):
