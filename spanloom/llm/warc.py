@@ -1,12 +1,15 @@
 """Operator 8: WARC archives, written from pages, read back and assembled into transactions.
 
 Writing: each page makes a response or revisit record, a request and a metadata record, the last two
-concurrent to the first. Records are rows of text whose line separator is the record's closing blank
-lines, so Spark's own writer makes the files (each gzipped as a whole): they go to any store, and a lost task's files are
-written again. Of pages with equal payloads (of at least LEAST_BYTES), that with the largest page_id
+concurrent to the first. Every record is a gzip member of its own, as readers of .warc.gz files that
+seek by offset need it. Spark's own writer makes the files, so they go to any store and a lost task's
+files are written again: members of records under SPLIT bytes end with a zero byte (the top of their
+length), which serves as the writer's line separator; a larger record has a file to itself. Files have
+about FILE_BYTES. Of pages with equal payloads (of at least LEAST_BYTES), that with the largest page_id
 holds the payload; the others are revisit records that refer to it.
 
-Reading: files are parsed by their Content-Length fields, wherever the payload has blank lines.
+Reading: a file is unpacked member by member and its records are cut by their Content-Length fields, wherever
+the payload has blank lines. Files without compression, or compressed as a whole, are read as well.
 
 Assembly: requests and metadata are joined to the capture that they name as concurrent, or that names
 them, or that a record they name is concurrent to; each capture becomes one nested row. All joins
@@ -14,101 +17,154 @@ are on record identifiers, which no two captures share.
 
 Defined cases: null html is an empty payload; a null url leaves out the target; pages with a null
 page_id are written and read back with a null one, and hold the payload only if no page with an id has
-it; of repeated rows one holds the payload and the others revisit it; an empty table makes an empty
-archive and result; columns other than page_id, url and html are not read. A record that names no
-capture is in no transaction.
+it; a page_id may come with several payloads; of repeated rows one holds the payload and the others
+revisit it; an empty table makes an empty archive and result; columns other than page_id, url and html
+are not read. A record that names no capture is in no transaction.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import Stash, shared_dir, table
 
 LEAST_BYTES = 0
-RECORDS_A_FILE = 3000
+FILE_BYTES, SPLIT = 64 << 20, 1 << 24
 BROADCAST_PAYLOADS = 100_000
 SALTS = 32
-END = "\r\n\r\n"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+EMPTY = 20  # bytes of a gzip member of nothing
+END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, payload_digest string, content_type string, headers map<string,string>, http_length long, payload_bytes long, payload_sha1 string, block binary"
 CAPTURES, COMPANIONS = ("response", "revisit", "resource"), ("request", "metadata")
+TARGET = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)(.*)", re.S)
 
 
-def base32_sha1(data: Column) -> Column:
-    """Twenty bits, five hex digits, make four letters."""
-    digits = F.sha1(data)
-    letters = []
-    for i in range(8):
-        n = F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(ALPHABET), F.shiftright(n, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
-    return F.concat(*letters)
+def base32(sha1_hex: str) -> str:
+    return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record_id(kind: str, row: Column | str = "row", page_id: Column | str = "page_id") -> Column:
-    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
-    h = F.md5(F.concat_ws("|", F.lit(kind), text(row), F.coalesce(text(page_id), F.lit("-"))).cast("binary"))
-    cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
+def record_id(kind: str, page_id: str | None, row: int, sha: str) -> str:
+    name = f"{kind}|{row}|{'-' if page_id is None else page_id}|{sha}"
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(name.encode()).hexdigest())}>"
 
 
-def record(kind: Column | str, own: Column, fields: list[tuple[str, Column | str | None]], block: Column) -> Column:
-    """Header lines (those with a null value are left out), a blank line and the block."""
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), lit(kind)), F.concat(F.lit("WARC-Record-ID: "), own), F.lit(f"WARC-Date: {DATE}")]
-    lines += [F.concat(F.lit(f"{name}: "), lit(value)) for name, value in fields]
-    lines.append(F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
-    return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
+def record(kind: str, own: str, fields: list[tuple[str, str | None]], block: bytes) -> bytes:
+    """Header lines (those without a value are left out), a blank line, the block and the closing blank lines."""
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", DATE), *fields, ("Content-Length", str(len(block)))]
+    return b"".join([b"WARC/1.1\r\n", *(f"{k}: {v}\r\n".encode("utf-8", "replace") for k, v in lines if v is not None), b"\r\n", block, END])
+
+
+def records(page_id: str | None, row: int, url: str | None, html: bytes, sha: str, holder: str | None) -> Iterator[bytes]:
+    """A page's three records; holder: the record that has its payload, if it is another."""
+    uri = None if url is None else re.sub(r"[\r\n]", "%0A", url)
+    own, asked, about = (record_id(kind, page_id, row, sha) for kind in ("response", "request", "metadata"))
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
+    fields = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{base32(sha)}"), ("Content-Type", "application/http; msgtype=response")]
+    if holder is None:
+        yield record("response", own, fields, http + html)
+    else:
+        yield record("revisit", own, [*fields, ("WARC-Refers-To", holder), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], http)
+    near = [("WARC-Target-URI", uri), ("WARC-Concurrent-To", own)]
+    m = TARGET.match(uri or "")
+    host, target = m.groups() if m else ("", "")
+    yield record("request", asked, [*near, ("Content-Type", "application/http; msgtype=request")], f"GET {target or '/'} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode("utf-8", "replace"))
+    yield record("metadata", about, [*near, ("Content-Type", "application/warc-fields")], b"" if page_id is None else f"page-id: {page_id}\r\n".encode("utf-8", "replace"))
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member without a time, so that it is the same in every run."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
 
 
 def write_warc(spark: SparkSession, pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", body.alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    if rows.groupBy("page_id", "digest").count().where("count > 1").limit(1).count():  # only then rows need numbers, written so that they stay
+    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("html")).withColumn("sha", F.sha1("html"))
+    slim = Stash(spark, "digests").put(rows.select("page_id", "sha", F.length("html").alias("bytes"), F.lit(0).cast("long").alias("row")))
+    if slim.groupBy("page_id", "sha").count().where("count > 1").limit(1).count():  # only then rows need numbers, written so that they stay
         rows = Stash(spark, "pages").put(rows.withColumn("row", F.monotonically_increasing_id()))
+        slim = rows.select("page_id", "sha", F.length("html").alias("bytes"), "row")
     else:
         rows = rows.withColumn("row", F.lit(0).cast("long"))
     rank = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "row")
-    shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max(rank).alias("holder"), F.count("*").alias("n")).where("n > 1").select("digest", "holder")
+    shared = slim.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.max(rank).alias("holder"), F.count("*").alias("n")).where("n > 1").select("sha", "holder")
     shared = Stash(spark, "payloads").put(shared)  # known before the pages are joined, which then stay where they are
-    joined = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_PAYLOADS else shared, "digest", "left")
-    revisit = F.col("holder").isNotNull() & ~F.struct(F.col("page_id").alias("p"), F.col("row").alias("r")).eqNullSafe(F.struct(F.col("holder.page_id").alias("p"), F.col("holder.row").alias("r"))) & (F.octet_length("html") >= least_bytes)
-    parts = joined.select(
-        "page_id", "row", "html", F.concat(F.lit("sha1:"), "digest").alias("digest"), revisit.alias("revisit"),
-        F.regexp_replace("url", r"[\r\n]", "%0A").alias("uri"), record_id("response").alias("own"), record_id("request").alias("asked"), record_id("metadata").alias("about"),
-        F.when(revisit, F.col("holder")).alias("holder"),
-    )
-    parts = parts.withColumn("refers", F.when(F.col("revisit"), record_id("response", "holder.row", "holder.page_id")))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
-    only = lambda value: F.when(F.col("revisit"), value)
-    capture = record(
-        F.when(F.col("revisit"), "revisit").otherwise("response"), F.col("own"),
-        [("WARC-Target-URI", F.col("uri")), ("WARC-Payload-Digest", F.col("digest")), ("WARC-Refers-To", F.col("refers")),
-         ("WARC-Profile", only(F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("Content-Type", "application/http; msgtype=response")],
-        F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("html"))),
-    )
-    target = F.coalesce(F.regexp_extract("uri", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1), F.lit(""))
-    host = F.coalesce(F.regexp_extract("uri", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-    request = record("request", F.col("asked"), [("WARC-Target-URI", F.col("uri")), ("WARC-Concurrent-To", F.col("own")), ("Content-Type", "application/http; msgtype=request")],
-                     F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)))
-    metadata = record("metadata", F.col("about"), [("WARC-Target-URI", F.col("uri")), ("WARC-Concurrent-To", F.col("own")), ("Content-Type", "application/warc-fields")],
-                      F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))))
-    parts.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
+    if shared.count() <= BROADCAST_PAYLOADS:
+        joined = rows.join(F.broadcast(shared), "sha", "left")
+    else:  # a payload may have a third of all rows: it is dealt to SALTS tasks
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "row"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
+    held = F.col("holder").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("holder.page_id")) & (F.col("row") == F.col("holder.row")))
+    parts = joined.select(F.col("page_id").cast("string").alias("page_id"), "row", "url", "html", "sha", held.alias("held"), F.col("holder.page_id").cast("string").alias("to_page"), F.col("holder.row").alias("to_row"))
+
+    def members(batches):
+        for b in batches:
+            out, size = [], 0
+            for page_id, row, url, html, sha, held, to_page, to_row in zip(*(b.column(i).to_pylist() if i != 3 else b.column(i) for i in range(8))):
+                for data in records(page_id, row, url, html.as_py(), sha, record_id("response", to_page, to_row, sha) if held else None):
+                    large = len(data) >= SPLIT
+                    out.append((data[: -len(END)] if large else member(data)[:-1], large))
+                    size += len(out[-1][0])
+                if size > SPLIT:
+                    yield pa.RecordBatch.from_pylist([{"value": v, "large": x} for v, x in out], pa.schema([("value", pa.binary()), ("large", pa.bool_())]))
+                    out, size = [], 0
+            yield pa.RecordBatch.from_pylist([{"value": v, "large": x} for v, x in out], pa.schema([("value", pa.binary()), ("large", pa.bool_())]))
+
+    n, total, most = slim.agg(F.count("*"), F.sum("bytes"), F.max("bytes")).first()
+    made = parts.mapInArrow(members, "value binary, large boolean")
+    text = lambda df, mode: df.select(F.col("value").cast("string").alias("value")).write.mode(mode)
+    a_file = max(1, min(1_000_000, FILE_BYTES * 3 // max(1, (total or 0) // max(1, n) + 1500)))
+    text(made.where("not large"), "errorifexists").option("lineSep", "\0").option("maxRecordsPerFile", a_file).text(path)
+    if (most or 0) > SPLIT - (64 << 10):  # the closing blank lines are the separator, and the file's compression makes the one member
+        text(made.where("large"), "append").option("lineSep", END.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    name_files(spark, path)
+
+
+def name_files(spark: SparkSession, path: str) -> None:
+    """Spark's part files get names that end with .warc.gz; those without a record go."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("part-") and status.getLen() <= EMPTY:
+            fs.delete(status.getPath(), False)
+        elif name.startswith("part-"):
+            fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, re.sub(r"\.txt(\.gz)?$", "", name) + ".warc.gz"))
+
+
+def unpacked(content: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The gzip members of a file one after the other, or the file itself if it isn't compressed."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    at = 0
+    while at < len(content):
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            if at >= len(content):
+                raise ValueError("a member is cut off")
+            parts.append(reader.decompress(content[at : at + step]))
+            at += step
+        at = min(at, len(content)) - len(reader.unused_data)
+        yield b"".join(parts)
 
 
 def parse(data: bytes):
-    """Yields (headers, block) of each record of a file."""
+    """Yields (headers, block) of each record of a member."""
     at = 0
     while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
+        stop = data.find(END, at)
         if stop < 0:
             if data[at:].strip():
                 raise ValueError("a record without a blank line")
@@ -149,12 +205,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches):
         for b in batches:
             for content in b.content:
-                out = []
-                for headers, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                out, size = [], 0
+                for headers, block in (r for data in unpacked(content) for r in parse(data)):
                     out.append(one(headers, block))
-                    if len(out) == 500:
+                    size += len(block)
+                    if len(out) == 500 or size > SPLIT:
                         yield pd.DataFrame(out, columns=names)
-                        out = []
+                        out, size = [], 0
                 if out:
                     yield pd.DataFrame(out, columns=names)
 
@@ -188,7 +245,8 @@ def archived(spark: SparkSession, pages: DataFrame, path: str | None = None, lea
     slim = read_warc(spark, path).withColumn("block", F.when(F.col("type") == "metadata", F.col("block"))).drop("headers", "target_uri", "date", "content_type")
     seen = assemble(Stash(spark, "records").put(slim), ("block",))  # the files are parsed once
     kind = pages.schema["page_id"].dataType.simpleString()
-    page = F.nullif(F.regexp_extract(F.col("metadata.block").cast("string"), r"(?m)^page-id: (-?\d+)\r?$", 1), F.lit("")).cast(kind)
+    page = F.regexp_extract(F.col("metadata.block").cast("string"), r"^page-id: ([^\r\n]*)", 1)
+    page = F.when(F.col("metadata.block").cast("string").startswith("page-id: "), page).cast(kind)
     flat = seen.select("record_id", page.alias("page_id"), "type", "refers_to", "http_length", "payload_bytes", "payload_sha1", F.regexp_replace("payload_digest", "^sha1:", "").alias("said"))
     flat = Stash(spark, "captures").put(flat)
     holders = flat.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("holder_page"), F.col("payload_bytes").alias("holder_bytes"), F.col("payload_sha1").alias("holder_sha1"))

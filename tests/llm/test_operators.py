@@ -313,6 +313,38 @@ def test_archive(spark, monkeypatch, most):
     assert {r.record_type for r in warc.archived(spark, pages, least_bytes=100).collect()} == {"response"}
 
 
+def test_a_page_id_with_two_payloads(spark):
+    pages = spark.createDataFrame([(5, "http://a", "a"), (5, "http://a", "b"), (3, "http://a", "a"), (2, "http://a", "b")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.payload_digest[:4], r.refers_to) for r in warc.archived(spark, pages).collect())
+    digest = {x: warc.base32(hashlib.sha1(x.encode()).hexdigest())[:4] for x in "ab"}
+    assert got == sorted([(5, "response", digest["a"], None), (5, "response", digest["b"], None), (3, "revisit", digest["a"], 5), (2, "revisit", digest["b"], 5)])
+
+
+def test_each_record_is_a_member(spark, tmp_path):
+    """Files as other readers want them: named .warc.gz, each member unpacked on its own from its offset."""
+    rng = np.random.default_rng(4)
+    noise = rng.integers(32, 127, 17 << 20, dtype=np.uint8).tobytes().decode()
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>\r\n\r\n" * (i % 50)) for i in range(300)] + [(300, "http://large", noise), (301, "http://large", noise)], "page_id long, url string, html string").withColumn("value", F.lit(1)).withColumn("sha", F.lit("x"))
+    warc.write_warc(spark, pages, str(tmp_path / "w"))
+    files = [f for f in (tmp_path / "w").iterdir() if not f.name.startswith((".", "_"))]
+    seen = collections.Counter()
+    for f in files:
+        data, at = f.read_bytes(), 0
+        assert f.name.endswith(".warc.gz")
+        while at < len(data):
+            reader = zlib.decompressobj(31)
+            one = reader.decompress(data[at:])
+            at = len(data) - len(reader.unused_data)
+            (headers, block), = warc.parse(one)
+            assert one.endswith(b"\r\n\r\n") and one.startswith(b"WARC/1.1\r\n")
+            seen[dict(headers)["warc-type"]] += 1
+            if len(block) > 1 << 24:
+                assert block.endswith(noise.encode()) and dict(headers)["warc-target-uri"] == "http://large"
+    assert seen == {"response": 300 - 5 + 1, "revisit": 5 + 1, "request": 302, "metadata": 302}
+    got = warc.archived(spark, pages)
+    assert got.count() == 302 and got.where(F.col("payload_bytes") == 17 << 20).count() == 2
+
+
 def test_assembly_follows_chains(spark):
     rows = [("r", "response", [], b"R"), ("q", "request", ["r"], b"Q"), ("m", "metadata", ["q"], b"M"), ("r2", "response", ["q2"], b"R2"), ("q2", "request", [], b"Q2"), ("lost", "metadata", ["none"], b"")]
     df = spark.createDataFrame(rows, "record_id string, type string, concurrent_to array<string>, block binary")
