@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Word separators of the contracts: space and the six ASCII control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts go to Python in Arrow batches of at most BATCH_BYTES: both sides of the pipe hold one or two per task. Sets
+    spark.sql.execution.arrow.maxBytesPerBatch for the session, unless it has been set to less."""
+    conf = df.sparkSession.conf
+    now = (conf.get(BATCH_CONF) or "").removesuffix("b")
+    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 @dataclass
 class Stash:
     """Tables written to the shared folder, which cut lineage and outlive any executor."""

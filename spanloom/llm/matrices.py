@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import small_batches, table
 from spanloom.llm.packing import CAPACITY, cut_pieces
 from spanloom.llm.tokens import encoder, tokenizer_path
 
@@ -90,7 +90,7 @@ def matrices(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
             out["ids"] = [np.frombuffer(x, "<u4").astype(unit).tobytes() for x in out.ids]
             yield out[["doc_id", "piece", "start", "length", "ids_crc32", "ids"]]
 
-    made = docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, ids binary")
+    made = small_batches(docs).select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, ids binary")
     dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
     blank = np.full(capacity, PAD, unit).tobytes()
     width = len(blank) // capacity

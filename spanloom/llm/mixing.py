@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Stash, table
+from spanloom.llm.common import Stash, small_batches, table
 
 MARGINS = ("source", "lang", "topic")
 TOPICS, LETTERS = 8, 5
@@ -66,7 +66,7 @@ def counted(docs: DataFrame) -> DataFrame:
             yield b[["doc_id", "text_hash", "source", "lang", "topic", "n_tokens"]]
 
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), *(F.col(c).cast("string").alias(c) for c in MARGINS if c != "topic" or given))
-    return d.mapInPandas(rows, f"doc_id {kind}, text_hash long, source string, lang string, topic string, n_tokens long")
+    return small_batches(d).mapInPandas(rows, f"doc_id {kind}, text_hash long, source string, lang string, topic string, n_tokens long")
 
 
 def rake(table_: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Stash, table
+from spanloom.llm.common import Stash, small_batches, table
 from spanloom.llm.tokens import Encoder, encoder, tokenizer_path
 
 CAPACITY, SEPARATOR = 2048, 0
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             out["part"], out["doc_id"] = part, b.doc_id.iloc[out["at"]].array
             yield out[[c.split()[0] for c in schema.split(", ")]]
 
-    return docs.select("doc_id", "text").mapInPandas(rows, schema)
+    return small_batches(docs).select("doc_id", "text").mapInPandas(rows, schema)
 
 
 @dataclass

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import table
+from spanloom.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and inner of each kind
@@ -416,7 +416,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(data)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -444,7 +444,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 changed["n_chars"] = [n if n is None or t is None else len(t) for n, t in zip(known, new)]
             yield pa.RecordBatch.from_arrays([pa.array(changed[n], f.type) if n in changed else c for n, f, c in zip(names, b.schema, b.columns)], schema=b.schema)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(rows, docs.schema)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

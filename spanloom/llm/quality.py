@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fold, table
+from spanloom.llm.common import fold, small_batches, table
 
 FIT_POSITIVES, FIT_UNLABELLED = 6000, 12000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 200, 512, 3e-3, 1e-3, 20
@@ -182,7 +182,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": b.doc_id, "score": s})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, score double")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array((net.score(features(pd.Series(texts, dtype=object))) if net else np.full(len(texts), 0.5)) >= KEEP_FROM))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(rows, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,11 +46,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Stash, table
+from spanloom.llm.common import Stash, small_batches, table
 from spanloom.llm.components import components
 
 BITS, WIDE = 64, 512
-SIMILARITY, SHINGLE, PROBED = 0.8, 5, 0.65
+SIMILARITY, SHINGLE, PROBED, EXTRA = 0.8, 5, 0.5, 1.25
 CROWD = 64
 SEED = 42
 UNSURE = 3.0
@@ -292,7 +292,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
             yield pd.DataFrame({"doc_id": b.doc_id, "fp": np.array([signed(fingerprint(t, k)) for t in b.text], np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, fp long")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, fp long")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -320,8 +320,9 @@ def differing_share(similarity: float) -> float:
 
 def wide_plan(prints: DataFrame, similarity: float) -> list[tuple[list[int], int]]:
     """Partitions of the wide fingerprints and their thresholds (-1, 0 or 1): the least estimated rows and candidates at which a
-    pair at the limit is probed with the chance PROBED. Partitions don't overlap and hold bits that go together; their
-    width follows the number of fingerprints, so that a value is shared by few by chance."""
+    pair at the limit is probed with the chance PROBED, or at EXTRA times what threshold 0 everywhere would give if that is
+    less. Partitions don't overlap and hold bits that go together; their width follows the number of fingerprints, so that a
+    value is shared by few by chance."""
     both, n = together(prints, WIDE)
     close, share = closeness(both, n), np.diag(both) / max(1, n)
     differ = 2 * share * (1 - share)
@@ -334,7 +335,7 @@ def wide_plan(prints: DataFrame, similarity: float) -> list[tuple[list[int], int
         balls = {0: 1, 1: 1 + len(g)}
         costs.append({-1: 0.0} | {t: balls[t] * n + float(n) * n * float(at_random[t]) for t in balls})
         gains.append({-1: 0} | {t: round(-units * math.log1p(-min(chance[t], 1 - 1e-9))) for t in balls})
-    need = min(round(-units * math.log(1 - PROBED)), sum(g[1] for g in gains))
+    need = min(round(-units * math.log(1 - PROBED)), round(EXTRA * sum(g[0] for g in gains)))
     chosen, _ = allocate(costs, gains, need)
     return [(g, t) for g, t in zip(groups, chosen) if t >= 0]
 
@@ -468,7 +469,7 @@ def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> Data
 
 def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, root): the class of every row."""
-    common = spark.sparkContext.broadcast(common_shingles(docs))
+    common = spark.sparkContext.broadcast(common_shingles(small_batches(docs)))
 
     def rows(batches):
         for b in batches:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import small_batches, table
 
 CELLS, FACTOR, HASHES = 18, 4, 3
 LONG, WORDS_MOST = 160, 64
@@ -241,7 +241,7 @@ def fingerprint_versions(docs: DataFrame, cells: int = CELLS) -> DataFrame:
                     keys, texts = keys[-1:], texts[-1:]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ready, _ = ordered_with_next(docs)
+    ready, _ = ordered_with_next(small_batches(docs))
     return ready.mapInPandas(rows, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Stash, shared_dir, table
+from spanloom.llm.common import Stash, shared_dir, small_batches, table
 
 LEAST_BYTES = 0
 FILE_BYTES, SPLIT = 64 << 20, 1 << 24
@@ -122,7 +122,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, path: str, least_bytes: in
             yield pa.RecordBatch.from_pylist([{"value": v, "large": x} for v, x in out], pa.schema([("value", pa.binary()), ("large", pa.bool_())]))
 
     n, total, most = slim.agg(F.count("*"), F.sum("bytes"), F.max("bytes")).first()
-    made = parts.mapInArrow(members, "value binary, large boolean")
+    made = small_batches(parts).mapInArrow(members, "value binary, large boolean")
     text = lambda df, mode: df.select(F.col("value").cast("string").alias("value")).write.mode(mode)
     a_file = max(1, min(1_000_000, FILE_BYTES * 3 // max(1, (total or 0) // max(1, n) + 1500)))
     text(made.where("not large"), "errorifexists").option("lineSep", "\0").option("maxRecordsPerFile", a_file).text(path)
