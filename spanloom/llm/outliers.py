@@ -2,10 +2,15 @@
 
 Each text gets counts of words, symbols, repeated lines and repeated five-word windows. Logarithms of
 their rates make a vector. For each language and source a minimum-covariance-determinant estimate
-is made of the texts that pass the base rules: from medians and quartile ranges, concentration steps
-take the three quarters of the group that are nearest by Mahalanobis distance and estimate mean and
-covariance again, until the determinants stop falling. A text is rejected if its squared distance is
-above CUTOFF.
+is made of the texts that pass the base rules. From three starts (medians with quartile ranges alone, with
+correlations of hyperbolic tangents, and with those of spatial signs) concentration steps take the three
+quarters of the group that are nearest by Mahalanobis distance and estimate mean and covariance
+again; after TRIALS steps the start with the least determinant goes on until it stops falling. A text is rejected if
+its squared distance is above CUTOFF.
+
+Groups of any size are estimated alike: an estimate counts PRIOR rows more, which are spread as the whole
+table's own estimate says. So a group of a few texts is judged much as the table is, and from some hundreds on
+by itself, without a size at which the rule changes.
 
 Scale: the statistics are made within a row, in linearithmic time, and written once without the
 texts. A step aggregates moments by group and distance bin, combined before the shuffle, so a group
@@ -13,9 +18,7 @@ that holds a third of all rows costs as many rows as bins (BINS at most); the ne
 are whole bins of it. Results don't depend on the order of rows but for rounding in sums.
 
 Variances have a floor (FLOOR squared, in log units), since over three quarters of a group often have
-no symbol or repeat at all and their scatter would be zero. Groups of under LEAST rows are pooled
-by language, and if these pools are still smaller, over all; with fewer rows than that only the base
-rules decide.
+no symbol or repeat at all and their scatter would be zero.
 
 Defined cases: null text has no words; null language or source is a group of its own; repeated rows
 count and are returned each; an empty table gives an empty result; other columns are not read.
@@ -31,10 +34,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import Stash, table, words
 
 WINDOW = 5
-LEAST = 100
 SHARE = 0.75
 BINS = 1024
-MOST_STEPS = 12
+PRIOR, TRIALS = 20, 2
 BROADCAST_GROUPS = 20_000
 #: The vector and the floor of each coordinate's standard deviation.
 COORDINATES = ("v_words", "v_word_length", "v_symbols", "v_lines", "v_repeats")
@@ -112,40 +114,51 @@ CONSISTENT = SHARE / chi2_share(chi2_quantile(SHARE, P), P + 2)
 # ---- estimates
 
 
-def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Joins one row for each group; broadcast only if it has been counted to be small."""
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small, key)
+def attach(rows: DataFrame, small: DataFrame, key: str, few: bool) -> DataFrame:
+    """Joins a few rows for each group; broadcast only if the groups have been counted to be few."""
+    return rows.join(F.broadcast(small) if few else small, key)
+
+
+def cholesky(df: DataFrame) -> DataFrame:
+    """Adds the factor l0_0, l1_0, ... of the covariance in c0_0, c1_0, ..., row by row."""
+    for i in range(P):
+        for j in range(i + 1):
+            rest = F.col(f"c{i}_{j}")
+            for k in range(j):
+                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+            df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
+    return df
 
 
-def pooled(stash: Stash, rows: DataFrame) -> DataFrame:
-    """Adds `pool`: the group of each row, or a larger one where that is small, or null where all are."""
-    fit = rows.where("not base_failed")
-    own = fit.groupBy("cell", "lang").agg(F.count("*").alias("n"))
-    by_lang = Window.partitionBy("lang")
-    small = F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)
-    sized = own.withColumn("rest", F.sum(small).over(by_lang))
-    pool = F.when(F.col("n") >= LEAST, F.col("cell")).when(F.col("rest") >= LEAST, F.concat(F.lit("lang "), F.coalesce(F.to_json(F.struct("lang")), F.lit("")))).otherwise(F.lit("all"))
-    chosen = stash.put(sized.select("cell", pool.alias("pool"), "n"))
-    enough = chosen.groupBy("pool").agg(F.sum("n").alias("m")).where(F.col("m") >= LEAST)
-    cells = stash.put(chosen.join(enough, "pool", "left_semi").select("cell", "pool"))
-    counted = cells.count() <= BROADCAST_GROUPS
-    return rows.join(F.broadcast(cells) if counted else cells, "cell", "left")
+def lower() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def first_estimate(stash: Stash, fit: DataFrame) -> DataFrame:
-    """Median, and quartile range as scale, of each coordinate, from counts of its values in steps of 1/64."""
+def starts(stash: Stash, fit: DataFrame, few: bool) -> DataFrame:
+    """Three rows for each pool: medians as mean, and shapes made of quartile ranges and, but for the first, correlations of
+    bounded scores. Medians and quartiles come from counts of values in steps of 1/64."""
     long = fit.select("pool", F.posexplode(F.array(*(F.floor(F.col(c) * 64) for c in COORDINATES))).alias("i", "b"))
     bins = long.groupBy("pool", "i", "b").agg(F.count("*").alias("n"))
     order = Window.partitionBy("pool", "i").orderBy("b")
     share = bins.select("pool", "i", "b", (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy("pool", "i"))).alias("upto"))
     at = lambda q: F.min(F.when(F.col("upto") >= q, (F.col("b") + 0.5) / 64))
     spots = share.groupBy("pool", "i").agg(at(0.5).alias("median"), (at(0.75) - at(0.25)).alias("range"))
-    wide = spots.groupBy("pool").agg(
+    wide = stash.put(spots.groupBy("pool").agg(
         *(F.max(F.when(F.col("i") == i, F.col("median"))).alias(f"m{i}") for i in range(P)),
-        *(F.max(F.when(F.col("i") == i, F.sqrt((F.col("range") / 1.349) ** 2 + FLOOR[i] ** 2))).alias(f"l{i}_{i}") for i in range(P)),
-    )
-    zeros = {f"l{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)}
-    return stash.put(wide.withColumns(zeros).withColumn("log_det", F.lit(math.inf)))
+        *(F.max(F.when(F.col("i") == i, F.sqrt((F.col("range") / 1.349) ** 2 + FLOOR[i] ** 2))).alias(f"s{i}") for i in range(P)),
+    ))
+    z = [(F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}") for i, c in enumerate(COORDINATES)]
+    length = F.sqrt(sum((x**2 for x in z[1:]), z[0] ** 2) + 1e-12)
+    scores = {1: [F.tanh(x) for x in z], 2: [x / length for x in z]}
+    sums = attach(fit, wide, "pool", few).groupBy("pool").agg(F.count("*").alias("n"), *(F.sum(f[i] * f[j]).alias(f"q{k}_{i}_{j}") for k, f in scores.items() for i, j in lower()))
+    both = stash.put(wide.join(sums, "pool"))
+    # PRIOR rows without correlation keep every shape proper
+    root = lambda k, i: F.sqrt(F.col(f"q{k}_{i}_{i}") + 1e-9)
+    cor = lambda k, i, j: F.lit(1.0) if i == j else F.lit(0.0) if k == 0 else F.col("n") / (F.col("n") + PRIOR) * F.col(f"q{k}_{i}_{j}") / root(k, i) / root(k, j)
+    means = [f"m{i}" for i in range(P)]
+    out = [cholesky(both.select("pool", F.lit(k).alias("start"), *means, *((cor(k, i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}_{j}") for i, j in lower()))) for k in range(3)]
+    rows = out[0].unionByName(out[1]).unionByName(out[2])
+    return stash.put(rows.select("pool", "start", *means, *(f"l{i}_{j}" for i, j in lower()), F.lit(math.inf).alias("log_det")))
 
 
 def distance(df: DataFrame) -> DataFrame:
@@ -158,52 +171,58 @@ def distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"y{i}") ** 2 for i in range(1, P)), F.col("y0") ** 2))
 
 
-def concentrate(stash: Stash, fit: DataFrame, now: DataFrame) -> DataFrame:
-    """One concentration step: means and Cholesky factors of the nearest SHARE of each pool."""
-    far = distance(attach(fit, now, "pool"))
+def concentrate(stash: Stash, fit: DataFrame, now: DataFrame, few: bool, prior: DataFrame | None) -> DataFrame:
+    """One concentration step: means and Cholesky factors of the nearest SHARE of each pool, from each of its starts."""
+    far = distance(attach(fit, now, "pool", few))
     dev = [F.col(COORDINATES[i]) - F.col(f"m{i}") for i in range(P)]
-    sums = {f"s{i}": F.sum(dev[i]) for i in range(P)} | {f"q{i}_{j}": F.sum(dev[i] * dev[j]) for i in range(P) for j in range(i + 1)}
+    sums = {f"s{i}": F.sum(dev[i]) for i in range(P)} | {f"q{i}_{j}": F.sum(dev[i] * dev[j]) for i, j in lower()}
     binned = far.withColumn("bin", F.least(F.floor(32 * F.log2(1 + F.col("d2"))), F.lit(BINS - 1)))
-    bins = binned.groupBy("pool", "bin").agg(F.count("*").alias("n"), *(c.alias(k) for k, c in sums.items()))
-    nearer = F.sum("n").over(Window.partitionBy("pool").orderBy("bin")) - F.col("n")
-    whole = F.sum("n").over(Window.partitionBy("pool"))
-    taken = bins.withColumns({"nearer": nearer, "whole": whole}).where(F.col("nearer") < SHARE * F.col("whole"))
-    total = taken.groupBy("pool").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums))
-    df = total.join(now.select("pool", *(f"m{i}" for i in range(P))), "pool")
-    mean = {f"m{i}": F.col(f"m{i}") + F.col(f"s{i}") / F.col("n") for i in range(P)}
-    cov = {f"c{i}_{j}": CONSISTENT * (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") ** 2) + (FLOOR[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
-    df = df.select("pool", *(c.alias(k) for k, c in (mean | cov).items()))
-    for i in range(P):  # Cholesky, row by row
-        for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
+    bins = binned.groupBy("pool", "start", "bin").agg(F.count("*").alias("n"), *(c.alias(k) for k, c in sums.items()))
+    group = Window.partitionBy("pool", "start")
+    taken = bins.withColumns({"nearer": F.sum("n").over(group.orderBy("bin")) - F.col("n"), "whole": F.sum("n").over(group)}).where(F.col("nearer") < SHARE * F.col("whole"))
+    total = taken.groupBy("pool", "start").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums))
+    df = total.join(now.select("pool", "start", *(f"m{i}" for i in range(P))), ["pool", "start"])
+    mean = {i: F.col(f"m{i}") + F.col(f"s{i}") / F.col("n") for i in range(P)}
+    cov = {(i, j): CONSISTENT * (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") ** 2) for i, j in lower()}
+    if prior is not None:
+        df, own = df.crossJoin(F.broadcast(prior)), F.col("n") / (F.col("n") + PRIOR)  # one row
+        cov = {(i, j): own * c + (1 - own) * F.col(f"t{i}_{j}") + own * (1 - own) * (mean[i] - F.col(f"u{i}")) * (mean[j] - F.col(f"u{j}")) for (i, j), c in cov.items()}
+        mean = {i: own * m + (1 - own) * F.col(f"u{i}") for i, m in mean.items()}
+    floor = lambda i, j: FLOOR[i] ** 2 if i == j else 0.0
+    df = df.select("pool", "start", *(m.alias(f"m{i}") for i, m in mean.items()), *((c + floor(i, j)).alias(f"c{i}_{j}") for (i, j), c in cov.items()))
     log_det = sum((F.log(f"l{i}_{i}") for i in range(1, P)), F.log("l0_0")) * 2
-    return stash.put(df.select("pool", *mean, *(f"l{i}_{j}" for i in range(P) for j in range(i + 1)), log_det.alias("log_det")))
+    return stash.put(cholesky(df).select("pool", "start", *(f"m{i}" for i in range(P)), *(f"l{i}_{j}" for i, j in lower()), log_det.alias("log_det")))
 
 
-def estimate(spark: SparkSession, fit: DataFrame) -> DataFrame:
-    """One row for each pool: mean m0.., Cholesky factor l0_0.., and log_det of the estimate."""
+def estimate(spark: SparkSession, fit: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """One row for each pool: mean m0.., Cholesky factor l0_0.., and log_det of the estimate. prior: one row of mean u0.. and
+    covariance t0_0.., without floors."""
     stash = Stash(spark, "mcd")
-    now, before = first_estimate(stash, fit), None
-    for _ in range(MOST_STEPS):
-        now = concentrate(stash, fit, now)
-        state = now.agg(F.sum("log_det")).first()[0] or 0.0
+    few = fit.select("pool").distinct().count() <= BROADCAST_GROUPS
+    now = starts(stash, fit, few)
+    for _ in range(TRIALS):
+        now = concentrate(stash, fit, now, few, prior)
+        stash.drop_older()
+    now = stash.put(now.groupBy("pool").agg(F.min_by(F.struct(*now.columns[1:]), F.struct("log_det", "start")).alias("b")).select("pool", "b.*"))
+    state = math.inf
+    while True:  # the floors bound the determinants from below, and each round but the last lowers them
+        before, state = state, now.agg(F.sum("log_det")).first()[0] or 0.0
+        if before - state < 1e-6 * max(1.0, abs(state)):
+            return now
+        now = concentrate(stash, fit, now, few, prior)
         stash.drop_older()
-        if before is not None and before - state < 1e-6 * max(1.0, abs(before)):
-            break
-        before = state
-    return now
 
 
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rule counts of every row, base_failed, kept, and distance2 (null where no group was large enough)."""
-    stash = Stash(spark, "rules")
+    """The rule counts of every row, base_failed, kept, and distance2 (null only where no text of the group passes the base rules)."""
     cell = F.to_json(F.struct("lang", "source"))  # nulls are left out of it, so they equal no text
-    rows = statistics(docs, ("lang", "source")).withColumns({"cell": cell, "base_failed": base_failed()}).withColumns(vector())
-    rows = pooled(stash, stash.put(rows))
-    estimates = estimate(spark, rows.where("not base_failed and pool is not null"))
+    rows = statistics(docs, ("lang", "source")).withColumns({"pool": cell, "base_failed": base_failed()}).withColumns(vector())
+    rows = Stash(spark, "rules").put(rows)
+    fit = rows.where("not base_failed").select("pool", *COORDINATES)
+    whole = estimate(spark, fit.withColumn("pool", F.lit("all")))
+    square = lambda i, j: sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(1, j + 1)), F.col(f"l{i}_0") * F.col(f"l{j}_0"))
+    prior = whole.select(*(F.col(f"m{i}").alias(f"u{i}") for i in range(P)), *((square(i, j) - (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"t{i}_{j}") for i, j in lower()))
+    estimates = estimate(spark, fit, prior)
     known = F.broadcast(estimates) if estimates.count() <= BROADCAST_GROUPS else estimates
     judged = distance(rows.join(known, "pool", "left"))
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)
