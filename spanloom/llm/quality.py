@@ -8,13 +8,16 @@ with the logistic loss, so its sigmoid estimates the probability that a text is
 never read. The class prior is estimated first, from a positive-versus-unlabelled classifier's
 scores on a held-back half (the smallest ratio of unlabelled to positive mass above a threshold).
 
+Unlabelled texts are drawn from all texts outside the held-out fold, whether or not a label says more of them: so
+they stand for the whole, as the risk needs it, and tables with few or only labelled texts are no special case.
+
 Only the fit is bounded (FIT_POSITIVES and FIT_UNLABELLED rows, chosen by a hash of the key);
 every text is scored whole. Of rows with one key the smallest text is learnt from.
 
 Defined cases: a null text counts as empty; an empty text gets the score of its (zero) statistics;
 repeated rows are each scored; null keys are scored, and are in the held-out fold that crc32 of the
-empty string gives; labels with null quality are ignored; without any positive or unlabelled row
-every score is the prior 0.5; columns besides doc_id and text are not read.
+empty string gives; labels with null quality are ignored; without any positive label outside the held-out fold
+there is nothing to learn from, and every score is 0.5; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -133,9 +136,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Ne
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of good texts in the unlabelled: the least ratio of mass above a threshold, with a margin for few rows."""
     net = fit(positive[::2], unlabelled[::2], None)
-    sp, su = np.sort(net.logit(positive[1::2])), np.sort(net.logit(unlabelled[1::2]))
-    if len(sp) < 20 or len(su) < 20:
-        return 0.5
+    behind = lambda x: x[1::2] if len(x) > 1 else x
+    sp, su = np.sort(net.logit(behind(positive))), np.sort(net.logit(behind(unlabelled)))
     cuts = np.quantile(sp, np.linspace(0, 0.9, 91))
     qp = 1 - np.searchsorted(sp, cuts) / len(sp)
     qu = 1 - np.searchsorted(su, cuts) / len(su)
@@ -145,29 +147,31 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """Fits on at most FIT_POSITIVES positives outside the held-out fold and FIT_UNLABELLED texts without a label."""
+    """Fits on at most FIT_POSITIVES positives and FIT_UNLABELLED texts, all outside the held-out fold."""
     d = docs.select("doc_id", "text")
     keyed = labels.select("doc_id", "quality").where("quality is not null")
     chosen = (
         keyed.where((F.col("quality") == 1) & (fold(F.col("doc_id")) != 0)).select("doc_id").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_POSITIVES).withColumn("positive", F.lit(True))
     )
-    bare = d.select("doc_id").join(keyed.select("doc_id"), "doc_id", "left_anti").distinct()
-    free = bare.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_UNLABELLED).withColumn("positive", F.lit(False))
+    free = (
+        d.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id").distinct()
+        .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(FIT_UNLABELLED).withColumn("positive", F.lit(False))
+    )
     ids = chosen.unionByName(free)  # at most FIT_POSITIVES + FIT_UNLABELLED keys, so it may be broadcast
 
     def rows(batches):
         for b in batches:
             yield pd.DataFrame({"positive": b.positive, "x": list(features(b.text))})
 
-    picked = d.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("positive").alias("positive"))
+    picked = d.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
     got = picked.select("text", "positive").mapInPandas(rows, "positive boolean, x array<double>").toPandas()
     x = np.array(got.x.tolist(), np.float64).reshape(-1, WIDTH)
     order = np.lexsort(x.T)  # the rows come in any order
     x, positive = x[order], got.positive.to_numpy(bool)[order]
     mix = np.random.default_rng(SEED).permutation(len(x))
     x, positive = x[mix], positive[mix]
-    if positive.sum() < 2 or (~positive).sum() < 2:
+    if not positive.any() or positive.all():
         return None
     prior = estimate_prior(x[positive], x[~positive])
     return fit(x[positive], x[~positive], prior)
