@@ -7,8 +7,9 @@ entries of its host and of all parent domains; the longest pattern with an entry
 
 Scale: entries are first reduced to one for each pattern and day (block before allow before remove), so
 a pattern's history has at most as many rows as days. Captures are reduced to distinct hosts and
-days before the join, which is by pattern and month: a host with a third of all captures is spread over the
-months, and no row meets intervals of other months. Verdicts go back to captures by host and day.
+days before the join, which is by pattern, month and salt: no row meets intervals of other months, and the hosts below one
+domain are dealt to SALTS tasks a month by their hash (intervals are repeated for each). Verdicts go back to captures
+by host and day.
 
 Defined cases: a null or unusable url, or a null day, has verdict 'none'; entries with a null pattern, day or
 action are ignored; patterns and hosts compare in lower case; repeated captures get a row each; equal entries count
@@ -25,6 +26,7 @@ from spanloom.llm.common import table
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 LAST_DAY = "9999-12-31"
+SALTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -55,8 +57,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     span = wanted.agg(F.min("day").alias("first"), F.max("day").alias("last"))  # one row
     held = intervals(entries).join(F.broadcast(span), (F.col("since") <= F.col("last")) & (F.col("until") > F.col("first")))
     spread = held.select("pattern", "action", "since", "until", F.explode(F.sequence(month(F.greatest("since", "first")), month(F.least("until", "last")))).alias("month"))
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = wanted.withColumns({"month": month("day"), "pattern": F.explode(parents(F.col("host")))})
-    hits = asked.join(spread, ["pattern", "month"]).where((F.col("since") <= F.col("day")) & (F.col("day") < F.col("until")) & (F.col("action") != "remove"))
+    asked = asked.withColumn("salt", F.when(F.col("pattern") == F.col("host"), 0).otherwise(F.pmod(F.xxhash64("host", "day"), F.lit(SALTS))).cast("int"))
+    hits = asked.join(spread, ["pattern", "month", "salt"]).where((F.col("since") <= F.col("day")) & (F.col("day") < F.col("until")) & (F.col("action") != "remove"))
     best = hits.groupBy("host", "day").agg(F.max_by(F.struct("action", "pattern", "since"), F.length("pattern")).alias("hit"))
     return keyed.join(best, ["host", "day"], "left").select(
         "page_id", "host", "day", F.coalesce("hit.action", F.lit("none")).alias("verdict"), F.col("hit.pattern").alias("pattern"), F.col("hit.since").alias("since")
