@@ -1,7 +1,7 @@
 """Operator 3: best-fit-decreasing packing into id matrices.
 
 Documents become token ids and a separator; longer ones than a row are cut losslessly into pieces.
-Pieces are dealt to shards of bounded size by a hash; in each, pieces in decreasing length go to the
+Pieces are dealt to shards of about SHARD_DOCS documents by a hash of their place; in each, pieces in decreasing length go to the
 bin with the least sufficient room, found in a segment tree over room sizes. A shard writes one row
 for each sequence: ids (padded with PAD), cumulative segment lengths and positions that start
 again at each segment. Both matrices are little-endian, 16 bits a value if the vocabulary fits, else 32.
@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from spanloom.llm.common import small_batches, table
 from spanloom.llm.packing import CAPACITY, cut_pieces
 from spanloom.llm.tokens import encoder, tokenizer_path
 
-PAD, SHARD_DOCS = 0, 2000
+PAD, SHARD_DOCS, SHARDS_A_TASK = 0, 2000, 4
 SCHEMA = "sequence_id long, n_tokens int, n_segments int, doc_ids array<{kind}>, pieces array<int>, starts array<long>, cumulative_lengths array<int>, input_ids binary, position_ids binary"
 
 
@@ -83,15 +84,19 @@ def matrices(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        known = encoder(path)
+        known, made = encoder(path), 0
+        part = TaskContext.get().partitionId()
         for b in batches:
             out = cut_pieces(b, known, capacity, True)
+            out["part"], out["place"] = part, np.arange(made, made + len(out))
+            made += len(out)
             out["doc_id"] = b.doc_id.iloc[out["at"]].array
             out["ids"] = [np.frombuffer(x, "<u4").astype(unit).tobytes() for x in out.ids]
-            yield out[["doc_id", "piece", "start", "length", "ids_crc32", "ids"]]
+            yield out[["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "place"]]
 
-    made = small_batches(docs).select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, ids binary")
-    dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    made = small_batches(docs).select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long, ids binary, part int, place long")
+    # by where a piece was made, so that equal rows go to different shards, and a task made again deals them alike
+    dealt = made.withColumn("shard", F.pmod(F.xxhash64("part", "place"), F.lit(shards))).repartition(math.ceil(shards / SHARDS_A_TASK), "shard")
     blank = np.full(capacity, PAD, unit).tobytes()
     width = len(blank) // capacity
 
