@@ -9,7 +9,8 @@ globally, from the histogram of lengths: a pattern of lengths is found and used
 counts allow. The plan is a list of rank ranges within each length, a few thousand rows whatever the
 number of documents; each piece finds its place from its rank among the pieces of its length. Ranks
 come from the position within a written partition plus the counts of the partitions before it, so no
-length is ever sorted or gathered, however many pieces share it.
+length is ever sorted or gathered, however many pieces share it. These counts are broadcast up to BROADCAST_CELLS; beyond,
+pieces are joined to them by task and length, so no key has more rows than one task made.
 
 Defined cases: a null text is empty and makes one piece with the separator alone; repeated rows and
 null keys are packed as rows of their own; an empty table gives an empty result; columns other than
@@ -33,6 +34,7 @@ from spanloom.llm.tokens import Encoder, encoder, tokenizer_path
 
 CAPACITY, SEPARATOR = 2048, 0
 STEP = 44  # bits of a rank
+BROADCAST_CELLS = 200_000
 
 
 def cut_pieces(b: pd.DataFrame, encoder: Encoder, capacity: int, with_ids: bool) -> pd.DataFrame:
@@ -152,7 +154,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
     plan = make_plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = made.join(starts, ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
+    few = cells.count() <= BROADCAST_CELLS  # a row for each task and length, so it grows with the table
+    ranked = made.join(F.broadcast(starts) if few else starts.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
 
