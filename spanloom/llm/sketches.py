@@ -5,9 +5,15 @@ picked by their own hash, so an edit leaves all paragraphs outside it as they we
 paragraph (the n-th of equal ones counts as another) is added to three cells, which keep a count, the
 exclusive-or of the digests and that of a check hash. The sketch of one version minus that of
 another holds only what differs; peeling cells with one digest recovers these, and where that fails the
-sketches are made again FACTOR times as large. Likeness is the share of common digests.
+sketches are made again FACTOR times as large (after RETRIES times, which takes colliding digests, the digests
+themselves are compared). Likeness is the share of common digests.
 
-Peeling runs over all pairs of a batch at once, in numpy; a pair's size depends on its difference.
+Peeling runs over all pairs of a batch at once, in numpy; a pair's size depends on its difference. The fingerprint
+columns hold the first size, CELLS; from these strings alone differences of about a dozen paragraphs
+can be told, and likeness beyond that comes from the larger sketches of the retries.
+
+Rows are dealt to buckets of neighbouring keys, at most MOST_BUCKETS, by cuts found from the keys alone. A bucket streams through
+a task in sorted order, so a large one costs time and spill but no memory.
 
 Defined cases: a null text is empty; two texts without paragraphs are alike (1.0); equal doc_ids are
 put in order by the texts' hash, null doc_ids come last; repeated rows count as rows; in a table of one
@@ -17,23 +23,24 @@ row that row is its own next; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import small_batches, table
+from spanloom.llm.common import Stash, small_batches, table
 
 CELLS, FACTOR, HASHES = 18, 4, 3
 LONG, WORDS_MOST = 160, 64
-BUCKET_DOCS, MOST_BUCKETS, CUT_ROWS = 4000, 20_000, 20
+RETRIES = 10  # sketches of about five million cells
+BUCKET_BYTES, MOST_BUCKETS, CUT_ROWS, MOST_CUT_ROWS = 4 << 20, 100_000, 20, 400_000
 SENTENCE = re.compile(r"\n+|(?<=[.!?])[ \t]+")
 
 
@@ -115,7 +122,9 @@ def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -
     """Share of common digests of each pair, recovered from sketches alone."""
     out = np.ones(len(pairs))
     todo = np.array([i for i, (a, b) in enumerate(pairs) if len(a) or len(b)], np.int64)
-    while len(todo):
+    for _ in range(RETRIES):
+        if not len(todo):
+            return out
         c = Cells(np.full(len(todo), cells))
         for side, sign in ((0, 1), (1, -1)):
             each = [pairs[i][side] for i in todo]
@@ -126,13 +135,17 @@ def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -
         whole &= na - plus == nb - minus
         out[todo[whole]] = ((na - plus) / np.maximum(na + minus, 1))[whole]
         todo, cells = todo[~whole], cells * FACTOR
+    for i in todo:  # only colliding digests get here
+        a, b = pairs[i]
+        common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        out[i] = common / max(1, len(a) + len(b) - common)
     return out
 
 
 def recover(a: str, b: str, cells: int = CELLS) -> tuple[set[int], set[int]]:
     """The paragraph digests that only a has, and those that only b has."""
     da, db = digests(a), digests(b)
-    while True:
+    for _ in range(RETRIES):
         c = Cells(np.array([cells]))
         for keys, sign in ((da, 1), (db, -1)):
             c.add(np.zeros(len(keys), np.int64), keys, np.full(len(keys), sign))
@@ -149,6 +162,7 @@ def recover(a: str, b: str, cells: int = CELLS) -> tuple[set[int], set[int]]:
         if not (c.count.any() or c.keys.any() or c.check.any()):
             return got
         cells *= FACTOR
+    return set(da.tolist()) - set(db.tolist()), set(db.tolist()) - set(da.tolist())
 
 
 def sketches(each: list[np.ndarray], cells: int = CELLS) -> list[str]:
@@ -168,81 +182,85 @@ def edited(text: str, other: str) -> str:
 COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-def compare(keys: list, texts: list[str], cells: int) -> pd.DataFrame:
-    """Rows for all but the last text; each is held against the one behind it."""
+def compare(keys: list, texts: list[str], cells: int) -> list[list]:
+    """The COLUMNS of all but the last text; each is held against the one behind it."""
     n = len(texts) - 1
     own = [digests(t) for t in texts]
     new = [edited(a, b) for a, b in zip(texts, texts[1:])]
     changed = [digests(t) for t in new]
-    return pd.DataFrame({
-        "doc_id": keys[:n],
-        "n_chars": [len(t) for t in texts[:n]],
-        "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in new],
-        "fingerprint": sketches(own[:n], cells),
-        "edited_fingerprint": sketches(changed, cells),
-        "near_edited": likenesses(list(zip(own[:n], changed)), cells),
-        "near_next": likenesses(list(zip(own[:n], own[1:])), cells),
-    }, columns=COLUMNS)
-
-
-def bucket_cuts(d: DataFrame) -> list[tuple[int, int, int]]:
-    """Ascending places (doc_id known, doc_id, hash of the text) that cut the rows into buckets of about one size, from a
-    sample, chosen by hash, of about CUT_ROWS rows a bucket. They only deal the rows: any cuts give the same result."""
-    n = d.count()
-    buckets = min(MOST_BUCKETS, math.ceil(n / BUCKET_DOCS))
+    return [
+        keys[:n], [len(t) for t in texts[:n]], [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in new], sketches(own[:n], cells), sketches(changed, cells),
+        likenesses(list(zip(own[:n], changed)), cells), likenesses(list(zip(own[:n], own[1:])), cells),
+    ]
+
+
+def place(key: Column | str = "doc_id", tie: Column | None = None) -> Column:
+    """What rows are ordered by: known keys, the key, then the text's hash."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.struct(key.isNotNull().alias("known"), key.alias("doc_id"), (F.xxhash64("text") if tie is None else tie).alias("tie"))
+
+
+def bucket_cuts(keys: DataFrame, buckets: int, n: int) -> list:
+    """Ascending places that cut the rows into buckets of about one size, from a sample, chosen by hash, of some rows a
+    bucket. They only deal the rows: any cuts give the same result."""
     if buckets < 2:
         return []
-    tie = F.xxhash64("text")
-    drawn = d.where(F.pmod(F.xxhash64("doc_id", tie), F.lit(max(1, n // (buckets * CUT_ROWS)))) == 0).select("doc_id", tie.alias("tie")).distinct()
-    places = sorted((int(k is not None), int(k or 0), t) for k, t in drawn.collect())
-    return sorted({places[len(places) * i // buckets] for i in range(1, buckets)}) if places else []
+    each = max(2, min(CUT_ROWS, MOST_CUT_ROWS // buckets))
+    drawn = keys.where(F.pmod(F.xxhash64("place"), F.lit(max(1, n // (buckets * each)))) == 0).select("place").distinct()
+    spots = [r.place for r in drawn.orderBy("place").collect()]
+    return [spots[i] for i in sorted({len(spots) * i // buckets for i in range(1, buckets)})] if spots else []
 
 
-def ordered_with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+def ordered_with_next(docs: DataFrame) -> DataFrame:
     """(bucket, last, doc_id, text): buckets of neighbouring doc_ids, descending, each with the row that follows it
-    (last = 1) behind its own rows. One shuffle of the texts; only bucket bounds and first rows are looked up."""
-    d = docs.select("doc_id", "text")
-    cuts = bucket_cuts(d)
-
-    @F.pandas_udf("int")
-    def bucket(key: pd.Series, tie: pd.Series) -> pd.Series:
-        places = ((0, 0, t) if pd.isna(k) else (1, int(k), t) for k, t in zip(key, tie))
-        return pd.Series([len(cuts) - bisect.bisect_right(cuts, p) for p in places], dtype="int32")
-
-    rows = d.withColumn("bucket", bucket(F.col("doc_id").cast("string"), F.xxhash64("text")) if cuts else F.lit(0))
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("tie"))
-    heads = sorted(rows.groupBy("bucket").agg(F.max(place).alias("head")).collect())  # a row for each bucket
-    follows = {head.bucket: heads[i - 1].bucket for i, head in enumerate(heads)}  # the bucket before, and round to the last
-    if not heads:
-        return rows.withColumn("last", F.lit(0)), 1
-    kind = d.schema["doc_id"].dataType.simpleString()
-    small = docs.sparkSession.createDataFrame([(h.bucket, h.head, follows[h.bucket]) for h in heads], f"at int, head struct<known:boolean,doc_id:{kind},tie:bigint>, goes int")
-    carried = rows.join(F.broadcast(small), (F.col("bucket") == F.col("at")) & place.eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("goes").alias("bucket"), F.lit(1).alias("last"))
-    carried = carried.dropDuplicates(["bucket"])
-    both = rows.select("doc_id", "text", "bucket", F.lit(0).alias("last")).unionByName(carried)
-    return both.repartition(len(heads), "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()), len(heads)
+    (last = 1) behind its own rows. The table is read twice, first for keys only, and the texts are shuffled once."""
+    spark, d = docs.sparkSession, docs.select("doc_id", "text")
+    keys = Stash(spark, "keys").put(d.select(place().alias("place"), F.octet_length("text").alias("bytes")))
+    n, size = keys.agg(F.count("*"), F.sum("bytes")).first()
+    buckets = min(MOST_BUCKETS, max(1, math.ceil((size or 0) / BUCKET_BYTES)))
+    kind = keys.schema["place"].dataType.simpleString()
+    cuts = spark.createDataFrame([(bucket_cuts(keys, buckets, n),)], f"cuts array<{kind}>")  # one row
+    halves = [1 << k for k in reversed(range(buckets.bit_length()))]
+    below = lambda p: F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda at, step: F.when(F.get(F.col("cuts"), at + step - 1) <= p, at + step).otherwise(at))
+    heads = keys.crossJoin(F.broadcast(cuts)).groupBy(below(F.col("place")).alias("bucket")).agg(F.max("place").alias("head")).orderBy("bucket").collect()  # a row for each bucket
+    after = [heads[(i + 1) % len(heads)].bucket for i in range(len(heads))]  # the bucket above; round to the lowest from the top
+    small = spark.createDataFrame([(h.bucket, h.head, to) for h, to in zip(heads, after)], f"at int, head {kind}, goes int")
+    rows = d.withColumn("place", place()).crossJoin(F.broadcast(cuts)).withColumn("bucket", below(F.col("place"))).drop("cuts")
+    known = rows.join(F.broadcast(small), F.col("bucket") == F.col("at"))
+    own, behind = F.struct(F.col("bucket"), F.lit(0).alias("last")), F.struct(F.col("goes").alias("bucket"), F.lit(1).alias("last"))
+    both = known.select("doc_id", "text", "place", F.explode(F.when(F.col("place").eqNullSafe(F.col("head")), F.array(own, behind)).otherwise(F.array(own))).alias("b"))
+    dealt = both.select("doc_id", "text", "place", "b.bucket", "b.last").repartitionById(max(1, buckets), F.col("bucket"))
+    return dealt.sortWithinPartitions("bucket", "last", F.col("place").desc()).select("bucket", "last", "doc_id", "text")
 
 
 def fingerprint_versions(docs: DataFrame, cells: int = CELLS) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    ready = ordered_with_next(small_batches(docs))
+
     def rows(batches):
-        bucket, keys, texts = None, [], []
+        bucket, keys, texts, closed = None, [], [], False
+        key_type = None
+
+        def out():
+            made = compare(keys, texts, cells)
+            types = [key_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, types)], COLUMNS)
+
         for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.iloc[i : i + 500]
-                for which, key, text in zip(part.bucket, part.doc_id, part.text):
-                    if which != bucket:  # the last row of a bucket is the next one's first
-                        if len(texts) > 1:
-                            yield compare(keys, texts, cells)
-                        bucket, keys, texts = which, [], []
-                    keys.append(None if pd.isna(key) else int(key))
-                    texts.append(text or "")
-                if len(texts) > 1:
-                    yield compare(keys, texts, cells)
+            key_type = b.schema.field("doc_id").type
+            for which, last, key, text in zip(*(c.to_pylist() for c in b.columns)):
+                if which != bucket:
+                    bucket, keys, texts, closed = which, [], [], False
+                if closed:  # the row that follows the bucket, repeated
+                    continue
+                keys.append(key)
+                texts.append(text or "")
+                closed = last == 1
+                if closed or len(texts) > 500:  # the last text is the next one's first
+                    yield out()
                     keys, texts = keys[-1:], texts[-1:]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ready, _ = ordered_with_next(small_batches(docs))
-    return ready.mapInPandas(rows, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ready.mapInArrow(rows, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,9 +271,9 @@ def test_matrices_round_trip(spark, docs, pdocs):
 # ---- fingerprints
 
 
-@pytest.mark.parametrize("bucket", [sketches.BUCKET_DOCS, 15])
-def test_sketch_likeness_is_that_of_sets(spark, docs, pdocs, monkeypatch, bucket):
-    monkeypatch.setattr(sketches, "BUCKET_DOCS", bucket)
+@pytest.mark.parametrize("size", [sketches.BUCKET_BYTES, 40_000])
+def test_sketch_likeness_is_that_of_sets(spark, docs, pdocs, monkeypatch, size):
+    monkeypatch.setattr(sketches, "BUCKET_BYTES", size)
     got = sketches.fingerprint_versions(docs).toPandas().sort_values("doc_id", ascending=False)
     texts = list(pdocs.sort_index(ascending=False).text)
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
@@ -289,11 +289,24 @@ def test_sketch_likeness_is_that_of_sets(spark, docs, pdocs, monkeypatch, bucket
 
 def test_buckets_do_not_show(spark, nasty, monkeypatch):
     want = sorted(map(repr, sketches.fingerprint_versions(nasty).collect()))
-    monkeypatch.setattr(sketches, "BUCKET_DOCS", 2)
-    assert sketches.ordered_with_next(nasty)[1] > 3
+    monkeypatch.setattr(sketches, "BUCKET_BYTES", 30_000)
+    assert sketches.ordered_with_next(nasty).select("bucket").distinct().count() > 2
     assert sorted(map(repr, sketches.fingerprint_versions(nasty).collect())) == want
 
 
+def test_fingerprints_of_text_keys(spark):
+    rows = [("b", "one. two."), ("a", "two. three."), ("c", None)]
+    got = {r.doc_id: (r.n_chars, r.near_next) for r in sketches.fingerprint_versions(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"c": (0, 0.0), "b": (9, 1 / 3), "a": (11, 0.0)}
+
+
+def test_colliding_digests_end_the_retries(monkeypatch):
+    monkeypatch.setattr(sketches, "RETRIES", 3)
+    monkeypatch.setattr(sketches.Cells, "peel", lambda c: (np.zeros(len(c.sizes), int), np.zeros(len(c.sizes), int), np.zeros(len(c.sizes), bool)))
+    a, b = np.array([1, 2, 3], np.uint64), np.array([2, 3, 4], np.uint64)
+    assert sketches.likenesses([(a, b), (a, a)]).tolist() == [0.5, 1.0]
+
+
 def test_recover_retries(pdocs):
     a, b = " ".join(pdocs.text[:20]), " ".join(pdocs.text[15:40])
     da, db = set(sketches.digests(a).tolist()), set(sketches.digests(b).tolist())
