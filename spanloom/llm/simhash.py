@@ -23,7 +23,7 @@ candidates with its smallest and largest member. Candidates near enough by dista
 shingle sets: first each node with its nearest, then those that still stand in two classes.
 That makes one class of most copies, at a cost in proportion to the rows. An exact join then finds every
 pair that probing left out: shingles are put in one order, those common in a sample last; two
-sets as similar as asked for share one of their first shingles (`first_shingles`), early enough for the
+sets as similar as asked for share some of their first shingles (`first_shingles`), enough of them for the
 rest to suffice. Pairs of different classes that do so are verified alike. A shared shingle costs the rows
 outside its largest class times all its rows; common shingles are salted, pairs are dealt over blocks, and
 none is dropped. So every class is a component of the graph of all pairs at the limit or above.
@@ -55,9 +55,9 @@ CROWD = 64
 SEED = 42
 UNSURE = 3.0
 BROADCAST_TEXTS = 100_000
-SAMPLED_TEXTS, MOST_COMMON = 5_000, 100_000  # what the order of shingles is taken from; any order is right
+SAMPLED_TEXTS, MOST_PARTS, MOST_COMMON = 5_000, 10, 2_000_000  # what the order of shingles is taken from; any order is right
 BROADCAST_SHINGLES = 500_000
-BLOCK = 4000
+BLOCK, FAMILY = 4000, 1000
 PIECE = 500
 
 
@@ -371,48 +371,52 @@ def near_links(prints: DataFrame, similarity: float, probes: list[tuple[list[int
 
 def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are as similar as asked for. holders: (node, doc_id, text_hash), a row of each node.
-    A pair goes to the end that has more pairs (in chunks of BLOCK), so that a pair costs one text and a chunk another."""
+    Pairs are dealt by the components that they make, so that a text is sent once for all its pairs. A component of more than
+    FAMILY nodes is cut into blocks, and pairs are dealt by their two blocks: a task holds the sets of two blocks at most."""
     stash = Stash(spark, "pairs")
     pairs = stash.put(pairs.select("a", "b").distinct())
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    of = lambda x: degree.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b")
-    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    leaf = F.when(first, F.col("b")).otherwise(F.col("a"))
-    chunk = F.pmod(F.xxhash64(leaf), F.ceil(F.greatest("n_a", "n_b") / BLOCK)).cast("int")
-    sent = stash.put(sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), chunk.alias("chunk"), leaf.alias("node")))
-    both = sent.withColumn("kind", F.lit(1)).unionByName(sent.select("hub", "chunk", F.col("hub").alias("node"), F.lit(0).alias("kind")).distinct())
-    placed = stash.put(both.join(holders, "node").withColumnsRenamed({"doc_id": "at_id", "text_hash": "at_hash"}))
+    found = components(spark, pairs)
+    sizes = found.groupBy("root").agg(F.ceil(F.count("*") / FAMILY).alias("blocks")).where("blocks > 1")
+    at = found.join(sizes, "root", "left").select("node", "root", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    of = lambda x, root: at.select(F.col("node").alias(x), *([F.col("root")] if root else []), F.col("block").alias(f"block_{x}"))
+    low, high = F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")
+    dealt = stash.put(pairs.join(of("a", True), "a").join(of("b", False), "b").select("root", low, high, "a", "b"))
+    wanted = dealt.select("root", "low", "high", F.explode(F.array("a", "b")).alias("node")).distinct()
+    placed = stash.put(wanted.join(holders, "node").withColumnsRenamed({"doc_id": "at_id", "text_hash": "at_hash"}))
     few = placed.count() <= BROADCAST_TEXTS
     known = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = known.join(F.broadcast(placed) if few else placed, known["doc_id"].eqNullSafe(placed["at_id"]) & (known["text_hash"] == placed["at_hash"]))
-    dealt = texts.select("hub", "chunk", "kind", "node", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "kind")
+    none = F.lit(None)
+    sent = texts.select("root", "low", "high", F.lit(0).alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "text")
+    sent = sent.unionByName(dealt.select("root", "low", "high", F.lit(1).alias("kind"), "a", "b", none.cast("string").alias("text")))
+    sent = sent.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "kind")
 
     def rows(batches):
-        at, own = None, None
+        at, sets = None, {}
         for b in batches:
-            hubs, nodes, out = [], [], []
-            for hub, chunk, kind, node, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
-                h = np.unique(shingle_hashes(text.as_py(), SHINGLE))
+            left, right = [], []
+            for *group, kind, x, y, text in zip(*(b.column(i).to_pylist() for i in range(6)), b.column(6)):
+                if group != at:
+                    at, sets = group, {}
                 if kind == 0:
-                    at, own = (hub, chunk), h
+                    sets[x] = np.unique(shingle_hashes(text.as_py(), SHINGLE))
                     continue
-                if (hub, chunk) != at:
-                    raise ValueError("a chunk without its hub's text")
-                common = len(np.intersect1d(own, h, assume_unique=True))
-                if common >= similarity * (len(own) + len(h) - common):
-                    hubs.append(hub)
-                    nodes.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
-
-    out = Stash(spark, "verified").put(dealt.mapInArrow(rows, "a long, b long").distinct())
+                sx, sy = sets[x], sets[y]
+                common = len(np.intersect1d(sx, sy, assume_unique=True))
+                if common >= similarity * (len(sx) + len(sy) - common):
+                    left.append(x)
+                    right.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    out = Stash(spark, "verified").put(sent.mapInArrow(rows, "a long, b long"))
     stash.drop_older(0)
     return out
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in three or more texts of a sample, sorted, and in about how many rows of docs each is."""
-    parts = max(1, docs.count() // SAMPLED_TEXTS)
+    """Shingles in three or more texts of a sample of one text in MOST_PARTS (more of small tables), sorted, and in about how
+    many rows of docs each is. The sample grows with the table, so what is common by number of rows stays so."""
+    parts = min(MOST_PARTS, max(1, docs.count() // SAMPLED_TEXTS))
     texts = docs.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(parts)) == 0).select("text").distinct()
 
     def rows(batches):
@@ -444,7 +448,7 @@ def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> Data
     by their first shingles. One shuffle of these, by shingle and, for common ones, a salt; what only one root has goes."""
     stash = Stash(spark, "first")
     spots = F.arrays_zip("first", "often")
-    placed = sets.select("node", "root", "size", F.posexplode(spots).alias("pos", "s")).select("node", "root", "size", "pos", F.col("s.first").alias("shingle"), F.ceil(F.col("s.often") / BLOCK).cast("int").alias("salts"))
+    placed = sets.select("node", "root", "size", F.explode(spots).alias("s")).select("node", "root", "size", F.col("s.first").alias("shingle"), F.ceil(F.col("s.often") / BLOCK).cast("int").alias("salts"))
     placed = placed.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("node"), F.col("salts"))).otherwise(0).cast("int"))
     group = Window.partitionBy("shingle", "salt")  # about BLOCK rows: a third of all rows can only share a common shingle
     held = placed.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where("low <> high or salts > 1")
@@ -455,14 +459,17 @@ def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> Data
     by_root = shared.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     sizes = stash.put(by_root.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
     sized = shared.join(F.broadcast(sizes) if few else sizes, "shingle")
-    named = lambda df, x: df.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "pos", "main")))
+    named = lambda df, x: df.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main")))
     a = named(sized.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
     b = named(sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "b")
-    left = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))  # the most that they have in common
-    may = (1 + similarity) * left >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6
+    sized_alike = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
-    pairs = a.join(b, ["shingle", "block"]).where((F.col("root_a") != F.col("root_b")) & once & may)
-    out = Stash(spark, "exact").put(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    pairs = a.join(b, ["shingle", "block"]).where((F.col("root_a") != F.col("root_b")) & once & sized_alike)
+    # of two sets, all that is common to both lies in both firsts, or behind the firsts of the one whose firsts end earlier
+    behind = F.greatest("size_a", "size_b") - F.col("of_larger")
+    pairs = pairs.withColumn("of_larger", F.greatest("size_a", "size_b") - F.ceil(similarity * F.greatest("size_a", "size_b") - 1e-9) + 1)
+    counted = pairs.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.count("*").alias("n"), F.first(behind).alias("behind"), F.first(F.col("size_a") + F.col("size_b")).alias("both"))
+    out = Stash(spark, "exact").put(counted.where((1 + similarity) * (F.col("n") + F.col("behind")) >= similarity * F.col("both") - 1e-6).select("a", "b"))
     stash.drop_older(0)
     return out
 
