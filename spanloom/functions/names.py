@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,20 +18,45 @@ SYLLABLE, HANZI, LETTER = "[가-힣]", "[㐀-䶿一-鿿]", "[A-Za-z]"
 SPACES = "[\\s 　]+"
 
 
+# Combining marks of names, and the letters that they make with a letter before them.
+MARKS = "[\u0300-\u036f]"
+COMPOSED = {d: chr(c) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFC", d) == chr(c)}
+PAIRS = {(unicodedata.normalize("NFC", d[:-1]) + d[-1]): c for d, c in COMPOSED.items()}
+LEADS, VOWELS, TAILS = "[\u1100-\u1112]", "[\u1161-\u1175]", "[\u11a8-\u11c2]"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once and the plan holding it once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def nfc(name: Column | str) -> Column:
-    """Composed Unicode form; Spark has no function for it. Apply once, at ingest."""
+    """Composed Unicode form of Hangul parts and of Latin letters with marks; other scripts' marks stay as they are."""
+    return let(F.col(name) if isinstance(name, str) else name, _composed)
+
 
-    def composed(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def _composed(s: Column) -> Column:
+    code = lambda c, i: F.ascii(F.substring(c, i, 1))
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, F.lit("0"))), "UTF-16BE")
 
-    return F.pandas_udf(composed, "string")(name)
+    def syllable(t: Column) -> Column:
+        tail = lambda i: F.when(F.length(t) >= i, code(t, i) - 0x11A7).otherwise(0)
+        parts = 44032 + (code(t, 1) - 0x1100) * 588 + (code(t, 2) - 0x1161) * 28 + tail(3)
+        late = code(t, 1) + tail(2)  # a whole syllable and a tail behind it
+        return F.when(t.rlike(f"^{LEADS}{VOWELS}"), letter(parts)).when(t.rlike(f"^{SYLLABLE}{TAILS}$") & ((code(t, 1) - 44032) % 28 == 0), letter(late)).otherwise(t)
+
+    each = lambda text, p, f: F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s)({p}|.)"), 1), f), "")
+    known = F.from_json(F.lit(json.dumps(PAIRS)), "map<string,string>")  # folded to a constant
+    marked = lambda text: each(text, f".{MARKS}", lambda t: F.when(F.length(t) == 2, F.coalesce(F.try_element_at(known, t), t)).otherwise(t))
+    korean = F.when(s.rlike(f"{VOWELS}|{TAILS}"), each(s, f"{LEADS}{VOWELS}{TAILS}?|{SYLLABLE}{TAILS}", syllable)).otherwise(s)
+    return F.when(s.rlike(MARKS), marked(marked(korean))).otherwise(korean)
 
 
 def normalize(name: Column) -> Column:
-    """Blanks collapsed, certification marks removed, syllables spelled apart joined. Null gives ''."""
-    s = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), SPACES, " "))
-    s = F.trim(F.regexp_replace(s, f"(?i){CERTIFIED}", ""))
-    return F.when(s.rlike(f"^{SYLLABLE}( {SYLLABLE})+$"), F.replace(s, F.lit(" "), F.lit(""))).otherwise(s)
+    """Composed, blanks collapsed, certification marks removed, syllables spelled apart joined. Null gives ''."""
+    s = F.trim(F.regexp_replace(nfc(F.coalesce(name, F.lit(""))), SPACES, " "))
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, f"(?i){CERTIFIED}", ""), " +", " "))
+    return let(s, lambda t: F.when(t.rlike(f"^{SYLLABLE}( {SYLLABLE})+$"), F.replace(t, F.lit(" "), F.lit(""))).otherwise(t))
 
 
 def script(norm: Column) -> Column:
@@ -61,9 +87,11 @@ def parts(norm: Column) -> Column:
 
 def key(name: Column) -> Column:
     """Blocking key: equal keys are candidates, and so are equal lower-cased normal forms."""
-    norm = normalize(name)
-    kind, p = script(norm), parts(norm)
-    whole = F.lower(norm)
+    return let(normalize(name), _key)
+
+
+def _key(norm: Column) -> Column:
+    kind, p, whole = script(norm), parts(norm), F.lower(norm)
     return (
         F.when(kind.isin("korean", "han"), F.concat(kind, F.lit(":"), F.replace(norm, F.lit(" "), F.lit(""))))
         .when((kind == "latin") & p.surname.isNotNull() & p.initial.isNotNull(), F.concat(F.lit("latin:"), F.lower(p.initial), F.lit(" "), F.lower(p.surname)))
@@ -73,28 +101,45 @@ def key(name: Column) -> Column:
 
 
 def initials_form(name: Column) -> Column:
-    p = parts(normalize(name))
+    return let(normalize(name), lambda norm: let(parts(norm), _short_form))
+
+
+def _short_form(p: Column) -> Column:
     return F.when(p.surname.isNotNull() & p.initial.isNotNull(), F.concat(p.initial, F.lit(" "), F.upper(F.substring(p.surname, 1, 1)), F.regexp_replace(p.surname, "^.", "")))
 
 
 def completeness(name: Column) -> Column:
     """3 full, 2 surname and initial, 1 ambiguous."""
-    norm = normalize(name)
+    return let(normalize(name), _completeness)
+
+
+def _completeness(norm: Column) -> Column:
     kind, p = script(norm), parts(norm)
     spelled = F.exists(p.given, lambda t: ~is_initials(t) & t.rlike("[a-z]"))
     compact = F.length(F.replace(norm, F.lit(" "), F.lit("")))
     return F.when(kind.isin("korean", "han"), F.when(compact >= 2, 3).otherwise(1)).when(kind == "latin", F.when(p.surname.isNull(), 1).when(spelled, 3).otherwise(2)).otherwise(1)
 
 
+def parsed(name: Column) -> Column:
+    """What matching needs of a raw name, computed once a row: struct of norm, script, surname, initial, first and full."""
+    made = lambda norm, p: F.struct(norm.alias("norm"), script(norm).alias("script"), F.lower(p["surname"]).alias("surname"), p["initial"].alias("initial"), F.lower(p["first"]).alias("first"), (~is_initials(p["first"])).alias("full"))
+    return let(normalize(name), lambda norm: let(parts(norm), lambda p: made(norm, p)))
+
+
+def same(x: Column, y: Column) -> Column:
+    """Confident match of two parsed names; not transitive."""
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    near = (x["surname"] == y["surname"]) & (x["initial"] == y["initial"]) & (~(x["full"] & y["full"]) | (x["first"] == y["first"]))
+    latin = (F.lower(x["norm"]) == F.lower(y["norm"])) | F.coalesce(near, F.lit(False))
+    return (
+        F.when((x["norm"] == "") | (y["norm"] == ""), False).when(x["norm"] == y["norm"], True).when(x["script"] != y["script"], False)
+        .when(x["script"].isin("korean", "han"), bare(x["norm"]) == bare(y["norm"])).when(x["script"] == "latin", latin).otherwise(False)
+    )
+
+
 def matches(a: Column, b: Column) -> Column:
     """Confident match of two raw names; not transitive."""
-    x, y = normalize(a), normalize(b)
-    kx, ky, p, q = script(x), script(y), parts(x), parts(y)
-    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    near = (F.lower(p.surname) == F.lower(q.surname)) & (p.initial == q.initial)
-    both_full = ~is_initials(p["first"]) & ~is_initials(q["first"])
-    latin = (F.lower(x) == F.lower(y)) | (F.coalesce(near, F.lit(False)) & (~both_full | (F.lower(p["first"]) == F.lower(q["first"]))))
-    return F.when((x == "") | (y == ""), False).when(x == y, True).when(kx != ky, False).when(kx.isin("korean", "han"), bare(x) == bare(y)).when(kx == "latin", F.coalesce(latin, F.lit(False))).otherwise(False)
+    return let(F.struct(parsed(a).alias("a"), parsed(b).alias("b")), lambda x: same(x["a"], x["b"]))
 
 
 def jamo(name: Column) -> Column:
@@ -169,7 +214,7 @@ def short(token: str) -> bool:
 @lru_cache(100_000)
 def parse(raw: str | None) -> Name:
     s = re.sub(r"\s+", " ", unicodedata.normalize("NFC", raw or "")).strip()
-    s = re.sub(CERTIFIED, "", s, flags=re.I).strip()
+    s = re.sub(r"\s+", " ", re.sub(CERTIFIED, "", s, flags=re.I)).strip()
     if re.fullmatch(f"{SYLLABLE}(?: {SYLLABLE})+", s):
         s = s.replace(" ", "")
     kinds = [k for k, p in (("korean", SYLLABLE), ("han", HANZI), ("latin", LETTER)) if re.search(p, s)]

@@ -12,17 +12,47 @@ ROLES = ["supervisor", "co_supervisor", "committee", "department_head", "princip
 ROLE_LABELS = dict(zip(ROLES, ["지도교수", "부지도교수", "심사위원", "학과장", "책임자", "참여연구진", "공저자", "부서장", "실장", "과제책임자"]))
 DOC_LABELS = {"degree_thesis": "학위논문", "representative_research": "대표연구실적", "journal_article": "학술논문", "research_project": "연구과제", "hindex": "구글스칼라(hindex)", "unknown": "미분류"}
 FLAG_LABELS = {"seal": "도장", "handwriting": "손글씨", "signature": "서명", "low_confidence": "저신뢰", "ambiguous": "동명이인/약어", "needs_vision": "비전 판독 필요"}
-ROLE_WORDS = {
-    "supervisor": "지도교수, 지도, advisor, supervisor, thesis advisor",
-    "co_supervisor": "부지도교수, 공동지도교수, 공동지도, co-advisor, co advisor, co-supervisor, co-chair",
-    "committee": "심사위원, 심사위원장, 위원, 위원장, chair, committee, committee member, examiner, member",
-    "department_head": "학과장, 주임교수, head, department head, head of department",
-    "principal_investigator": "책임자, 연구책임자, pi, principal investigator",
-    "research_staff": "참여연구진, 연구원",
-    "coauthor": "공저자, 저자, coauthor, co-author, author",
-    "division_head": "부서장",
-    "office_head": "실장",
-    "project_manager": "과제책임자",
+LABEL_ROLES = {
+    "지도교수": "supervisor",
+    "지도": "supervisor",
+    "advisor": "supervisor",
+    "supervisor": "supervisor",
+    "thesis advisor": "supervisor",
+    "부지도교수": "co_supervisor",
+    "공동지도교수": "co_supervisor",
+    "공동지도": "co_supervisor",
+    "co-advisor": "co_supervisor",
+    "co advisor": "co_supervisor",
+    "co-supervisor": "co_supervisor",
+    "co-chair": "co_supervisor",
+    "심사위원": "committee",
+    "심사위원장": "committee",
+    "위원": "committee",
+    "위원장": "committee",
+    "chair": "committee",
+    "committee": "committee",
+    "committee member": "committee",
+    "examiner": "committee",
+    "member": "committee",
+    "학과장": "department_head",
+    "주임교수": "department_head",
+    "head": "department_head",
+    "department head": "department_head",
+    "head of department": "department_head",
+    "책임자": "principal_investigator",
+    "연구책임자": "principal_investigator",
+    "pi": "principal_investigator",
+    "principal investigator": "principal_investigator",
+    "참여연구진": "research_staff",
+    "연구원": "research_staff",
+    "공저자": "coauthor",
+    "저자": "coauthor",
+    "coauthor": "coauthor",
+    "co-author": "coauthor",
+    "author": "coauthor",
+    "부서장": "division_head",
+    "실장": "office_head",
+    "과제책임자": "project_manager",
 }
 TAG_TYPES = {"학위논문": "degree_thesis", "대표연구실적": "representative_research", "학술논문": "journal_article", "연구보고서": "research_project", "연구과제": "research_project", "과제": "research_project"}
 THESIS_CONTENT = r"(?i)지도\s*교수|심사\s*위원|위원장|학위\s*논문|dissertation|thesis advisor|committee member"
@@ -87,7 +117,7 @@ def mark_pages(fmt: Column, doc_type: Column) -> Column:
 
 
 def role_from_label(label: Column) -> Column:
-    words = {w.strip(): role for role, ws in ROLE_WORDS.items() for w in ws.split(",")} | {r: r for r in ROLES}
+    words = LABEL_ROLES | {r: r for r in ROLES}
     s = F.trim(label)
     return F.coalesce(lookup(words, s), lookup(words, F.lower(s)))
 
@@ -213,17 +243,62 @@ def json_block(text: Column) -> Column:
     return F.when((start > 0) & (back > 0) & (end > start), F.substring(body, start, end - start + 1))
 
 
-RESPONSE = "struct<persons:array<struct<name:string,role:string,affiliation:string,sourceKind:string,page:int,confidence:double,isSelf:boolean>>>"
+#: The JSON types that an answer's fields must have, where they aren't null or missing.
+ANSWER_FIELDS = {"name": ["STRING"], "role": ["STRING"], "affiliation": ["STRING"], "source_kind": ["STRING"], "page": ["BIGINT", "DECIMAL", "DOUBLE"], "confidence": ["BIGINT", "DECIMAL", "DOUBLE"], "is_self": ["BOOLEAN"]}
 
 
-def response_persons(text: Column, doc_type: Column) -> Column:
-    """A model's answer as an array of persons with defaults filled in; one bad record rejects the whole list."""
-    read = F.from_json(json_block(text), RESPONSE)["persons"]
-    bad = F.exists(read, lambda p: p["name"].isNull() | (F.trim(p["name"]) == ""))
+def answer_json(text: Column) -> Column:
+    """The answer's JSON as a variant; null if it can't be parsed, which counts as a failed call."""
+    block = json_block(text)
+    return F.try_parse_json(F.coalesce(block, F.when(F.trim(text) == "", "{}").otherwise(text)))
+
+
+def response_persons(text: Column, doc_type: Column, self_name: Column | None = None) -> Column:
+    """A model's answer as an array of persons with defaults filled in. One record that isn't as it should be (a name that is
+    missing or empty, a field of another JSON type) rejects the whole list. Null for an answer that isn't JSON."""
+    from spanloom.functions import names
+
+    whole = answer_json(text)
+    kind = lambda v, path: F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
+    people = F.try_variant_get(whole, "$.persons", "array<variant>")
+    get = lambda p, field, of: F.try_variant_get(p, f"$.{field}", of)
+    typed = lambda p: reduce(lambda x, y: x & y, [F.coalesce(kind(p, f"$.{field}").isin("VOID", *kinds), F.lit(True)) for field, kinds in ANSWER_FIELDS.items()])
+    good = lambda p: (kind(p, "$") == "OBJECT") & typed(p) & (F.coalesce(get(p, "name", "string"), F.lit("")) != "")
+    me = F.lit(None).cast("string") if self_name is None else self_name
     fill = lambda p: F.struct(
-        F.trim(p["name"]).alias("name_raw"), F.coalesce(role_from_label(p["role"]), default_role(doc_type)).alias("role"), p["affiliation"].alias("affiliation"),
-        source_kind(p["sourceKind"]).alias("source_kind"), F.coalesce(p["page"], F.lit(1)).alias("page"), clamp01(F.coalesce(p["confidence"], F.lit(0.6))).alias("confidence"), p["isSelf"].alias("is_self"))
-    return F.when(read.isNull() | bad, F.array()).otherwise(F.transform(read, fill))
+        get(p, "name", "string").alias("nameRaw"), F.coalesce(role_from_label(get(p, "role", "string")), default_role(doc_type)).alias("role"), get(p, "affiliation", "string").alias("affiliation"),
+        source_kind(get(p, "source_kind", "string")).alias("sourceKind"), F.coalesce(get(p, "page", "double").cast("int"), F.lit(1)).alias("sourcePage"),
+        clamp01(F.coalesce(get(p, "confidence", "double"), F.lit(0.6))).alias("confidence"),
+        F.coalesce(get(p, "is_self", "boolean"), names.matches(get(p, "name", "string"), me) & (F.coalesce(me, F.lit("")) != ""), F.lit(False)).alias("isSelf"), get(p, "confidence", "double").alias("ocrConfidence"))
+    return F.when(whole.isNull(), None).when(people.isNull() | F.exists(people, lambda p: ~F.coalesce(good(p), F.lit(False))), F.array()).otherwise(F.transform(people, fill))
+
+
+PROMPT_CHARS = 12000  # fixed value
+TASKS = {
+    "degree_thesis": "From the cover and approval pages of this thesis, list the supervisor (지도교수), co_supervisor (부지도교수), committee (심사위원) and department_head (학과장).",
+    "representative_research": "List the coauthors (공저자) in the author block of page 1, with affiliation or mail domain; leave out authors that the text cites.",
+    "journal_article": "List the coauthors (공저자) in the author block of page 1, with affiliation or mail domain; leave out authors that the text cites.",
+    "research_project": "List the people of this project: principal_investigator (연구책임자), project_manager (과제책임자), research_staff (연구원), from the submission page and staff tables; leave out institutions.",
+    "hindex": "List the coauthors shown in the panel and the paper list of this scholar page; names are often initials and a surname.",
+}
+PROMPT_RULES = (
+    "You list the people named in a document for a conflict-of-interest review. Use only names that stand in it; never make one up; with none, return an empty list. "
+    "Never take names from references. Answer with one JSON object: "
+    '{"persons":[{"name":string,"role":string,"affiliation":string|null,"source_kind":string,"page":number,"confidence":number,"is_self":boolean}]}. '
+    "role is one of supervisor, co_supervisor, committee, department_head, principal_investigator, research_staff, coauthor, project_manager; "
+    "source_kind is one of printed, handwritten, seal, signature; confidence is from 0 to 1."
+)
+
+
+def prompt(doc_type: Column, pages: Column, self_name: Column | None = None) -> Column:
+    """Struct of system and user message for a document's pages. The text is cut after PROMPT_CHARS; without any, the
+    model is told to read the page images."""
+    texts = F.filter(F.transform(pages, lambda p: p["text"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    text = F.substring(F.array_join(texts, "\n\n"), 1, PROMPT_CHARS)
+    task = F.coalesce(lookup(TASKS, doc_type), F.lit("List the supervisors, committee members, coauthors and other people tied to this document."))
+    me = F.lit("") if self_name is None else F.when(F.coalesce(self_name, F.lit("")) != "", F.concat(F.lit('\nThe applicant is "'), self_name, F.lit('"; set is_self to true for that person.'))).otherwise("")
+    body = F.when(F.trim(text) != "", F.concat(F.lit("[document]\n"), text, F.lit("\n[end]"))).otherwise("The document has no text layer: read the attached page images.")
+    return F.struct(F.lit(PROMPT_RULES).alias("system"), F.concat(task, me, F.lit("\n\n"), body).alias("user"))
 
 
 def endpoints(setting: Column) -> Column:

@@ -23,7 +23,8 @@ STOP = rf"{L}abstract{R}|초록|keywords|{L}introduction{R}|서\s*론"
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}"
 SEPARATOR = rf"(?i),|·|;|&|{L}and{R}"
 THESIS_PAGES, BLOCK, THESIS_CONFIDENCE, ARTICLE_CONFIDENCE = 2, 800, 0.9, 0.85
-MENTION = ["documentId", "person_seq", "nameRaw", "role", "affiliation", "sourceKind", "sourcePage", "confidence", "evidence"]
+#: What every extractor returns, so that mentions of all of them go into one table.
+MENTION = ["documentId", "person_seq", "nameRaw", "role", "affiliation", "sourceKind", "sourcePage", "confidence", "evidence", "isSelf", "ocrEngine", "ocrConfidence"]
 
 
 def found_names(segment: Column) -> Column:
@@ -73,18 +74,22 @@ def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     seq = F.row_number().over(Window.partitionBy("documentId").orderBy(*order)) - 1  # the names of one document
-    return df.withColumns({"person_seq": seq, "sourceKind": F.lit("printed")}).select(*MENTION)
+    none = F.lit(None)
+    return df.withColumns({"person_seq": seq, "sourceKind": F.lit("printed"), "isSelf": F.lit(False), "ocrEngine": none.cast("string"), "ocrConfidence": none.cast("double")}).select(*MENTION)
 
 
 def rule_people(docs: DataFrame) -> DataFrame:
-    """docs: documentId, docType, pages. Theses by role words; scholar captures give nothing; all others by author lines."""
-    return thesis_people(docs.where("docType = 'degree_thesis'")).unionByName(article_people(docs.where("docType not in ('degree_thesis', 'hindex')")))
+    """docs: documentId, docType, pages (and selfName). Theses by role words; scholar captures give nothing; all others by
+    author lines."""
+    found = thesis_people(docs.where("docType = 'degree_thesis'")).unionByName(article_people(docs.where("docType not in ('degree_thesis', 'hindex')")))
+    return tag_self(found, docs) if "selfName" in docs.columns else found
 
 
 def tag_self(mentions: DataFrame, documents: DataFrame) -> DataFrame:
-    """documents: documentId, selfName. Adds isSelf."""
-    mine = F.coalesce(names.matches(F.col("nameRaw"), F.col("selfName")), F.lit(False)) & F.col("selfName").isNotNull()
-    return mentions.join(documents.select("documentId", "selfName"), "documentId", "left").withColumn("isSelf", mine).drop("selfName")
+    """documents: documentId, selfName. isSelf also marks the names that match the applicant's."""
+    mine = F.coalesce(names.matches(F.col("nameRaw"), F.col("selfName")), F.lit(False)) & (F.coalesce("selfName", F.lit("")) != "")
+    known = F.coalesce("isSelf", F.lit(False)) if "isSelf" in mentions.columns else F.lit(False)
+    return mentions.join(documents.select("documentId", "selfName"), "documentId", "left").withColumn("isSelf", known | mine).select(*mentions.columns, *([] if "isSelf" in mentions.columns else ["isSelf"]))
 
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -100,28 +105,62 @@ def extractor(name: str | None = None) -> Extractor:
     return EXTRACTORS[name or "stub"]
 
 
-def hybrid(docs: DataFrame, text: Extractor, image: Extractor) -> DataFrame:
-    """Documents with a text page go to one extractor, the others to the other; both before the costly call."""
-    has_text = rules.routes_to_text(F.col("pages"))
-    return text(docs.where(has_text)).unionByName(image(docs.where(~F.coalesce(has_text, F.lit(False)))), allowMissingColumns=True)
+def hybrid(docs: DataFrame, text: Extractor = rule_people, image: Extractor | None = None) -> DataFrame:
+    """Documents with a text page go to one extractor, the others to the other; both before the costly call. Both have to
+    return the columns of MENTION."""
+    has_text = F.coalesce(rules.routes_to_text(F.col("pages")), F.lit(False))
+    return text(docs.where(has_text)).unionByName((image or extractor("vlm"))(docs.where(~has_text)))
 
 
-def model_people(docs: DataFrame, call: Callable[[str], str]) -> DataFrame:
-    """docs: documentId, docType, prompt. `call` sends a prompt and returns the answer; a failing call gives nobody."""
+def ask_model(docs: DataFrame, call: Callable[[str, str, list[str]], str]) -> DataFrame:
+    """docs: documentId, docType, pages (and selfName). `call` sends a system and a user message and the paths of page images and
+    returns the answer. Adds answer and error: what a failing call raised, or that the answer is no JSON."""
+    me = F.col("selfName") if "selfName" in docs.columns else F.lit(None).cast("string")
+    kind = docs.schema["documentId"].dataType.simpleString()
+    prompt = rules.prompt(F.col("docType"), F.col("pages"), me)
+    images = F.filter(F.transform("pages", lambda p: p["imagePath"]), lambda p: p.isNotNull())
+    asked = docs.select("documentId", "docType", me.alias("selfName"), prompt.alias("p"), images.alias("images")).select("documentId", "docType", "selfName", "p.system", "p.user", "images")
 
     def rows(batches):
         for b in batches:
-            def safe(p):
+            answers, errors = [], []
+            for system, user, paths in zip(b.system, b.user, b.images):
                 try:
-                    return call(p)
-                except Exception:  # noqa: BLE001  one model failing leaves the others' votes
-                    return None
+                    answers.append(call(system, user, list(paths) if paths is not None else []))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  told in the row
+                    answers.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            b["answer"], b["error"] = answers, errors
+            yield b[["documentId", "docType", "selfName", "answer", "error"]]
 
-            b["answer"] = [safe(p) for p in b.prompt]
-            yield b[["documentId", "docType", "answer"]]
+    out = asked.mapInPandas(rows, f"documentId {kind}, docType string, selfName string, answer string, error string")
+    bad = F.when(F.col("answer").isNotNull() & rules.answer_json(F.col("answer")).isNull(), "the answer is no JSON")
+    return out.withColumn("error", F.coalesce("error", bad))
 
-    answers = docs.select("documentId", "docType", "prompt").mapInPandas(rows, "documentId string, docType string, answer string")
-    return answers.select("documentId", F.posexplode(rules.response_persons(F.col("answer"), F.col("docType"))).alias("person_seq", "p")).select("documentId", "person_seq", "p.*")
+
+def answered_people(answers: DataFrame, engine: str = "vlm") -> DataFrame:
+    """Mentions of the answers without an error."""
+    people = rules.response_persons(F.col("answer"), F.col("docType"), F.col("selfName"))
+    each = answers.where("error is null").select("documentId", F.posexplode(people).alias("person_seq", "p")).select("documentId", "person_seq", "p.*")
+    return each.withColumns({"evidence": F.lit(None).cast("string"), "ocrEngine": F.lit(engine)}).select(*MENTION)
+
+
+def model_people(docs: DataFrame, call: Callable[[str, str, list[str]], str], engine: str = "vlm") -> DataFrame:
+    """Mentions of one model. Failed documents give none; `ask_model` tells them from those in which nobody was found."""
+    return answered_people(ask_model(docs, call), engine)
+
+
+def ensemble_people(docs: DataFrame, calls: dict[str, Callable[[str, str, list[str]], str]], min_votes: int = 1) -> DataFrame:
+    """The models' votes; a failing model counts among those asked."""
+    from spanloom.operators import resolve
+
+    votes = None
+    for i, (engine, call) in enumerate(calls.items()):
+        one = model_people(docs, call, engine).withColumn("model", F.lit(i))
+        votes = one if votes is None else votes.unionByName(one)
+    won = resolve.ensemble_vote(votes.withColumnRenamed("documentId", "document_id"), len(calls), min_votes).withColumnsRenamed({"document_id": "documentId", "seq": "person_seq"})
+    return won.withColumns({"evidence": F.lit(None).cast("string"), "ocrEngine": F.lit("ensemble")}).select(*MENTION)
 
 
 def detect_marks(docs: DataFrame, find: Callable[[str, int], list[dict]]) -> DataFrame:
@@ -138,3 +177,23 @@ def detect_marks(docs: DataFrame, find: Callable[[str, int], list[dict]]) -> Dat
     found = pages.mapInPandas(rows, "documentId string, page int, type string, x double, y double, w double, h double, confidence double")
     kept = found.where(F.lower("type").isin("seal", "signature", "handwriting"))
     return kept.select("documentId", "page", F.lower("type").alias("type"), rules.clamp_box(F.struct("x", "y", "w", "h")).alias("bbox"), rules.clamp01(F.col("confidence")).alias("confidence"))
+
+
+def cut_marks(marks: DataFrame, documents: DataFrame, cut: Callable[[str, int, dict], str | None]) -> DataFrame:
+    """Adds cropPath: `cut` stores a page's region (a box in shares of the page) and returns where, or None. A failing cut
+    leaves the mark without a picture."""
+    placed = marks.join(documents.select("documentId", "filepath"), "documentId", "left")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema) + ", cropPath string"
+
+    def rows(batches):
+        for b in batches:
+            paths = []
+            for f, page, box in zip(b.filepath, b.page, b.bbox):
+                try:
+                    paths.append(cut(f, page, dict(box)))
+                except Exception:  # noqa: BLE001  the mark itself still counts
+                    paths.append(None)
+            b["cropPath"] = paths
+            yield b
+
+    return placed.mapInPandas(rows, schema).drop("filepath")

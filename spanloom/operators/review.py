@@ -14,12 +14,14 @@ def latest_status(jobs: DataFrame, key: Column) -> DataFrame:
 
 
 def applicant_summary(applicants: DataFrame, people: DataFrame, documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Counts of people, people to review and documents, and the newest job's status; one aggregate for each table before the joins."""
+    """Counts of people, people to review and documents, and the newest job's status; one aggregate for each table before the joins.
+    In display order, newest first, where applicants have created_at."""
     n_people = people.groupBy("applicant_id").agg(F.count("*").alias("people"), F.count_if("needs_human").alias("needs"))
     n_docs = documents.groupBy("applicant_id").agg(F.count("*").alias("documents"))
     status = latest_status(jobs, F.get_json_object("payload", "$.applicantId")).withColumnRenamed("key", "applicant_id")
     joined = applicants.join(n_people, "applicant_id", "left").join(n_docs, "applicant_id", "left").join(status, "applicant_id", "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("people", "needs", "documents")})
+    out = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("people", "needs", "documents")})
+    return out.orderBy(F.desc("created_at"), "applicant_id") if "created_at" in applicants.columns else out
 
 
 def status_badge(status: Column, needs: Column) -> Column:
@@ -27,13 +29,16 @@ def status_badge(status: Column, needs: Column) -> Column:
 
 
 def review_queue(flags: DataFrame, applicants: DataFrame, documents: DataFrame, persons: DataFrame) -> DataFrame:
-    """Open flags with the names of what they point to; what is missing stays null."""
-    return (
+    """Open flags with the names of what they point to; what is missing stays null, but a format, which is then 'pdf'. In display
+    order, by applicant and newest first, where flags have created_at."""
+    out = (
         flags.where("status = 'open'")
         .join(applicants.select("applicant_id", F.col("name").alias("applicant_name")), "applicant_id", "left")
         .join(documents.select("document_id", "filename", "format"), "document_id", "left")
         .join(persons.select("person_id", "name_raw"), "person_id", "left")
+        .withColumn("format", F.coalesce("format", F.lit("pdf")))
     )
+    return out.orderBy("applicant_id", F.desc("created_at")) if "created_at" in flags.columns else out
 
 
 def candidate_sources(flags: DataFrame, people: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import rules
@@ -66,6 +66,18 @@ def xlsx_bytes(df: DataFrame, sheet: str = "people", width: int = 24, most_rows:
     return out.getvalue()
 
 
+def snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, name: str, keep: int = 14) -> list[str]:
+    """Copies the tables to a folder of that name under root and deletes all but the `keep` last by name. Returns what went."""
+    for table, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{root}/{name}/{table}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = sorted((s.getPath().getName() for s in fs.listStatus(at)), reverse=True)[keep:]
+    for old in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at, old), True)
+    return gone
+
+
 def write_by_key(df: DataFrame, path: str, key: str) -> None:
     """Overwrites only the partitions of the keys in df, so a repeated run gives the same table."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

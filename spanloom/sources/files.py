@@ -20,7 +20,7 @@ from spanloom.functions import rules
 # Fixed values.
 PDF_PAGES, TEXT_LEAST = 20, 12
 ENTRIES_MOST, BYTES_MOST, NAME_BYTES = 5000, 500 * 2**20, 200
-JUNK = {".DS_Store", "Thumbs.db"}
+JUNK = {"__MACOSX", ".DS_Store", "Thumbs.db"}
 PAGE = "struct<pageNumber:int,text:string,hasText:boolean,imagePath:string>"
 SCAN = f"path string, format string, pages array<{PAGE}>, pageCount int, hasTextLayer boolean, note string"
 
@@ -60,55 +60,207 @@ def ingest(kind: str, content: bytes, path: str) -> tuple:
         return (kind, [], 0, f"not readable: {e}", False) if kind == "hwp" else (kind, [""], 1, f"not readable: {e}", kind == "pdf")
 
 
-# ---- PDF: text operators of plain and deflated streams
+# ---- PDF: objects, plain or in object streams, pages in tree order, fonts' Unicode maps
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Text of each page that has content; a document without page objects is one page."""
-    if not data.lstrip()[:4] == b"%PDF":
-        raise ValueError("no PDF header")
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj(.*?)endobj", data, re.S)}
-    pages = [body for body in objects.values() if re.search(rb"/Type\s*/Page(?![A-Za-z])", body)]
-    streams = lambda body: [_stream(objects.get(int(r), b"")) for r in re.findall(rb"(\d+)\s+\d+\s+R", _contents(body))]
-    texts = [" ".join(map(_shown, streams(p))) for p in pages]
-    if not pages:
-        texts = [" ".join(_shown(_stream(b"stream" + s + b"endstream")) for s in re.findall(rb"stream(.*?)endstream", data, re.S))]
-    return [re.sub(r"\s+", " ", t).strip() for t in texts]
+class Ref(int):
+    """Number of an object that is referred to."""
 
 
-def _contents(body: bytes) -> bytes:
-    m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-    return m[1] if m else b""
+class Word(str):
+    """A name (with its slash), operator or keyword; strings are bytes."""
 
 
-def _stream(body: bytes) -> bytes:
-    m = re.search(rb"stream\r?\n?(.*?)\r?\n?endstream", body, re.S)
-    if not m:
-        return b""
-    if b"FlateDecode" in body[: m.start()]:
-        return zlib.decompressobj().decompress(m[1])
-    return m[1]
+TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]]|/[^\s()<>\[\]{}/%]*|\((?:[^()\\]|\\.)*|<[0-9A-Fa-f\s]*>|[^\s()<>\[\]{}/%]+|[{}()]", re.S)
+REF = re.compile(rb"\s+(\d+)\s+R(?![^\s()<>\[\]{}/%])")
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r\n": b""}
+NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
 
 
-ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+def literal(data: bytes, at: int) -> tuple[bytes, int]:
+    """The string that opens at `at`, and where it ends."""
+    depth, i = 0, at
+    while i < len(data):
+        c = data[i]
+        i += 2 if c == 0x5C else 1
+        depth += (c == 0x28) - (c == 0x29)
+        if not depth and c != 0x5C:
+            break
+    raw = re.sub(rb"\\([0-7]{1,3}|\r\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else ESCAPES.get(m[1], m[1]), data[at + 1 : i - 1], flags=re.S)
+    return raw, i
 
 
-def _shown(content: bytes) -> str:
-    """Strings shown by Tj, ' and TJ."""
-    out = []
-    for m in re.finditer(rb"(\[(?:[^\]\\]|\\.)*\]|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+>)\s*(?:Tj|TJ|')", content, re.S):
-        parts = re.findall(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+>", m[1], re.S)
-        out.append("".join(map(_string, parts)))
-    return " ".join(out)
+def tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
+    """Values and operators of a content stream or object, with where each ends: numbers, bytes, Word, Ref, lists, dicts."""
+    stack: list[tuple[bytes, list]] = []
+    while m := TOKEN.search(data, at):
+        t, at = m[0], m.end()
+        value: object
+        if t[:1] == b"%":
+            continue
+        if t in (b"<<", b"["):
+            stack.append((t, []))
+            continue
+        if t in (b">>", b"]"):
+            if not stack:
+                continue
+            opened, inside = stack.pop()
+            value = dict(zip(inside[::2], inside[1::2])) if opened == b"<<" else inside
+        elif t[:1] == b"(":
+            value, at = literal(data, m.start())
+        elif t[:1] == b"<":
+            digits = re.sub(rb"\s", b"", t[1:-1]).decode()
+            value = bytes.fromhex(digits + "0" * (len(digits) % 2))
+        elif t.isdigit() and (r := REF.match(data, at)):
+            value, at = Ref(t), r.end()
+        elif NUMBER.match(t):
+            value = float(t)
+        else:
+            value = Word(t.decode("latin-1"))
+        if stack:
+            stack[-1][1].append(value)
+        else:
+            yield value, at
+
+
+class Pdf:
+    """Objects by number: the dictionary or value, and the stream's bytes behind it."""
+
+    def __init__(self, data: bytes):
+        if not data.lstrip()[:4] == b"%PDF":
+            raise ValueError("no PDF header")
+        self.objects: dict[int, tuple[object, bytes | None]] = {}
+        starts = [(int(m[1]), m.end()) for m in re.finditer(rb"(?<![0-9])(\d+)\s+\d+\s+obj(?![a-z])", data)]
+        for n, at in starts:
+            value, end = next(tokens(data, at), (None, at))
+            m = re.compile(rb"\s*stream\r?\n?").match(data, end)
+            body = None
+            if m:
+                stop = data.find(b"endstream", m.end())
+                size = value.get("/Length") if isinstance(value, dict) else None
+                whole = m.end() + int(size) if isinstance(size, float) else -1
+                exact = whole >= 0 and data[whole : whole + 20].lstrip().startswith(b"endstream")
+                body = data[m.end() : whole] if exact else re.sub(rb"\r?\n$", b"", data[m.end() : stop])
+            self.objects[n] = (value, body)
+        for value, body in list(self.objects.values()):
+            if isinstance(value, dict) and value.get("/Type") == "/ObjStm":
+                inside, first = self.unpacked(value, body), int(value["/First"])
+                head = [int(x) for x, _ in tokens(inside[:first])]
+                for n, at in zip(head[::2], head[1::2]):
+                    self.objects.setdefault(n, (next(tokens(inside, first + at), (None, 0))[0], None))
+
+    def get(self, value: object) -> object:
+        for _ in range(20):
+            if not isinstance(value, Ref):
+                break
+            value = self.objects.get(int(value), (None, None))[0]
+        return value
+
+    def unpacked(self, value: dict, body: bytes | None) -> bytes:
+        filters = self.get(value.get("/Filter"))
+        out = body or b""
+        for f in filters if isinstance(filters, list) else [filters]:
+            if f in ("/FlateDecode", "/Fl"):
+                out = zlib.decompressobj().decompress(out)
+            elif f in ("/ASCIIHexDecode", "/AHx"):
+                digits = re.sub(rb"[^0-9A-Fa-f]", b"", out.split(b">")[0]).decode()
+                out = bytes.fromhex(digits + "0" * (len(digits) % 2))
+            elif f is not None:
+                return b""  # images
+        return out
+
+    def stream(self, ref: object) -> bytes:
+        value, body = self.objects.get(int(ref), (None, None)) if isinstance(ref, Ref) else (None, None)
+        return self.unpacked(value, body) if isinstance(value, dict) and body is not None else b""
+
+    def pages(self) -> list[dict]:
+        """In the order of the page tree, with what they inherit; without a tree by object number."""
+        dicts = [v for v, _ in self.objects.values() if isinstance(v, dict)]
+        root = next((self.get(d["/Pages"]) for d in dicts if d.get("/Type") == "/Catalog" and "/Pages" in d), None)
+        out: list[dict] = []
+        todo, seen = [(root, {})] if isinstance(root, dict) else [], set()
+        while todo:
+            node, above = todo.pop()
+            if not isinstance(node, dict) or id(node) in seen:
+                continue
+            seen.add(id(node))
+            own = above | ({"/Resources": node["/Resources"]} if "/Resources" in node else {})
+            if "/Kids" in node:
+                todo += [(self.get(k), own) for k in reversed(self.get(node["/Kids"]) or [])]
+            else:
+                out.append(own | node)
+        return out or [self.objects[n][0] for n in sorted(self.objects) if isinstance(self.objects[n][0], dict) and self.objects[n][0].get("/Type") == "/Page"]
+
+    def text(self, page: dict) -> str:
+        contents = page.get("/Contents")
+        parts = self.get(contents) if isinstance(self.get(contents), list) else [contents]
+        resources = self.get(page.get("/Resources")) or {}
+        fonts = self.get(resources.get("/Font")) if isinstance(resources, dict) else None
+        maps = {name: unicode_map(self.stream(f["/ToUnicode"])) for name, ref in (fonts or {}).items() if isinstance(f := self.get(ref), dict) and "/ToUnicode" in f}
+        return shown(b"\n".join(self.stream(p) for p in parts), maps)
+
+
+def unicode_map(cmap: bytes) -> tuple[int, dict[int, str]]:
+    """Width of a code in bytes, and the text of each code."""
+    out: dict[int, str] = {}
+    width, held = 1, []
+    text = lambda b: b.decode("utf-16-be", "replace")
+    for t, _ in tokens(cmap):
+        if not isinstance(t, Word):
+            held.append(t)
+            continue
+        if t == "endcodespacerange" and held:
+            width = max(len(x) for x in held if isinstance(x, bytes))
+        elif t == "endbfchar":
+            out |= {int.from_bytes(a, "big"): text(b) for a, b in zip(held[::2], held[1::2]) if isinstance(a, bytes) and isinstance(b, bytes)}
+        elif t == "endbfrange":
+            for a, b, to in zip(held[::3], held[1::3], held[2::3]):
+                low = int.from_bytes(a, "big")
+                for k in range(min(65536, int.from_bytes(b, "big") - low + 1)):
+                    if isinstance(to, list):
+                        if k < len(to):
+                            out[low + k] = text(to[k])
+                    else:
+                        out[low + k] = text((int.from_bytes(to, "big") + k).to_bytes(max(2, len(to)), "big"))
+        held = []
+    return width, out
+
+
+def shown(content: bytes, maps: dict[str, tuple[int, dict[int, str]]]) -> str:
+    """The strings that a content stream shows, blanks where it moves to another place or line."""
+    out: list[str] = []
+    held: list = []
+    font: tuple[int, dict[int, str]] | None = None
+
+    def read(raw: bytes) -> str:
+        if font:
+            width, known = font
+            return "".join(known.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
+        return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("utf-8") if _utf8(raw) else raw.decode("latin-1")
+
+    for t, _ in tokens(content):
+        if not isinstance(t, Word) or t.startswith("/"):
+            held.append(t)
+            continue
+        if t == "Tf" and len(held) > 1:
+            font = maps.get(held[-2])
+        elif t in ("Tj", "'", '"') and held and isinstance(held[-1], bytes):
+            out.append((" " if t != "Tj" else "") + read(held[-1]))
+        elif t == "TJ" and held and isinstance(held[-1], list):
+            out.append("".join(read(x) if isinstance(x, bytes) else " " if isinstance(x, float) and x < -200 else "" for x in held[-1]))
+        elif t in ("Td", "TD", "T*", "Tm", "ET"):
+            out.append(" ")
+        held = []
+    return re.sub(r"\s+", " ", "".join(out)).strip()
 
 
-def _string(s: bytes) -> str:
-    if s[:1] == b"<":
-        digits = re.sub(rb"\s", b"", s[1:-1]).decode()
-        raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
-    else:
-        raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else ESCAPES.get(m[1], m[1]), s[1:-1], flags=re.S)
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("utf-8") if _utf8(raw) else raw.decode("latin-1")
+def pdf_pages(data: bytes) -> list[str]:
+    """Text of each page; a document without page objects is one page of all its streams."""
+    pdf = Pdf(data)
+    pages = pdf.pages()
+    if pages:
+        return [pdf.text(p) for p in pages]
+    return [" ".join(filter(None, (shown(pdf.unpacked(v, s), {}) for v, s in pdf.objects.values() if isinstance(v, dict) and s is not None)))]
 
 
 def _utf8(raw: bytes) -> bool:
@@ -174,10 +326,17 @@ def compound_streams(data: bytes) -> dict[str, bytes]:
 
 
 def hwp_text(data: bytes) -> str:
+    """A section that can't be unpacked is left out; without a header, sections are taken as packed."""
     streams = compound_streams(data)
-    packed = bool(streams["FileHeader"][36] & 1)
-    sections = sorted((int(m[1]), s) for name, s in streams.items() if (m := re.fullmatch(r"BodyText/Section(\d+)", name)))
-    return "\n".join(section_text(zlib.decompress(s, -15) if packed else s) for _, s in sections)
+    header = streams.get("FileHeader", b"")
+    packed = len(header) <= 36 or bool(header[36] & 1)
+    out = []
+    for _, s in sorted((int(m[1]), s) for name, s in streams.items() if (m := re.fullmatch(r"BodyText/Section(\d+)", name))):
+        try:
+            out.append(section_text(zlib.decompress(s, -15) if packed else s))
+        except (zlib.error, struct.error):
+            continue
+    return "\n".join(out)
 
 
 #: The text record's tag, and the control codes of one unit; other controls take eight.
@@ -241,13 +400,15 @@ def short_name(name: str, most: int = NAME_BYTES) -> str:
     """At most so many bytes, the extension kept and no character cut."""
     if len(name.encode()) <= most:
         return name
-    stem, ext = posixpath.splitext(name)
+    stem, dot, tail = name.rpartition(".")
+    stem, ext = (stem, dot + tail) if stem else (name, "")
     room = max(0, most - len(ext.encode()))
-    return stem.encode()[:room].decode("utf-8", "ignore") + ext
+    return (stem.encode()[:room].decode("utf-8", "ignore") or "_") + ext
 
 
 def safe_component(name: str) -> str:
-    name = re.sub(r"[/\\]", "_", re.sub(r"[\x00-\x1f\x7f]", "", name))
+    """No control characters, separators or blanks around; a name that leads elsewhere becomes an underscore."""
+    name = re.sub(r"[/\\]", "_", re.sub(r"[\x00-\x1f\x7f-\x9f]", "", name)).strip()
     return short_name("_" if name in ("", ".", "..") else name)
 
 
@@ -261,36 +422,51 @@ def _raw_name(info: zipfile.ZipInfo) -> bytes:
 
 
 def unzip(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, content) of every entry of the archives under path; an archive beyond the caps or with an entry that leaves
-    its root fails as a whole, an entry that can't be read is left out."""
+    """(archive, path, content, note) of every entry of the archives under path. An archive that can't be read, is beyond the caps or
+    has an entry that leaves its root gives one row with a note and no path; an entry that can't be read is left out."""
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def rows(batches):
         for b in batches:
             for archive, content in zip(b.path, b.content):
-                for name, data in entries(content):
-                    yield pd.DataFrame([(archive, name, data)], columns=["archive", "path", "content"])
-
-    return zips.mapInPandas(rows, "archive string, path string, content binary")
-
-
-def entries(content: bytes) -> Iterator[tuple[str, bytes]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        infos = [i for i in z.infolist() if not i.is_dir()]
-        named = [(entry_name(_raw_name(i), i.flag_bits), i) for i in infos]
-        named = [(n, i) for n, i in named if "__MACOSX" not in n.split("/") and posixpath.basename(n) not in JUNK]
-        if len(named) > ENTRIES_MOST:
-            raise ValueError("too many entries")
-        if sum(i.file_size for _, i in named) > BYTES_MOST:
-            raise ValueError("too many bytes")
-        if bad := next((n for n, _ in named if leaves_root(n)), None):
-            raise ValueError(f"unsafe entry {bad}")
-        for name, info in named:
-            try:
-                data = z.read(info)
-            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError):
-                continue
-            yield "/".join(safe_component(p) for p in name.split("/") if p), data
+                for name, data, note in unpack(content):
+                    yield pd.DataFrame([(archive, name, data, note)], columns=["archive", "path", "content", "note"])
+
+    return zips.mapInPandas(rows, "archive string, path string, content binary, note string")
+
+
+def unpack(content: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """Entries with their contents, one at a time, or a note alone."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name, info in planned(z):
+                try:
+                    data = z.read(info)
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError):
+                    continue
+                yield name, data, None
+    except (zipfile.BadZipFile, ValueError, struct.error, OSError) as e:
+        yield None, None, f"not readable: {e}"
+
+
+def planned(z: zipfile.ZipFile) -> list[tuple[str, zipfile.ZipInfo]]:
+    """The entries to read under safe names. Everything counts for the caps; folders and junk are then left out."""
+    infos = z.infolist()
+    if len(infos) > ENTRIES_MOST:
+        raise ValueError("too many entries")
+    if sum(i.file_size for i in infos) > BYTES_MOST:
+        raise ValueError("too many bytes")
+    out = []
+    for info in infos:
+        name = entry_name(_raw_name(info), info.flag_bits)
+        if info.is_dir() or any(p in JUNK for p in name.split("/")):
+            continue
+        safe = "/".join(safe_component(p) for p in name.split("/") if p)
+        if safe and leaves_root(safe):
+            raise ValueError(f"unsafe entry {name}")
+        if safe:
+            out.append((safe, info))
+    return out
 
 
 def by_key(df: DataFrame, key: str, value) -> DataFrame:
@@ -301,6 +477,33 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
 # ---- metrics of accelerators
 
 
+def csv_fields(lines: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Column `line` of comma-separated values as trimmed, typed columns; lines of another length are left out."""
+    parts = F.transform(F.split("line", ","), lambda x: F.trim(x))
+    good = lines.select(parts.alias("p")).where(F.size("p") == len(fields))
+    return good.select(*(F.get("p", i).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields.items())))
+
+
+CARD = {"index": "int", "uuid": "string", "memory_used": "long", "memory_total": "long", "utilization": "int"}
+PROCESS = {"uuid": "string", "pid": "int", "memory": "long"}
+CLIMB = 5  # fixed value
+
+
+def models_of(pids: DataFrame, processes: DataFrame, loaded: str = "ollama") -> DataFrame:
+    """pids: pid. processes: pid, ppid, cmdline. The model each process serves: from its own command line or from that of a
+    launcher among its parents, CLIMB lines at most; 'unknown' otherwise."""
+    known = F.broadcast(processes.select(F.col("pid").alias("at"), "ppid", "cmdline"))  # one machine's processes
+    line = F.coalesce("cmdline", F.lit(""))
+    named = F.coalesce(F.nullif(F.regexp_extract(line, r"--served-model-name\s+(\S+)", 1), F.lit("")), F.nullif(F.regexp_extract(line, r"serve\s+(\S+)", 1), F.lit("")), F.lit("vllm"))
+    serves = F.when(line.rlike("vllm serve") | (line.contains(" serve ") & line.contains("vllm")), F.regexp_replace(F.regexp_replace(named, "/+$", ""), "^.*/", ""))
+    own = F.when(line.contains("llama-server") | line.contains("ollama"), loaded)
+    now = pids.select("pid", F.col("pid").alias("at"), F.lit(None).cast("string").alias("model"))
+    for step in range(CLIMB):
+        told = F.coalesce("model", *([own] if step == 0 else []), serves)
+        now = now.join(known, "at", "left").select("pid", told.alias("model"), F.when(F.col("ppid") > 1, F.col("ppid")).alias("at"))
+    return now.select("pid", F.coalesce("model", F.lit("unknown")).alias("model"))
+
+
 def gpu_metrics(cards: DataFrame, processes: DataFrame, models: DataFrame) -> DataFrame:
     """cards: uuid, index, memory_used, memory_total, utilization. processes: uuid, pid, memory. models: pid, model.
     Prometheus lines, with '?' for an unknown card and 'other' for a process of no model."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.operators.folds import fold_groups
+from spanloom.operators.folds import fold_rows
 
 # Fixed values.
 ATTEMPTS = 3
@@ -47,6 +48,73 @@ def finish(jobs: DataFrame, job_id: str, error: str | None = None) -> DataFrame:
     return jobs.withColumns({"status": F.when(it, done).otherwise(F.col("status")), "progress": F.when(it & F.lit(error is None), 100).otherwise(F.col("progress")), "error": F.when(it, F.lit(error)).otherwise(F.col("error"))})
 
 
+def recovered(jobs: DataFrame) -> DataFrame:
+    """How many jobs `recover` puts back."""
+    return jobs.agg(F.count_if(F.col("status") == "running").alias("recovered"))
+
+
+def claim_all(jobs: DataFrame) -> DataFrame:
+    """The same for every queued job at once: what a cluster works off together."""
+    hit, worn = F.col("status") == "queued", F.col("attempts") >= ATTEMPTS
+    return jobs.withColumns({
+        "status": F.when(hit & worn, "error").when(hit, "running").otherwise(F.col("status")),
+        "error": F.when(hit & worn, "too many attempts").otherwise(F.col("error")),
+        "attempts": F.when(hit & ~worn, F.col("attempts") + 1).otherwise(F.col("attempts")),
+    })
+
+
+def finish_all(jobs: DataFrame, outcome: DataFrame) -> DataFrame:
+    """outcome: id, error (null: done), of running jobs. Those without an outcome stay running, for recovery."""
+    told = outcome.groupBy("id").agg(F.max("error").alias("_error"), F.lit(True).alias("_told"))
+    hit = F.col("_told").isNotNull() & (F.col("status") == "running")
+    done = hit & F.col("_error").isNull()
+    return jobs.join(told, "id", "left").withColumns({
+        "status": F.when(done, "done").when(hit, "error").otherwise(F.col("status")),
+        "progress": F.when(done, 100).otherwise(F.col("progress")),
+        "error": F.when(done, None).when(hit, F.col("_error")).otherwise(F.col("error")),
+    }).select(jobs.columns)
+
+
+def run_queue(spark: SparkSession, stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = True):
+    """The worker's loop over a stream of new jobs. Jobs live in a table of numbered versions under path: each micro-batch recovers
+    what a crash left running, adds the new jobs, claims, works and finishes. `work` gets the running jobs and returns (id, error).
+    The claim is written before the work begins, so a crash counts as an attempt; a batch run again adds no job twice."""
+
+    def newest() -> tuple[int, DataFrame | None]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        numbers = [int(s.getPath().getName()[1:]) for s in (fs.listStatus(at) if fs.exists(at) else []) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return (max(numbers), spark.read.schema(JOB).parquet(f"{path}/v{max(numbers)}")) if numbers else (0, None)
+
+    def put(jobs: DataFrame) -> DataFrame:
+        number = newest()[0] + 1
+        jobs.write.mode("overwrite").parquet(f"{path}/v{number}")
+        return spark.read.schema(JOB).parquet(f"{path}/v{number}")
+
+    def each(batch: DataFrame, number: int) -> None:
+        _, known = newest()
+        jobs = batch if known is None else recover(known).unionByName(batch.join(known, "id", "left_anti"))
+        jobs = put(claim_all(jobs))
+        put(finish_all(jobs, work(jobs.where("status = 'running'"))))
+
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
+
+
+POLLS, POLL_SECONDS = 180, 1.0  # fixed values
+
+
+def wait_for(status: Callable[[], str | None], polls: int = POLLS, seconds: float = POLL_SECONDS) -> str | None:
+    """Asks for a job's newest status until it has ended; its last status after so many polls."""
+    now = None
+    for _ in range(polls):
+        now = status()
+        if now in ("done", "error"):
+            break
+        time.sleep(seconds)
+    return now
+
+
 def drain(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True):
     """Runs `work` on every micro-batch of queued jobs and appends its rows. A batch that was running at a crash is run
     again from the checkpoint, and writes to a folder of its own number, so its rows aren't doubled."""
@@ -85,16 +153,15 @@ LIMIT = "key string, ts long, outcome string, allowed boolean, blocked_until lon
 
 
 def limited(events: DataFrame) -> DataFrame:
-    """events: key, ts (ms), outcome. Whether each attempt was let in. One key's attempts are folded in order."""
+    """events: key, ts (ms), outcome, and seq to order attempts of one time (else those are ordered by outcome). Whether each
+    attempt was let in. A key's attempts stream through in order, with only the state kept."""
 
-    def fold(rows: list[dict]) -> list[tuple]:
-        state, out = (0, 0, 0), []
-        for r in rows:
-            state, allowed = step(state, r["ts"], r["outcome"])
-            out.append((r["key"], r["ts"], r["outcome"], allowed, state[2]))
-        return out
+    def one(state: tuple[int, int, int], r: dict) -> tuple[tuple[int, int, int], tuple]:
+        state, allowed = step(state, r["ts"], r["outcome"])
+        return state, (r["key"], r["ts"], r["outcome"], allowed, state[2])
 
-    return fold_groups(events.select("key", "ts", "outcome"), "key", ["ts"], fold, LIMIT)
+    order = ["ts", "seq" if "seq" in events.columns else "outcome"]
+    return fold_rows(events.select("key", "ts", "outcome", *order[1:2]) if order[1] == "seq" else events.select("key", "ts", "outcome"), "key", order, (0, 0, 0), one, LIMIT)
 
 
 def limited_stream(events: DataFrame) -> DataFrame:
@@ -107,7 +174,7 @@ def limited_stream(events: DataFrame) -> DataFrame:
         now = state.get if state.exists else (0, 0, 0)
         out = []
         for pdf in batches:
-            for ts, outcome in pdf.sort_values("ts", kind="stable")[["ts", "outcome"]].itertuples(index=False):
+            for ts, outcome in pdf.sort_values(["ts", "seq" if "seq" in pdf else "outcome"], kind="stable")[["ts", "outcome"]].itertuples(index=False):
                 now, allowed = step(tuple(now), int(ts), outcome)
                 out.append((key[0], ts, outcome, allowed, now[2]))
         state.update(now)

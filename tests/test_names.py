@@ -22,6 +22,15 @@ def test_normalize_and_script(spark):
     assert {r[0]: r[1] for r in values(spark, [(k,) for k in kinds], "n string").select("n", names.script(F.col("n"))).collect()} == kinds
 
 
+def test_composed_form(spark):
+    import unicodedata
+
+    texts = ["이준호", "각 갂 힣 가나다", "José Núñez", "Ångström Çelik", "Nguyễn Văn Ệ", "ẽé", "plain", "", "가\u11a8", "\u1100\u1161\u11a8x", "e\u0301\u0301", "\u0301e"]
+    rows = [(f(t),) for t in texts for f in (lambda t: t, lambda t: unicodedata.normalize("NFD", t))]
+    got = values(spark, [*rows, (None,)], "n string").select("n", names.nfc("n").alias("x")).collect()
+    assert [r.x for r in got] == [None if r.n is None else unicodedata.normalize("NFC", r.n) for r in got]
+
+
 def test_matching_agrees_with_the_parsed_form(spark):
     pairs = [(a, b, True) for a, b in MATCH] + [(a, b, False) for a, b in APART]
     for a, b, want, got, back in values(spark, pairs, "a string, b string, w boolean").select("*", names.matches(F.col("a"), F.col("b")), names.matches(F.col("b"), F.col("a"))).collect():

@@ -1,4 +1,6 @@
-from spanloom.operators import extract, resolve
+from pyspark.sql import functions as F
+
+from spanloom.operators import extract, process, resolve
 from spanloom.plans.catalog import ARTICLE, THESIS
 
 MENTION = "applicant_id string, doc_seq int, person_seq int, nameRaw string, role string, affiliation string, sourceKind string, sourcePage int, confidence double, isSelf boolean, documentId string, filename string, docType string"
@@ -83,17 +85,97 @@ def test_article(spark):
     assert {(r.documentId, r.nameRaw) for r in mine.where("isSelf").collect()} == {("d0", "John Carter")}
 
 
+def test_a_models_seal_reaches_a_flag(spark):
+    """The answer of an image model for a scanned page, through routing and aggregation, ends in a seal's flag."""
+    d = docs(spark, ("degree_thesis", THESIS)).unionByName(spark.createDataFrame([("scan", "degree_thesis", [(1, "", False, "p.png")])], "documentId string, docType string, pages array<struct<pageNumber:int,text:string,hasText:boolean,imagePath:string>>"))
+    found = extract.hybrid(d, extract.rule_people, lambda x: extract.model_people(x, lambda s, u, images: '{"persons":[{"name":"박서준","source_kind":"seal","confidence":0.95}]}' if images == ["p.png"] else "{}"))
+    assert found.columns == extract.MENTION
+    mentions = found.select(F.lit("1").alias("applicant_id"), F.col("documentId").alias("doc_seq"), "person_seq", *extract.MENTION[2:], "documentId", F.lit("f").alias("filename"), F.lit("degree_thesis").alias("docType"))
+    by = {r.canonical_name: r for r in resolve.aggregate_people(mentions.drop("ocrEngine", "ocrConfidence")).collect()}
+    assert by["박서준"].needs_human and {s.sourceKind for s in by["박서준"].sources} == {"printed", "seal"} and not by["최지훈"].needs_human
+
+
+def scanned(spark):
+    page = lambda n, t: (n, t, bool(t), None)
+    rows = [("1", "a", "1_[학위논문]_x.pdf", None, "pdf", [page(1, THESIS)], 1, True, None), ("1", "b", "1_hindex.png", None, "image", [page(1, "")], 1, False, None), ("1", "c", "1_x.pdf", "학술지", "pdf", [page(1, ARTICLE)], 1, True, None),
+            ("2", "d", "2_bad.hwp", None, "hwp", [], 0, False, "not readable"), ("2", "e", "2_[학위논문]_y.txt", None, "text", [page(1, "지도교수 이주영\n심사위원 이조영")], 1, True, None)]
+    files = spark.createDataFrame(rows, "applicant_id string, document_id string, filename string, folder_category string, format string, pages array<struct<pageNumber:int,text:string,hasText:boolean,imagePath:string>>, pageCount int, hasTextLayer boolean, note string")
+    return files, spark.createDataFrame([("1", "Gildong Hong"), ("2", None)], "applicant_id string, name string")
+
+
+def test_process(spark):
+    files, applicants = scanned(spark)
+    marks = spark.createDataFrame([("a", 2, "seal", 0.9)], "documentId string, page int, type string, confidence double")
+    out = process.process(files, applicants, marks=marks)
+    assert {r.document_id: r.doc_type for r in out["documents"].collect()} == {"a": "degree_thesis", "b": "hindex", "c": "journal_article", "d": "unknown", "e": "degree_thesis"}
+    flags = sorted((r.applicant_id, r.document_id or "", r.flag_type, r.label or "") for r in out["flags"].collect())
+    assert flags == [("1", "a", "seal", "p.2 (90%)"), ("1", "b", "needs_vision", ""), ("2", "", "ambiguous", "이주영 / 이조영"), ("2", "d", "needs_vision", "not readable")]
+    people = {(r.applicant_id, r.canonical_name): r for r in out["aggregates"].collect()}
+    assert people["1", "Gildong Hong"].is_self and people["1", "이준호"].roles == ["supervisor", "committee"] and people["2", "이조영"].needs_human
+    assert len(people["1", "John D. Carter"].sources) == 2 and out["persons"].where("name_initials = 'J Carter'").count() == 2
+    # again, over what is there: the same tables
+    again = process.replaced(out, process.process(files, applicants, marks=marks), applicants)
+    for name in out:
+        assert sorted(map(repr, again[name].collect())) == sorted(map(repr, out[name].collect())), name
+
+
+def test_reaggregate(spark):
+    files, applicants = scanned(spark)
+    out = process.process(files, applicants)
+    fewer = out["persons"].where("name_raw <> '이조영'")
+    people, flags = process.reaggregate(fewer, out["documents"], applicants.where("applicant_id = '2'"), out["flags"])
+    assert [(r.applicant_id, r.canonical_name, r.sources[0].evidence) for r in people.collect()] == [("2", "이주영", None)]
+    assert sorted(r.flag_type for r in flags.collect()) == ["needs_vision", "needs_vision"]
+
+
+def test_nulls_and_decomposed_names(spark):
+    import unicodedata
+
+    nfd = lambda s: unicodedata.normalize("NFD", s)
+    rows = [("1", 0, 0, nfd("이준호"), "coauthor", None, "printed", None, None, None, "d", "f", "x"), ("1", 1, 0, "이준호", "coauthor", None, "printed", 1, 0.9, False, "e", "f", "x"), ("1", 2, 0, None, None, None, None, None, None, None, None, None, None)]
+    got = resolve.aggregate_people(spark.createDataFrame(rows, MENTION)).orderBy("seq").collect()
+    assert [(p.canonical_name, len(p.sources), p.needs_human) for p in got] == [("이준호", 2, True), ("", 1, True)]
+    assert vote(spark, (0, "이준호", None), (1, nfd("이준호"), 0.8))[nfd("이준호")].ocrConfidence == 0.8
+    rows = [("t", "이준호", "printed", "degree_thesis"), ("t", nfd("이준호"), "seal", "degree_thesis"), ("t", None, "seal", "degree_thesis"), (None, "A B", "seal", "degree_thesis")]
+    got = resolve.cross_check(spark.createDataFrame(rows, "documentId string, nameRaw string, sourceKind string, docType string")).collect()
+    assert sorted((r.documentId or "", r.nameRaw or "", r.verificationStatus or "") for r in got) == sorted([("t", "이준호", ""), ("t", nfd("이준호"), "confirmed"), ("t", "", "mismatch"), ("", "A B", "unverifiable")])
+    near = resolve.near_duplicates(spark.createDataFrame([("1", nfd("이주영")), ("1", "이조영"), ("1", None)], "applicant_id string, canonical_name string"))
+    assert {(r.name, r.other, r.kind) for r in near.collect()} == {("이주영", "이조영", "misread"), ("이조영", "이주영", "misread")}
+
+
+def test_groups_by_blocks_are_those_by_all_pairs():
+    import random
+
+    from spanloom.functions import names
+
+    rng = random.Random(5)
+    pool = ["John Carter", "J Carter", "James Carter", "J. Carter", "Jane Carter", "CARTER", "j carter", "이준호", "이 준 호", "박서준", "J C", "", "John 정", "Carter, John", "M Lee", "Mary Lee"]
+    for _ in range(300):
+        parsed = [names.parse(rng.choice(pool)) for _ in range(rng.randint(0, 12))]
+        want = []
+        for i, n in enumerate(parsed):
+            home = next((g for g in want if any(parsed[j].same(n) for j in g)), None)
+            want.append([i]) if home is None else home.append(i)
+        assert resolve.greedy_groups(parsed) == want
+
+
 def test_routing_and_models(spark):
     d = docs(spark, ("degree_thesis", THESIS), ("degree_thesis", "  "))
     seen = extract.hybrid(d, lambda x: x.select("documentId").selectExpr("*", "'text' as via"), lambda x: x.select("documentId").selectExpr("*", "'image' as via"))
     assert {tuple(r) for r in seen.collect()} == {("d0", "text"), ("d1", "image")}
 
-    def call(prompt):
-        if prompt == "bad":
-            raise OSError
-        return '{"persons":[{"name":"A B","role":"PI"}]}'
-
-    asked = spark.createDataFrame([("d0", "x", "p"), ("d1", "x", "bad")], "documentId string, docType string, prompt string")
-    assert [(r.documentId, r.name_raw, r.role) for r in extract.model_people(asked, call).collect()] == [("d0", "A B", "principal_investigator")]
+    def call(system, user, images):
+        if "thesis advisor" in user.lower():
+            raise OSError("down")
+        return "sorry" if "no answer" in user else '{"persons":[{"name":"A B","role":"PI","source_kind":"seal","is_self":false}]}'
+
+    asked = docs(spark, ("degree_thesis", "x"), ("degree_thesis", "Thesis Advisor: C"), ("degree_thesis", "no answer"))
+    assert [(r.documentId, r.nameRaw, r.role, r.sourceKind) for r in extract.model_people(asked, call).collect()] == [("d0", "A B", "principal_investigator", "seal")]
+    assert [r.error for r in extract.ask_model(asked, call).orderBy("documentId").collect()] == [None, "OSError: down", "the answer is no JSON"]
+    won = extract.ensemble_people(asked, {"m1": call, "m2": lambda *a: '{"persons":[{"name":"A B","confidence":0.9}]}'}, 1).orderBy("documentId").collect()
+    assert [(r.documentId, r.nameRaw, r.confidence) for r in won] == [("d0", "A B", 1.0), ("d1", "A B", 0.5), ("d2", "A B", 0.5)]
+    made = lambda f, p, box: None if p == 2 else f"{f}-{p}.png"
     marks = extract.detect_marks(spark.createDataFrame([("d0", "pdf", "degree_thesis", "f"), ("d1", "pdf", "hindex", "f")], "documentId string, format string, docType string, filepath string"), lambda f, p: [{"type": "SEAL", "x": 0.5, "y": 0.5, "w": 0.9, "h": 0.1, "confidence": 2.0}, {"type": "dog", "x": 0.0, "y": 0.0, "w": 0.0, "h": 0.0, "confidence": 0.1}])
     assert [(r.documentId, r.page, r.type, r.bbox.w, r.confidence) for r in marks.orderBy("page").collect()] == [("d0", 1, "seal", 0.5, 1.0), ("d0", 2, "seal", 0.5, 1.0)]
+    cut = extract.cut_marks(marks, spark.createDataFrame([("d0", "f")], "documentId string, filepath string"), made)
+    assert [r.cropPath for r in cut.orderBy("page").collect()] == ["f-1.png", None]

@@ -51,10 +51,24 @@ def test_text(spark):
 
 
 def test_answers(spark):
-    good = '```json\n{"persons":[{"name":" John Carter ","role":"thesis advisor"},{"name":"이준호","sourceKind":"SEAL","confidence":7}]}\n```'
-    r = one(spark, rules.response_persons(F.lit(good), F.lit("degree_thesis")).alias("p"), rules.response_persons(F.lit('{"persons":[{"name":"A"},{"role":"x"}]}'), F.lit("x")).alias("bad"), rules.response_persons(F.lit("none"), F.lit("x")).alias("none"))
-    assert [(p.name_raw, p.role, p.source_kind, p.page, p.confidence) for p in r.p] == [("John Carter", "supervisor", "printed", 1, 0.6), ("이준호", "committee", "seal", 1, 1.0)]
-    assert r.bad == [] and r.none == []
+    good = '```json\n{"persons":[{"name":"John Carter","role":"thesis advisor","extra":1},{"name":"이준호","source_kind":"SEAL","confidence":7,"page":2,"is_self":true}]}\n```'
+    me = F.lit("J Carter")
+    r = one(spark, rules.response_persons(F.lit(good), F.lit("degree_thesis"), me).alias("p"), rules.response_persons(F.lit("none"), F.lit("x")).alias("none"), rules.response_persons(F.lit("{}"), F.lit("x")).alias("empty"))
+    assert [(p.nameRaw, p.role, p.sourceKind, p.sourcePage, p.confidence, p.isSelf, p.ocrConfidence) for p in r.p] == [("John Carter", "supervisor", "printed", 1, 0.6, True, None), ("이준호", "committee", "seal", 2, 1.0, True, 7.0)]
+    assert r.none is None and r.empty == []  # no JSON is a failed call, no persons an answer
+    bad = ['{"role":"x"}', '{"name":""}', '{"name":null}', '{"name":"A","confidence":"high"}', '{"name":"A","page":"x"}', '{"name":"A","is_self":"yes"}', '{"name":5}', '"A"', "null"]
+    df = spark.createDataFrame([(f'{{"persons":[{{"name":"B"}},{b}]}}',) for b in bad] + [('{"persons":{}}',), ('{"persons":null}',)], "a string")
+    assert [r[0] for r in df.select(rules.response_persons(F.col("a"), F.lit("x"))).collect()] == [[]] * (len(bad) + 2)
+    fine = spark.createDataFrame([('{"persons":[{"name":" ","role":null,"confidence":null,"page":1.5}]}',)], "a string").select(F.explode(rules.response_persons(F.col("a"), F.lit("x"))).alias("p")).first().p
+    assert (fine.nameRaw, fine.role, fine.sourcePage, fine.confidence) == (" ", "coauthor", 1, 0.6)
+
+
+def test_prompt(spark):
+    pages = lambda *t: F.array(*(F.struct(F.lit(x).alias("text")) for x in t))
+    r = one(spark, rules.prompt(F.lit("degree_thesis"), pages("a" * 9000, "", "b" * 9000), F.lit("홍길동")).alias("p"), rules.prompt(F.lit("odd"), pages(" ")).alias("q"))
+    body = r.p.user.split("[document]\n")[1].split("\n[end]")[0]
+    assert len(body) == 12000 and body.startswith("a" * 9000 + "\n\nb") and "홍길동" in r.p.user and "지도교수" in r.p.user
+    assert "page images" in r.q.user and '"persons"' in r.q.system
 
 
 def test_marks_and_export(spark):

@@ -60,9 +60,48 @@ def test_unzip_and_layout(spark, tmp_path):
     assert rows == {("w.zip", "a.pdf"): ("top", "학위논문"), ("w.zip", "b.txt"): ("top", None), ("flat.zip", "a.pdf"): (None, None), ("flat.zip", "d.txt"): (None, "c")}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("../x", b"")
+        z.writestr("../x", b"1")
+        z.writestr(" a /b\x85.txt", b"2")
+    assert list(files.unpack(out.getvalue())) == [("_/x", b"1", None), ("a/b.txt", b"2", None)]
+
+
+def test_a_broken_archive_gives_a_note(spark, tmp_path, monkeypatch):
+    (tmp_path / "broken.zip").write_bytes(b"PK nothing")
+    for name, n in (("good.zip", 1), ("many.zip", 3)):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for i in range(n):
+                z.writestr(f"{i}.txt", b"data")
+    assert sorted((r.archive.rsplit("/", 1)[1], r.path, (r.note or "")[:12]) for r in files.unzip(spark, str(tmp_path)).where("path is null or archive like '%good.zip'").collect()) == [("broken.zip", None, "not readable"), ("good.zip", "0.txt", "")]
+    monkeypatch.setattr(files, "ENTRIES_MOST", 2)
+    assert [n for *_, n in files.unpack((tmp_path / "many.zip").read_bytes())] == ["not readable: too many entries"]
+
+
+def made_pdf() -> bytes:
+    """Two pages out of object order, in an object stream, with a font whose codes only its Unicode map explains."""
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 2 beginbfchar <0001> <C774> <0002> <C900> endbfchar 1 beginbfrange <0003> <0004> <D638> endbfrange"
+    inside = [b"<</Type /Catalog /Pages 2 0 R>>", b"<</Type /Pages /Kids [4 0 R 3 0 R] /Resources <</Font <</F1 7 0 R>>>>>>", b"<</Type /Page /Contents 6 0 R>>", b"<</Type /Page /Contents [5 0 R]>>"]
+    head, at = [], 0
+    for n, o in enumerate(inside, 1):
+        head.append(f"{n} {at}")
+        at += len(o) + 1
+    first = " ".join(head).encode() + b" "
+    packed = lambda n, extra, body: b"%d 0 obj<<%s /Filter /FlateDecode /Length %d>>stream\n%s\nendstream endobj\n" % (n, extra, len(z := zlib.compress(body)), z)
+    return b"%PDF-1.5\n" + packed(9, b"/Type /ObjStm /N 4 /First %d" % len(first), first + b" ".join(inside)) + packed(5, b"", b"BT /F1 9 Tf <000100020003> Tj 0 -10 Td (\\000\\004) Tj ET") + packed(6, b"", b"BT (second (page)) Tj T* [(a) -300 (b) 20 (c)] TJ ET") + b"7 0 obj<</Type /Font /ToUnicode 8 0 R>>endobj\n" + packed(8, b"", cmap)
+
+
+def test_pdf_of_object_streams():
+    assert files.pdf_pages(made_pdf()) == ["이준호 혹", "second (page) a bc"]
     with pytest.raises(ValueError):
-        list(files.entries(out.getvalue()))
+        files.pdf_pages(b"nothing")
+
+
+def test_hwp_leaves_out_a_bad_section(monkeypatch):
+    body = struct.pack("<2H", *map(ord, "가나"))
+    good = struct.pack("<I", 67 | len(body) << 20) + body
+    deflate = lambda b: (c := zlib.compressobj(wbits=-15)).compress(b) + c.flush()
+    for header in ({}, {"FileHeader": bytes(36) + b"\x01"}):
+        monkeypatch.setattr(files, "compound_streams", lambda data, h=header: {"BodyText/Section0": b"\xff\xff", "BodyText/Section10": deflate(good), "BodyText/Section2": deflate(good), **h})
+        assert files.hwp_text(b"") == "가나\n가나"
 
 
 def people(spark):
@@ -140,6 +179,48 @@ def test_queue_stream(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
 
 
+def test_queue_loop(spark, tmp_path):
+    """Jobs of two batches: one fails, one is worn out, one is left running by work that dies and is recovered with the next batch."""
+    path, cp, inbox = str(tmp_path / "jobs"), str(tmp_path / "cp"), tmp_path / "in"
+    jobs(spark, ("a", "queued", 0), ("b", "queued", 0), ("c", "queued", 3), ("d", "queued", 0)).write.mode("append").parquet(str(inbox))
+    stream = spark.readStream.schema(queue.JOB).parquet(str(inbox))
+    work = lambda rows: rows.where("id <> 'd'").select("id", F.when(F.col("id") == "b", "broken").alias("error"))
+    queue.run_queue(spark, stream, work, path, cp).awaitTermination()
+    state = lambda v: {r.id: (r.status, r.attempts, r.error) for r in spark.read.schema(queue.JOB).parquet(f"{path}/v{v}").collect()}
+    assert state(2) == {"a": ("done", 1, None), "b": ("error", 1, "broken"), "c": ("error", 3, "too many attempts"), "d": ("running", 1, None)}
+    assert queue.recovered(spark.read.schema(queue.JOB).parquet(f"{path}/v2")).first()[0] == 1
+    jobs(spark, ("e", "queued", 0)).write.mode("append").parquet(str(inbox))
+    queue.run_queue(spark, stream, lambda rows: rows.select("id", F.lit(None).cast("string").alias("error")), path, cp).awaitTermination()
+    assert {k: v[:2] for k, v in state(4).items()} == {"a": ("done", 1), "b": ("error", 1), "c": ("error", 3), "d": ("done", 2), "e": ("done", 1)}
+
+
+def test_wait_and_snapshots(spark, tmp_path):
+    seen = iter(["queued", "running", "done", "x"])
+    assert queue.wait_for(lambda: next(seen), seconds=0) == "done" and queue.wait_for(lambda: "running", 3, 0) == "running"
+    gone = [sinks.snapshot(spark, {"t": spark.range(3)}, str(tmp_path / "s"), f"2024-01-0{i}", keep=2) for i in range(1, 5)]
+    assert gone == [[], [], ["2024-01-01"], ["2024-01-02"]] and spark.read.parquet(str(tmp_path / "s" / "2024-01-04" / "t")).count() == 3
+
+
+def test_models_of_processes(spark):
+    known = [(10, 9, "worker"), (9, 8, "python"), (8, 1, "python vllm serve org/Model-7B/ --port 80"), (20, 1, "/usr/bin/ollama runner"), (30, 1, "x"), (40, 41, "a"), (41, 40, "b"), (50, 8, "vllm serve y --served-model-name named")]
+    got = files.models_of(spark.createDataFrame([(p,) for p in (10, 20, 30, 40, 50, 99)], "pid int"), spark.createDataFrame(known, "pid int, ppid int, cmdline string"))
+    assert dict(map(tuple, got.collect())) == {10: "Model-7B", 20: "ollama", 30: "unknown", 40: "unknown", 50: "named", 99: "unknown"}
+    lines = spark.createDataFrame([("0, GPU-a, 5, 10, 50",), ("bad",), ("1, GPU-b, x, 10, 50",)], "line string")
+    assert [tuple(r) for r in files.csv_fields(lines, files.CARD).orderBy("index").collect()] == [(0, "GPU-a", 5, 10, 50), (1, "GPU-b", None, 10, 50)]
+
+
+def test_display_orders(spark):
+    t = lambda d: datetime(2024, 1, d)
+    applicants = spark.createDataFrame([("a", t(1)), ("b", t(3)), ("c", t(2))], "applicant_id string, created_at timestamp")
+    none = spark.createDataFrame([], "applicant_id string, needs_human boolean")
+    jobs_ = spark.createDataFrame([], "id string, status string, payload string, created_at timestamp")
+    assert [r.applicant_id for r in review.applicant_summary(applicants, none, none, jobs_).collect()] == ["b", "c", "a"]
+    flags = spark.createDataFrame([("b", "d1", t(1)), ("a", "d2", t(1)), ("b", "gone", t(2))], "applicant_id string, document_id string, created_at timestamp").withColumns({"status": F.lit("open"), "person_id": F.lit("p")})
+    docs = spark.createDataFrame([("d1", "f", "hwp"), ("d2", "f", None)], "document_id string, filename string, format string")
+    got = review.review_queue(flags, applicants.select("applicant_id", F.lit("n").alias("name")), docs, spark.createDataFrame([], "person_id string, name_raw string")).collect()
+    assert [(r.applicant_id, r.document_id, r.format) for r in got] == [("a", "d2", "pdf"), ("b", "gone", "pdf"), ("b", "d1", "hwp")]
+
+
 MINUTE = 60_000
 
 
