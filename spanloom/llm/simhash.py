@@ -18,15 +18,16 @@ and a fingerprint makes a bounded number of pairs.
 
 `near_classes` (the pipeline's stage; five-word shingles, similarity of 0.8 or more, exact): 512-bit
 fingerprints of shingle sets, whose distance estimates the similarity to about 0.04. The programme picks
-thresholds at which a pair at the limit is probed with the chance PROBED. Members of a shared value are
-candidates with its smallest and largest member. Candidates near enough by distance are verified by their
+thresholds at which a pair at the limit is probed with the chance PROBED. Members of a shared value are put
+in order by further bits, and neighbours are candidates. Candidates near enough by distance are verified by their
 shingle sets: first each node with its nearest, then those that still stand in two classes.
 That makes one class of most copies, at a cost in proportion to the rows. An exact join then finds every
 pair that probing left out: shingles are put in one order, those common in a sample last; two
 sets as similar as asked for share some of their first shingles (`first_shingles`), enough of them for the
 rest to suffice. Pairs of different classes that do so are verified alike. A shared shingle costs the rows
-outside its largest class times all its rows; common shingles are salted, pairs are dealt over blocks, and
-none is dropped. So every class is a component of the graph of all pairs at the limit or above.
+outside its largest class times all its rows; so where these are many, nodes outside are first compared with one
+member of that class for each shingle, which joins most of a large family. Common shingles are salted,
+pairs are dealt over blocks, and none is dropped. So every class is a component of the graph of all pairs at the limit or above.
 
 Defined cases: null text is empty; texts without words have fingerprint zero and link with each
 other; fewer words than a shingle make one shingle of all; repeated rows each get their row; a null
@@ -57,7 +58,7 @@ UNSURE = 3.0
 BROADCAST_TEXTS = 100_000
 SAMPLED_TEXTS, MOST_PARTS, MOST_COMMON = 5_000, 10, 2_000_000  # what the order of shingles is taken from; any order is right
 BROADCAST_SHINGLES = 500_000
-BLOCK, FAMILY = 4000, 1000
+BLOCK, FAMILY, CROWDED, EARLIER, NEXT = 4000, 300, 10_000, 64, 2
 PIECE = 500
 
 
@@ -340,33 +341,53 @@ def wide_plan(prints: DataFrame, similarity: float) -> list[tuple[list[int], int
     return [(g, t) for g, t in zip(groups, chosen) if t >= 0]
 
 
-def near_links(prints: DataFrame, similarity: float, probes: list[tuple[list[int], int]]) -> DataFrame:
-    """prints: (node, fp) distinct. Candidates (a, b, apart) from the probes: each member of a shared value with the smallest
-    and the largest one, as far as the fingerprints' distance allows the similarity."""
+def near_links(spark: SparkSession, prints: DataFrame, similarity: float, probes: list[tuple[list[int], int]]) -> DataFrame:
+    """prints: (node, fp) distinct. Candidates (a, b, apart) from the probes: members of a shared value are put in order by
+    further bits, and each is paired with the NEXT ones behind it, as far as the fingerprints' distance allows the similarity.
+    The order is made by ranges, so a value that many share is cut over tasks (at a cut some pairs are left to the exact join)."""
     limit = differing_share(similarity) * WIDE
     most = limit + UNSURE * math.sqrt(limit * (1 - limit / WIDE))  # pairs at the limit itself scatter around it
     weights = [np.left_shift(1, np.arange(len(g), dtype=np.int64)) for g, _ in probes]
     # threshold 1: partners agree in all bits but one, which is left out and named in the key
     forms = [(i, w - w * (np.arange(len(w)) == b), b + 1) for i, ((_, t), w) in enumerate(zip(probes, weights)) for b in (range(len(w)) if t else [-1])]
+    rest = [np.random.default_rng(SEED + i).permutation(np.setdiff1d(np.arange(WIDE), g))[:63] for i, (g, _) in enumerate(probes)]
+    place = np.left_shift(1, np.arange(63, dtype=np.int64)[::-1])
 
     def keys(batches):
         for b in batches:
-            for at in range(0, len(b), PIECE):
-                part = b.iloc[at : at + PIECE]
-                bits = np.unpackbits(np.frombuffer(b"".join(part.fp), np.uint8).reshape(len(part), -1), axis=1)
-                values = np.stack([(bits[:, probes[i][0]] @ w) * np.int64(64) + gone for i, w, gone in forms], axis=1).astype(np.uint64)
-                values = values * np.uint64(0x9E3779B97F4A7C15) ^ (np.array([i for i, *_ in forms], np.uint64) << np.uint64(56))
-                yield pd.DataFrame({"node": part.node.to_numpy(), "keys": list(values.view(np.int64))})
-
-    found = prints.mapInPandas(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    ends = found.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    pairs = found.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            for at in range(0, b.num_rows, PIECE):
+                part = b.slice(at, PIECE)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+                node = part.column("node").to_numpy()
+                for i, w, gone in forms:
+                    value = ((bits[:, probes[i][0]] @ w) * np.int64(64) + gone).astype(np.uint64)
+                    value = value * np.uint64(0x9E3779B97F4A7C15) ^ (np.uint64(i) << np.uint64(56))
+                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(bits[:, rest[i]] @ place), pa.array(node)], ["key", "more", "node"])
+
+    stash = Stash(spark, "keys")
+    found = stash.put(prints.mapInArrow(keys, "key long, more long, node long"))
+
+    def behind(batches):
+        last: list[tuple[int, int]] = []
+        for b in batches:
+            key, node = (np.concatenate([np.array([x[i] for x in last], np.int64), b.column(c).to_numpy()]) for i, c in ((0, "key"), (1, "node")))
+            left, right = [], []
+            for d in range(1, NEXT + 1):
+                for_new = np.arange(max(d, len(last)), len(key))  # pairs that end in this batch
+                same = for_new[(key[for_new] == key[for_new - d]) & (node[for_new] != node[for_new - d])]
+                left.append(np.minimum(node[same], node[same - d]))
+                right.append(np.maximum(node[same], node[same - d]))
+            last = list(zip(key[-NEXT:].tolist(), node[-NEXT:].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    pairs = stash.put(found.repartitionByRange("key", "more", "node").sortWithinPartitions("key", "more", "node").mapInArrow(behind, "a long, b long").distinct())
     side = lambda name: prints.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     word = lambda name, j: F.conv(F.substring(F.hex(f"fp_{name}"), 8 * j + 1, 8), 16, 10).cast("long")
     apart = reduce(lambda x, y: x + y, [F.bit_count(word("a", j).bitwiseXOR(word("b", j))) for j in range(WIDE // 32)])
-    return both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= most)
+    out = Stash(spark, "links").put(both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= most))
+    stash.drop_older(0)
+    return out
 
 
 def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -443,33 +464,81 @@ def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
     return h[first], often[first]
 
 
-def exact_pairs(spark: SparkSession, sets: DataFrame, similarity: float) -> DataFrame:
-    """sets: (node, root, size, first, often), repeats allowed. All pairs (a, b) of different roots that may be similar enough,
-    by their first shingles. One shuffle of these, by shingle and, for common ones, a salt; what only one root has goes."""
+def shared_firsts(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """sets: (node, root, size, first, often), repeats allowed. (shingle, node, size, pos) of the first shingles that nodes of
+    several roots have. One shuffle of all first shingles, by shingle and, for common ones, a salt; what only one root has goes."""
     stash = Stash(spark, "first")
     spots = F.arrays_zip("first", "often")
-    placed = sets.select("node", "root", "size", F.explode(spots).alias("s")).select("node", "root", "size", F.col("s.first").alias("shingle"), F.ceil(F.col("s.often") / BLOCK).cast("int").alias("salts"))
+    placed = sets.select("node", "root", "size", F.posexplode(spots).alias("pos", "s")).select("node", "root", "size", "pos", F.col("s.first").alias("shingle"), F.ceil(F.col("s.often") / BLOCK).cast("int").alias("salts"))
     placed = placed.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("node"), F.col("salts"))).otherwise(0).cast("int"))
     group = Window.partitionBy("shingle", "salt")  # about BLOCK rows: a third of all rows can only share a common shingle
     held = placed.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where("low <> high or salts > 1")
     held = stash.put(held.drop("low", "high", "salt"))
     mixed = stash.put(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
     few = mixed.count() <= BROADCAST_SHINGLES
-    shared = stash.put(held.join(F.broadcast(mixed) if few else mixed, "shingle").drop("salts").distinct())
-    by_root = shared.groupBy("shingle", "root").agg(F.count("*").alias("n"))
-    sizes = stash.put(by_root.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
-    sized = shared.join(F.broadcast(sizes) if few else sizes, "shingle")
-    named = lambda df, x: df.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main")))
-    a = named(sized.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
-    b = named(sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "b")
-    sized_alike = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+    out = Stash(spark, "shared").put(held.join(F.broadcast(mixed) if few else mixed, "shingle").select("shingle", "node", "size", "pos").distinct())
+    stash.drop_older(0)
+    return out
+
+
+def by_class(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """shared with each node's root, and of the shingles that still have several roots: main, the root with most rows,
+    n, the rows, and outside, those of other roots."""
+    few = roots.count() <= BROADCAST_SHINGLES
+    rooted = shared.join(F.broadcast(roots) if few else roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = rooted.groupBy("shingle", "root").agg(F.count("*").alias("k"))
+    sizes = counts.groupBy("shingle").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("n"))
+    return rooted, sizes.select("shingle", F.col("top.root").alias("main"), "n", (F.col("n") - F.col("top.k")).alias("outside")).where("outside > 0")
+
+
+def star_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, int]:
+    """For shingles with more than CROWDED pairs to compare: each node outside the shingle's largest class with one member of
+    that, another for each shingle. Returns the pairs (a, b) and how many rows stand outside."""
+    rooted, sizes = by_class(shared, roots)
+    crowded = Stash(spark, "crowded").put(sizes.where(F.col("outside") * F.col("n") > CROWDED))
+    outside = crowded.agg(F.sum("outside")).first()[0] or 0
+    inside = rooted.join(crowded, "shingle")
+    picks = inside.where("root = main").groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", "shingle").alias("h"), "node", "size")).alias("p"))
+    pairs = inside.where("root <> main").join(picks, "shingle").where(F.least("size", "p.size") >= similarity * F.greatest("size", "p.size") - 1e-6)
+    return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), outside
+
+
+def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different roots that may be similar enough, by the first shingles that they share. What two sets
+    have in common lies in both firsts, or behind the firsts of the one whose firsts end earlier: so the number shared decides.
+    Of shingles with more than CROWDED pairs, the rows carry what their nodes share earlier (up to EARLIER shingles), and a
+    pair meets only at the first that it shares: there, what stands behind decides."""
+    stash = Stash(spark, "sizes")
+    rooted, sizes = by_class(shared, roots)
+    crowded = F.col("outside") * F.col("n") > CROWDED
+    sizes = stash.put(sizes.select("shingle", "main", crowded.alias("crowded"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    sized = rooted.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_SHINGLES else sizes, "shingle")
+    sized = stash.put(sized)
+    crowds = sized.where("crowded").groupBy("node").agg(F.count("*").alias("k"))
+    lists = sized.join(crowds, "node").groupBy("node").agg(F.max("k").alias("k"), F.collect_list(F.struct("pos", "shingle")).alias("held")).where(F.size("held") <= EARLIER)  # first shingles of one text
+    lists = stash.put(lists)
+    before = F.transform(F.filter("held", lambda x: x["pos"] < F.col("pos")), lambda x: x["shingle"])
+    thick = sized.where("crowded").join(lists.drop("k"), "node", "left").withColumn("before", before).drop("held")
+    larger, both = F.greatest("size_a", "size_b"), F.col("size_a") + F.col("size_b")
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
-    pairs = a.join(b, ["shingle", "block"]).where((F.col("root_a") != F.col("root_b")) & once & sized_alike)
-    # of two sets, all that is common to both lies in both firsts, or behind the firsts of the one whose firsts end earlier
-    behind = F.greatest("size_a", "size_b") - F.col("of_larger")
-    pairs = pairs.withColumn("of_larger", F.greatest("size_a", "size_b") - F.ceil(similarity * F.greatest("size_a", "size_b") - 1e-9) + 1)
-    counted = pairs.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.count("*").alias("n"), F.first(behind).alias("behind"), F.first(F.col("size_a") + F.col("size_b")).alias("both"))
-    out = Stash(spark, "exact").put(counted.where((1 + similarity) * (F.col("n") + F.col("behind")) >= similarity * F.col("both") - 1e-6).select("a", "b"))
+    alike = (F.col("root_a") != F.col("root_b")) & once & (F.least("size_a", "size_b") >= similarity * larger - 1e-6)
+
+    def met(df: DataFrame, kept: Column, sure: Column, more: tuple[str, ...] = ()) -> DataFrame:
+        named = lambda d, x: d.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main", *more)))
+        a = named(df.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
+        b = named(df.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "b")
+        pairs = a.join(b, ["shingle", "block"]).where(alike & kept)
+        return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), sure.alias("sure"), F.ceil(similarity * larger - 1e-9).alias("behind"), both.alias("both"))
+
+    told = F.col("before_a").isNotNull() & F.col("before_b").isNotNull()
+    rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    first = ~F.arrays_overlap("before_a", "before_b") & ((1 + similarity) * rest >= similarity * both - 1e-6)
+    rows = met(sized.where("not crowded"), F.lit(True), F.lit(False)).unionByName(met(thick, ~told | first, told, ("pos", "before")))
+    counted = stash.put(rows.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.count_if(~F.col("sure")).alias("n"), F.first("behind").alias("behind"), F.first("both").alias("both")))
+    of = lambda x: lists.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}"))
+    uncounted = F.when(F.col("k_a").isNotNull() & F.col("k_b").isNotNull(), F.least("k_a", "k_b")).otherwise(0)  # crowded ones, where both have lists
+    enough = (1 + similarity) * (F.col("n") + uncounted + F.col("behind") - 1) >= similarity * F.col("both") - 1e-6
+    out = Stash(spark, "exact").put(counted.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("sure") | enough).select("a", "b"))
     stash.drop_older(0)
     return out
 
@@ -496,7 +565,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     # the row that shows a node's text, and stands for it: the same one wherever the node is met
     held = stash.put(kept.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("h")).select("node", "h.doc_id", "h.text_hash"))
     prints = stash.put(kept.groupBy("node").agg(F.first("fp").alias("fp")))
-    links = stash.put(near_links(prints, similarity, wide_plan(prints, similarity)))
+    links = near_links(spark, prints, similarity, wide_plan(prints, similarity))
     union = lambda pairs, known: stash.put(components(spark, pairs.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     rooted = lambda df, roots, x: df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
     apart = lambda pairs, roots: rooted(rooted(pairs, roots, "a"), roots, "b").where("root_a <> root_b").select("a", "b")
@@ -508,7 +577,14 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     roots = union(verified(spark, docs, held, apart(links, roots), similarity), roots)
     few = roots.count() <= BROADCAST_SHINGLES
     sets = kept.join(F.broadcast(roots) if few else roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "first", "often")
-    roots = union(verified(spark, docs, held, exact_pairs(spark, sets, similarity), similarity), roots)
+    shared = shared_firsts(spark, sets)
+    left = math.inf
+    while True:  # large families that probing left in several classes, as long as a round halves what stands outside
+        pairs, outside = star_pairs(spark, shared, roots, similarity)
+        if not outside or outside > left / 2:
+            break
+        roots, left = union(verified(spark, docs, held, pairs, similarity), roots), outside
+    roots = union(verified(spark, docs, held, exact_pairs(spark, shared, roots, similarity), similarity), roots)
     classes = Stash(spark, "classes").put(kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
     stash.drop_older(0)
     return classes

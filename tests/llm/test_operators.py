@@ -472,9 +472,10 @@ def joined(spark, texts, pairs):
     return [root[a] == root[b] for a, b in pairs], root.nunique()
 
 
-@pytest.mark.parametrize("block", [50, 4000])
-def test_near_dedup_finds_all_pairs_of_a_template_family(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+@pytest.mark.parametrize("block, crowded, earlier, family", [(50, 10_000, 64, 300), (4000, 10**9, 64, 300), (4000, 100, 64, 40), (4000, 100, 3, 300)])
+def test_near_dedup_finds_all_pairs_of_a_template_family(spark, monkeypatch, block, crowded, earlier, family):
+    for name, value in {"BLOCK": block, "CROWDED": crowded, "EARLIER": earlier, "FAMILY": family}.items():
+        monkeypatch.setattr(simhash, name, value)
     core = [f"core{i}" for i in range(160)]
     own = lambda i: [f"own{i}x{j}" for j in range(40)]  # noqa: E731  any two are at about 0.65
     texts = [" ".join(core + own(i)) for i in range(600)]
@@ -483,6 +484,34 @@ def test_near_dedup_finds_all_pairs_of_a_template_family(spark, monkeypatch, blo
     assert all(got) and classes == 600
 
 
+def test_near_dedup_of_a_family_at_the_limit_is_exact(spark, monkeypatch):
+    """Copies with a few changed words each, similar at 0.6 to 1: some reach the limit, and chains of them join the rest."""
+    monkeypatch.setattr(simhash, "CROWDED", 200)
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(250):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(1, 5), replace=False):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words[: 150 - int(rng.integers(0, 25))]))
+    root = simhash.near_classes(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").root
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    brute = list(range(len(texts)))
+
+    def top(i):
+        while brute[i] != i:
+            i = brute[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                brute[max(top(a), top(b))] = min(top(a), top(b))
+    want = [top(i) for i in range(len(sets))]
+    assert 1 < len(set(want)) < 100 and len(set(zip(want, root[range(len(sets))]))) == len(set(want)) == root.nunique()
+
+
 def test_near_dedup_finds_short_pairs(spark):
     words = [[f"w{i}x{j}" for j in range(9)] for i in range(300)]
     texts = [" ".join(w) for w in words] + [" ".join(w[:8]) for w in words]  # five and four shingles
