@@ -235,12 +235,13 @@ def readable_name(composed: Column) -> Column:
 
 
 def json_block(text: Column) -> Column:
-    """A fenced block if there is one; of it, from the first brace to the last."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(fenced != "", fenced).otherwise(text)
+    """A fenced block if there is one; of it, from the first brace to the last. Without such braces all of it, or '{}' for nothing."""
+    fence = r"(?is)```(?:json)?\s*(.*?)```"
+    body = F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text)
     start, back = F.instr(body, "{"), F.instr(F.reverse(body), "}")
     end = F.length(body) - back + 1
-    return F.when((start > 0) & (back > 0) & (end > start), F.substring(body, start, end - start + 1))
+    bare = F.regexp_replace(body, r"^\s+|\s+$", "")
+    return F.when((start > 0) & (back > 0) & (end > start), F.substring(body, start, end - start + 1)).otherwise(F.when(bare == "", "{}").otherwise(bare))
 
 
 #: The JSON types that an answer's fields must have, where they aren't null or missing.
@@ -249,8 +250,7 @@ ANSWER_FIELDS = {"name": ["STRING"], "role": ["STRING"], "affiliation": ["STRING
 
 def answer_json(text: Column) -> Column:
     """The answer's JSON as a variant; null if it can't be parsed, which counts as a failed call."""
-    block = json_block(text)
-    return F.try_parse_json(F.coalesce(block, F.when(F.trim(text) == "", "{}").otherwise(text)))
+    return F.try_parse_json(json_block(text))
 
 
 def response_persons(text: Column, doc_type: Column, self_name: Column | None = None) -> Column:

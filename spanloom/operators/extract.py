@@ -18,9 +18,10 @@ ROLE_PATTERNS = [
     ("committee", rf"(?i)심사\s*위원장|심사\s*위원|위원장|committee\s*member|{L}committee{R}|{L}examiner{R}|{L}chair{R}"),
 ]
 KOREAN, LATIN = r"[가-힣](?:\s?[가-힣]){1,3}", r"[A-Z][a-zA-Z]*\.?(?:\s+[A-Z][a-zA-Z]*\.?){1,3}"
-REFERENCES = r"(?is)^.(?:(?!references|참고\s*문헌|bibliography).)*"
+REFERENCES = r"references|참고\s*문헌|bibliography"
 STOP = rf"{L}abstract{R}|초록|keywords|{L}introduction{R}|서\s*론"
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}"
+EDGES = r"^\s+|\s+$"
 SEPARATOR = rf"(?i),|·|;|&|{L}and{R}"
 THESIS_PAGES, BLOCK, THESIS_CONFIDENCE, ARTICLE_CONFIDENCE = 2, 800, 0.9, 0.85
 #: What every extractor returns, so that mentions of all of them go into one table.
@@ -38,7 +39,7 @@ def found_names(segment: Column) -> Column:
 def thesis_people(docs: DataFrame) -> DataFrame:
     """docs: documentId, pages (pageNumber, text). Names beside the role words of the first two pages; one role a line."""
     pages = docs.select("documentId", F.posexplode(F.slice("pages", 1, THESIS_PAGES)).alias("p", "page"))
-    lines = pages.select("documentId", "p", F.col("page.pageNumber").alias("sourcePage"), F.posexplode(F.split("page.text", "[\n;]+")).alias("l", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    lines = pages.select("documentId", "p", F.col("page.pageNumber").alias("sourcePage"), F.posexplode(F.split("page.text", "[\n;]+")).alias("l", "line")).withColumn("line", F.regexp_replace("line", EDGES, "")).where("line <> ''")
     role, pattern = None, None
     for name, p in ROLE_PATTERNS:
         hit = F.col("line").rlike(p)
@@ -56,11 +57,12 @@ def thesis_people(docs: DataFrame) -> DataFrame:
 def article_people(docs: DataFrame) -> DataFrame:
     """docs: documentId, pages. Author lines of page 1 before the abstract: not the first line, every part of them a name."""
     text = F.coalesce(F.get("pages", 0)["text"], F.lit(""))
-    head = docs.select("documentId", F.get("pages", 0)["pageNumber"].alias("sourcePage"), F.regexp_extract(text, REFERENCES, 0).alias("text"))
-    cut = F.regexp_extract("text", rf"(?is)^(.+?)(?:{STOP})", 1)
+    before = lambda c, p: F.regexp_extract(c, rf"(?is)^(.*?)(?:{p})", 1)  # noqa: E731  what stands before the first hit
+    head = docs.select("documentId", F.get("pages", 0)["pageNumber"].alias("sourcePage"), F.when(before(text, REFERENCES) != "", before(text, REFERENCES)).otherwise(text).alias("text"))
+    cut = before("text", STOP)
     block = head.select("documentId", "sourcePage", F.when(cut != "", cut).otherwise(F.substring("text", 1, BLOCK)).alias("block"))
     domain = F.nullif(F.substring_index(F.regexp_extract("block", EMAIL, 0), "@", -1), F.lit(""))
-    lines = F.filter(F.transform(F.split("block", "\n+"), lambda v: F.trim(v)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("block", "\n+"), lambda v: F.regexp_replace(v, EDGES, "")), lambda x: x != "")
     each = block.select("documentId", "sourcePage", domain.alias("affiliation"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).alias("l", "line"))
     segments = F.filter(F.transform(F.split("line", SEPARATOR), rules.strip_markers), lambda s: s != "")
     signal = (F.size("segments") >= 2) | F.col("line").rlike(SEPARATOR) | F.col("line").rlike(r"(^|\s)[A-Z]\.?(\s|$)")

@@ -213,9 +213,9 @@ def source_dedupe(spark, sf_dir):
 
 # ---- names
 
-NAMES = ["이 준 호", "이  준  호", "김 철수", "  John   D.  Carter ", "이준호 (인)", "鄭周哲", "John 정", "J Carter", "Carter, John D.", "CK Kim", "Chang Kim", "J C", "", "Junho LEE", "이주영", "이조영", "박철수", "박철민", "정민", "정민호", "G. Hong", "Gildong Hong", "42"]
+NAMES = ["이 준 호", "이  준  호", "김 철수", "  John   D.  Carter ", "이준호 (인)", "鄭周哲", "John 정", "J Carter", "Carter, John D.", "CK Kim", "Chang Kim", "J C", "", "Junho LEE", "이주영", "이조영", "박철수", "박철민", "정민", "정민호", "G. Hong", "Gildong Hong", "42", "가 나", "J.  Núñez", "Núñez, José"]
 VALUES = "(values " + ", ".join("('" + n + "')" for n in NAMES) + ") v(name)"
-NORM = r"trim(regexp_replace(trim(regexp_replace(name, '[\s  　]+', ' ', 'g')), '\(\s*(인|서명|signature|seal)\s*\)', '', 'gi'))"
+NORM = r"trim(regexp_replace(trim(regexp_replace(nfc_normalize(name), '[\s  　]+', ' ', 'g')), '\(\s*(인|서명|signature|seal)\s*\)', '', 'gi'))"
 NORM_SQL = f"case when regexp_full_match({NORM}, '[가-힣]( [가-힣])+') then replace({NORM}, ' ', '') else {NORM} end"
 
 
@@ -234,64 +234,15 @@ def name_script(spark, sf_dir):
     return named(spark).select("name", names.script(names.normalize(F.col("name"))).alias("script"))
 
 
-@query()
-def name_parts(spark, sf_dir):
-    n = F.col("name")
-    return named(spark).select("name", names.key(n).alias("key"), names.initials_form(n).alias("initials"), names.completeness(n).alias("completeness"), names.parts(names.normalize(n)).alias("parts"))
-
-
-@query()
-def names_match_pairs(spark, sf_dir):
-    a = named(spark)
-    return a.crossJoin(F.broadcast(a.withColumnRenamed("name", "other"))).select("name", "other", names.matches(F.col("name"), F.col("other")).alias("match"))  # a fixed list
-
-
-JAMO = "array_to_string(list_transform(string_split({0}, ''), lambda c: case when c between '가' and '힣' then chr(cast(33 + (unicode(c) - 44032) // 588 as int)) || chr(cast(52 + (unicode(c) - 44032) % 588 // 28 as int)) || case when (unicode(c) - 44032) % 28 > 0 then chr(cast(73 + (unicode(c) - 44032) % 28 as int)) else '' end else c end), '')"
-
-
-@query(f"""with n as (select 3 k, s_suppkey id, chr(cast(44032 + s_suppkey * 29 % 11172 as int)) || chr(cast(44032 + s_suppkey * 588 % 11172 as int)) as name from supplier)
-select a.id a, b.id b, cast(levenshtein({JAMO.format('a.name')}, {JAMO.format('b.name')}) as int) distance from n a join n b on a.id % 10 = b.id % 10 and a.id < b.id""")
-def jamo_distance(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), hangul(F.col("s_suppkey")).alias("name"))
-    a, b = s.select(F.col("id").alias("a"), F.col("name").alias("x")), s.select(F.col("id").alias("b"), F.col("name").alias("y"))
-    return a.join(b, (F.col("a") % 10 == F.col("b") % 10) & (F.col("a") < F.col("b"))).select("a", "b", names.jamo_distance(F.col("x"), F.col("y")).alias("distance"))
-
-
 def hangul(n):
     """Two syllables from a number."""
     syllable = lambda k: F.decode(F.unhex(F.hex(44032 + n * k % 11172)), "UTF-16BE")
     return F.concat(syllable(29), syllable(588))
 
 
-@query()
-def near_duplicates(spark, sf_dir):
-    known = named(spark).select(F.lit("1").alias("applicant_id"), F.col("name").alias("canonical_name"))
-    syllables = read(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 2).cast("string").alias("applicant_id"), F.concat(F.lit("김"), hangul(F.pmod("s_suppkey", F.lit(40)))).alias("canonical_name"))
-    return resolve.near_duplicates(known.unionByName(syllables))
-
-
 # ---- resolution
 
 
-def mentions(spark, sf_dir):
-    j = persons(spark, sf_dir).join(documents(spark, sf_dir), "document_id")
-    return j.select(
-        "applicant_id", F.col("document_id").alias("doc_seq"), F.col("page").alias("person_seq"), hangul(F.col("name")).alias("nameRaw"), "role", F.lit(None).cast("string").alias("affiliation"), F.col("source_kind").alias("sourceKind"),
-        F.col("page").alias("sourcePage"), "confidence", F.lit(False).alias("isSelf"), F.col("document_id").cast("string").alias("documentId"), F.lit("").alias("filename"), F.col("doc_type").alias("docType"))
-
-
-@query(f"""select cast(o_custkey as varchar) applicant_id, chr(cast(44032 + l_suppkey * 29 % 11172 as int)) || chr(cast(44032 + l_suppkey * 588 % 11172 as int)) canonical_name,
-count(distinct struct_pack(a := l_orderkey, b := l_linenumber)) n_sources, count(distinct {ROLE_SQL}) n_roles from lineitem join orders on l_orderkey = o_orderkey group by 1, 2""")
-def entity_resolution(spark, sf_dir):
-    out = resolve.aggregate_people(mentions(spark, sf_dir).withColumn("applicant_id", F.col("applicant_id").cast("string")))
-    return out.select("applicant_id", "canonical_name", F.size("sources").cast("long").alias("n_sources"), F.size("roles").cast("long").alias("n_roles"))
-
-
-@query()
-def ambiguous_flags(spark, sf_dir):
-    return resolve.ambiguous_flags(resolve.aggregate_people(mentions(spark, sf_dir).withColumn("applicant_id", F.col("applicant_id").cast("string"))))
-
-
 @query("""with m as (select l_orderkey d, l_linenumber p, l_suppkey % 5 n, l_returnflag = 'N' printed from lineitem)
 select d document_id, p page, case when printed then null when exists(select 1 from m q where q.d = m.d and q.printed and q.n = m.n) then 'confirmed'
 when exists(select 1 from m q where q.d = m.d and q.printed) then 'mismatch' else 'unverifiable' end status from m""")
@@ -301,15 +252,6 @@ def cross_check(spark, sf_dir):
     return resolve.cross_check(m).select(F.col("documentId").alias("document_id"), "page", F.col("verificationStatus").alias("status"))
 
 
-@query("""with m as (select l_orderkey d, l_linenumber % 3 model, l_suppkey % 4 n from lineitem)
-select cast(d as varchar) document_id, count(distinct model) / 3 confidence, count(*) groups from m group by d, n having count(distinct model) >= 2""".replace("count(*) groups", "cast(1 as bigint) groups"))
-def ensemble_vote(spark, sf_dir):
-    p = persons(spark, sf_dir)
-    v = p.select(F.col("document_id").cast("string").alias("document_id"), (F.col("page") % 3).alias("model"), F.col("page").alias("person_seq"), hangul(F.pmod("name", F.lit(4))).alias("nameRaw"), "role", F.lit(None).cast("string").alias("affiliation"),
-                 F.col("source_kind").alias("sourceKind"), F.col("page").alias("sourcePage"), "confidence", F.lit(None).cast("double").alias("ocrConfidence"), F.lit(False).alias("isSelf"))
-    return resolve.ensemble_vote(v, 3, 2).select("document_id", "confidence", F.lit(1).cast("long").alias("groups"))
-
-
 # ---- texts
 
 FILES = ["2401-000001_[학위논문]_a study of regional planning (영문 박사).pdf", "2401-000001_hindex.png", "x/y/2401-000002_[학술논문] title (국문 석사).pdf", "mystery.bin", "a_b_c.HWPX", "notes.md"]
@@ -334,13 +276,6 @@ def parse_folder(spark, sf_dir):
     return spark.createDataFrame([(f,) for f in FOLDERS], "folder string").select("folder", rules.parse_folder(F.col("folder")).alias("p")).select("folder", "p.*")
 
 
-@query(f"""select doc_id, case when regexp_matches(text, '{rules.THESIS_CONTENT}') then 'degree_thesis' when regexp_matches(text, '{rules.PROJECT_CONTENT}') then 'research_project'
-when regexp_matches(text, '{rules.JOURNAL_CONTENT}') then 'journal_article' else 'unknown' end doc_type from documents""")
-def classify_doc(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    return read(spark, sf_dir, "documents").select("doc_id", rules.classify(none, none, none, F.col("text"))["doc_type"].alias("doc_type"))
-
-
 @query(rf"select doc_id, len(regexp_extract_all(text, '{extract.EMAIL}')) emails, split_part(regexp_extract(text, '{extract.EMAIL}'), '@', 2) as domain from documents")
 def author_block_emails(spark, sf_dir):
     found = F.regexp_extract_all("text", F.lit(f"({extract.EMAIL})"), 1)
@@ -364,16 +299,6 @@ def text_pages(spark, sf_dir, doc_type):
     return d.select(F.col("doc_id").cast("string").alias("documentId"), F.lit(doc_type).alias("docType"), F.array(page).alias("pages"))
 
 
-@query()
-def thesis_roles(spark, sf_dir):
-    return extract.rule_people(text_pages(spark, sf_dir, "degree_thesis"))
-
-
-@query()
-def article_authors(spark, sf_dir):
-    return extract.rule_people(text_pages(spark, sf_dir, "journal_article"))
-
-
 @query(r"""select page_id, replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') as text from pages""")
 def xml_text_runs(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", rules.xml_runs(F.col("html")).alias("text"))
@@ -389,32 +314,9 @@ def form_check(spark, sf_dir):
     return spark.createDataFrame([(p,) for p in PEOPLE], "s string").select("s", rules.is_person_name(F.col("s")).alias("person"))
 
 
-ANSWERS = ['```json\n{"persons":[{"name":"John Carter","role":"advisor","confidence":0.9}]}\n```', 'so: {"persons":[{"name":"A B"},{"name":null}]}', "nothing", '{"persons":[{"name":"이준호","sourceKind":"SEAL","confidence":7}]}']
-
-
-@query()
-def vlm_response_parse(spark, sf_dir):
-    a = spark.createDataFrame([(i, x) for i, x in enumerate(ANSWERS)], "id int, answer string")
-    return a.select("id", rules.json_block(F.col("answer")).alias("block"), F.posexplode_outer(rules.response_persons(F.col("answer"), F.lit("degree_thesis"))).alias("i", "p")).select("id", "block", "i", "p.*")
-
-
-@query("""with e as (select event_id, value / 100 - 0.5 x, value / 50 w from events), c as (select event_id, greatest(0.0, least(1.0, x)) x, greatest(0.0, least(1.0, w)) w from e)
-select event_id, x, least(w, 1 - x) w, cast(greatest(0, least(floor(x * 640 + 0.5), 639)) as bigint) as left_px from c""")
-def bbox_clamp(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", (F.col("value") / 100 - 0.5).alias("x"), (F.col("value") / 50).alias("w"))
-    box = rules.clamp_box(F.struct("x", F.lit(0.0).alias("y"), "w", F.lit(1.0).alias("h")))
-    return e.select("event_id", box.alias("b")).select("event_id", "b.x", "b.w", rules.crop(F.col("b"), F.lit(640), F.lit(480))["left"].alias("left_px"))
-
-
 # ---- queue
 
 
-@query()
-def rate_limit_blocks(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return queue.limited(e.select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.when(F.col("event_type") == "purchase", "success").otherwise("fail").alias("outcome")))
-
-
 @query("""with j as (select event_id, ts, case when event_type = 'click' then 'queued' else 'running' end status, event_id % 4 attempts from events), o as (select event_id from j where status = 'queued' order by ts, event_id limit 1)
 select cast(event_id as varchar) id, case when event_id in (from o) then case when attempts >= 3 then 'error' else 'running' end else status end status, cast(attempts + case when event_id in (from o) and attempts < 3 then 1 else 0 end as int) attempts from j""")
 def queue_state_machine(spark, sf_dir):
@@ -422,3 +324,6 @@ def queue_state_machine(spark, sf_dir):
     j = e.select(F.col("event_id").cast("string").alias("id"), F.lit("process").alias("type"), F.when(F.col("event_type") == "click", "queued").otherwise("running").alias("status"), F.col("props").alias("payload"), F.lit(0).alias("progress"),
                  (F.col("event_id") % 4).cast("int").alias("attempts"), F.lit(None).cast("string").alias("error"), F.col("ts").alias("created_at"))
     return queue.claim(j).select("id", "status", "attempts")
+
+
+from spanloom.plans import people_queries, state_queries  # noqa: E402, F401  they register their own

@@ -27,7 +27,11 @@ SCAN = f"path string, format string, pages array<{PAGE}>, pageCount int, hasText
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Every file under path as a row of pages; a file that can't be read gives a note, not a failure."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return scan_contents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def scan_contents(files: DataFrame) -> DataFrame:
+    """The same for a table of path and content."""
     typed = files.select("path", F.coalesce(rules.format_of(F.col("path")), F.lit("other")).alias("format"), "content")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -424,7 +428,12 @@ def _raw_name(info: zipfile.ZipInfo) -> bytes:
 def unzip(spark: SparkSession, path: str) -> DataFrame:
     """(archive, path, content, note) of every entry of the archives under path. An archive that can't be read, is beyond the caps or
     has an entry that leaves its root gives one row with a note and no path; an entry that can't be read is left out."""
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return unzip_contents(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path))
+
+
+def unzip_contents(archives: DataFrame) -> DataFrame:
+    """The same for a table of path and content."""
+    zips = archives.select("path", "content")
 
     def rows(batches):
         for b in batches:
