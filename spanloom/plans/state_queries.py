@@ -235,7 +235,7 @@ def hybrid_routes(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", rules.routes_to_text(F.array(page)).alias("to_text"))
 
 
-@query("""select event_id, case when event_id % 3 = 0 then null else '24' || event_id % 7 || '-' || event_id end external_id, case when event_id % 3 <> 0 then '24' || event_id % 7 end round, 'p.' || event_id % 9 || ' (' || cast(floor(value + 0.5) as bigint) || '%)' as label,
+@query("""select event_id, case when event_id % 3 = 0 then null else '24' || event_id % 7 || '-' || event_id end external_id, case when event_id % 3 <> 0 then '24' || event_id % 7 end round, 'p.' || event_id % 9 || ' (' || cast(floor(value / 100 * 100 + 0.5) as bigint) || '%)' as label,
   list_filter(['Seal', 'dog', 'SIGNATURE', 'handwriting'], lambda x: lower(x) in ('seal', 'signature', 'handwriting') and length(x) <= event_id % 12 + 3)::varchar kept from events""")
 def ids_and_labels(spark, sf_dir):
     e = read(spark, sf_dir, "events")
