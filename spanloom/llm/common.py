@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of our own, but only in a session of one machine:
+    on a cluster each executor would write to its own disk."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -38,6 +44,28 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_open: list[list[str]] = []
+
+
+def written(path: str) -> None:
+    """Notes a table or file that `scratch` takes."""
+    for paths in _open:
+        paths.append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever operators write to the shared folder inside is deleted at the end; results have to be written before."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
 @dataclass
 class Stash:
     """Tables written to the shared folder, which cut lineage and outlive any executor."""
@@ -45,9 +73,12 @@ class Stash:
     spark: SparkSession
     label: str
     paths: list[str] = field(default_factory=list)
+    lasting: bool = False  # not taken by scratch
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{self.label}-{uuid.uuid4().hex}"
+        if not self.lasting:
+            written(path)
         df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -95,6 +95,26 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
 
 
+def sigmoid(a: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(a, -30, 30)))
+
+
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk, with loss(f) = log(1 + exp(-f)): of the positives, and of the negatives, which the unlabelled
+    without their positives estimate and which counts as zero where it falls below."""
+    return prior * float(np.logaddexp(0, -fp).mean()), float(np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
+
+
+def slopes(fp: np.ndarray, fu: np.ndarray, prior: float | None) -> np.ndarray:
+    """Of the risk by each logit. Where the negatives' part is below zero, those of that part with its sign turned: a step back
+    up. prior None: of the ordinary logistic loss."""
+    if prior is None:
+        return np.concatenate([-sigmoid(-fp) / len(fp), sigmoid(fu) / len(fu)])
+    if risk(fp, fu, prior)[1] >= 0:
+        return np.concatenate([prior * (-sigmoid(-fp) - sigmoid(fp)) / len(fp), sigmoid(fu) / len(fu)])
+    return np.concatenate([prior * sigmoid(fp) / len(fp), -sigmoid(fu) / len(fu)])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Network:
     """prior None: an ordinary positive-versus-unlabelled fit, for estimating the prior."""
     rng = np.random.default_rng(SEED)
@@ -104,7 +124,6 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Ne
     shape = (WIDTH, HIDDEN)
     theta = [rng.normal(0, 1 / np.sqrt(WIDTH), shape), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v, t = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta], 0
-    sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -30, 30)))
     for _ in range(EPOCHS):
         up, uu = rng.permutation(len(p)), rng.permutation(len(u))
         for at in range(0, len(u), BATCH):
@@ -113,16 +132,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Ne
             x = np.concatenate([p[ip], u[iu]])
             hidden = np.tanh(x @ theta[0] + theta[1])
             f = hidden @ theta[2] + theta[3]
-            fp, fu = f[: len(ip)], f[len(ip) :]
-            # slopes of loss(f) = log(1 + exp(-f)) and of loss(-f)
-            if prior is None:
-                slope = np.concatenate([-sigmoid(-fp) / len(ip), sigmoid(fu) / len(iu)])
-            else:
-                rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-                if rest >= 0:
-                    slope = np.concatenate([prior * (-sigmoid(-fp) - sigmoid(fp)) / len(ip), sigmoid(fu) / len(iu)])
-                else:  # the estimate of the negatives' risk has gone below zero: step back up
-                    slope = np.concatenate([prior * sigmoid(fp) / len(ip), -sigmoid(fu) / len(iu)])
+            slope = slopes(f[: len(ip)], f[len(ip) :], prior)
             back = np.outer(slope, theta[2]) * (1 - hidden**2)
             grads = [x.T @ back + DECAY * theta[0], back.sum(0), hidden.T @ slope + DECAY * theta[2], np.array([slope.sum()])]
             t += 1

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Stash, shared_dir, small_batches, table
+from spanloom.llm.common import Stash, shared_dir, small_batches, table, written
 
 LEAST_BYTES = 0
 FILE_BYTES, SPLIT = 64 << 20, 1 << 24
@@ -240,7 +240,9 @@ def assemble(records: DataFrame, keep: tuple[str, ...] = ("record_id", "target_u
 
 def archived(spark: SparkSession, pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes the archive, reads it back, and returns a row for each page from what it holds."""
-    path = path or f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}.warc"
+    if path is None:
+        path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}.warc"
+        written(path)
     write_warc(spark, pages, path, least_bytes)
     slim = read_warc(spark, path).withColumn("block", F.when(F.col("type") == "metadata", F.col("block"))).drop("headers", "target_uri", "date", "content_type")
     seen = assemble(Stash(spark, "records").put(slim), ("block",))  # the files are parsed once
