@@ -3,12 +3,13 @@
 Ids come from the tokenizers library alone. A text of Latin-1 letters is cut at white space, and words at
 the places where the tokenizer's own pre-tokenizer cuts them; the ids of pieces and of short words are
 remembered. Any other text goes to
-the library whole. Memory is bounded: at CACHE entries the long pieces, which come up again the
+the library whole, and so does every text if the tokenizer's file says anything else of case, space or cuts. Memory is bounded: at CACHE entries the long pieces, which come up again the
 least, are forgotten.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -23,6 +24,19 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9\xb2\xb3\xb9\xbc
 SEPARATORS = b"\x1c\x1d\x1e\x1f"
 
 
+#: What a tokenizer's file has to say for words to be looked up one by one.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_words(definition: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and cuts words as PIECES does; any other reads texts whole."""
+    d = json.loads(definition)
+    steps = [x.get("type") for x in (d.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return steps == NORMALIZERS and bool(cuts) and cuts[0].get("pattern") == {"Regex": SPLIT} and cuts[0].get("behavior") == "Removed"
+
+
 def simple(text: str) -> bool:
     """Only Latin-1, no special token and none of the separators."""
     try:
@@ -77,10 +91,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = Known(self.tokenizer)
+        self.by_words = cuts_at_words(self.tokenizer.to_str())
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         get = self.known.__getitem__
-        return [b"".join(map(get, t.lower().split())) if simple(t) else self.whole(t) for t in texts]
+        return [b"".join(map(get, t.lower().split())) if self.by_words and simple(t) else self.whole(t) for t in texts]

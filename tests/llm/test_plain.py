@@ -211,6 +211,13 @@ def test_packed_ids_of_odd_rows(spark, odd):
     assert got == short
 
 
+def test_other_tokenizers_read_texts_whole():
+    texts = ["Two  Words\n", "don't UPPER 42", ""]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = Encoder(tokenizer_path(name))
+        assert e.by_words == name.startswith("word") and e.ids(texts) == [e.whole(t) for t in texts]
+
+
 def test_rank_bases_joined_or_broadcast(spark, monkeypatch):
     docs = table(spark, SF, "documents")
     many = packing.pack(spark, docs).agg(F.count("*"), F.countDistinct("sequence_id"), F.sum("offset")).first()
