@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import Stash
 
+EDGES_A_FILE = 200_000
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """edges: columns a, b of one type. Returns (node, root): every node that has an edge to another
@@ -18,19 +19,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     stash = Stash(spark, "components")
     down = stash.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
+    while (state := down.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != before:
+        before = state
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = stash.put(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = stash.put(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        state = down.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        down = stash.put(now.coalesce(1 + state[0] // EDGES_A_FILE))
         stash.drop_older()
-        if state == before:
-            break
-        before = state
     roots = down.select("v").distinct()
     return down.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

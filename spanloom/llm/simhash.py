@@ -24,7 +24,7 @@ shingle sets: first each node with its nearest, then those that still stand in t
 That makes one class of most copies, at a cost in proportion to the rows. An exact join then finds every
 pair that probing left out: shingles are put in one order, those common in a sample last; two
 sets as similar as asked for share some of their first shingles (`first_shingles`), enough of them for the
-rest to suffice. Pairs of different classes that do so are verified alike. A shared shingle costs the rows
+rest to suffice. Pairs of different classes that do so are verified alike, the best of every two classes first. A shared shingle costs the rows
 outside its largest class times all its rows; so where these are many, nodes outside are first compared with one
 member of that class for each shingle, which joins most of a large family. Common shingles are salted,
 pairs are dealt over blocks, and none is dropped. So every class is a component of the graph of all pairs at the limit or above.
@@ -56,9 +56,9 @@ CROWD = 64
 SEED = 42
 UNSURE = 3.0
 BROADCAST_TEXTS = 100_000
-SAMPLED_TEXTS, MOST_PARTS, MOST_COMMON = 5_000, 10, 2_000_000  # what the order of shingles is taken from; any order is right
+SAMPLED_TEXTS, MOST_PARTS, MOST_COMMON = 5_000, 10, 1_000_000  # what the order of shingles is taken from; any order is right
 BROADCAST_SHINGLES = 500_000
-BLOCK, FAMILY, CROWDED, EARLIER, NEXT = 4000, 300, 10_000, 64, 2
+BLOCK, FAMILY, CROWDED, EARLIER, NEXT, BEST, FEW_PAIRS = 4000, 300, 10_000, 64, 2, 8, 1000
 PIECE = 500
 
 
@@ -392,17 +392,18 @@ def near_links(spark: SparkSession, prints: DataFrame, similarity: float, probes
 
 def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are as similar as asked for. holders: (node, doc_id, text_hash), a row of each node.
-    Pairs are dealt by the components that they make, so that a text is sent once for all its pairs. A component of more than
-    FAMILY nodes is cut into blocks, and pairs are dealt by their two blocks: a task holds the sets of two blocks at most."""
+    Pairs are dealt by the smallest node near them, so that a text is sent once or twice for all its pairs. Where more than
+    FAMILY nodes meet, they are cut into blocks, and pairs are dealt by their two blocks: a task holds the sets of two at most."""
     stash = Stash(spark, "pairs")
     pairs = stash.put(pairs.select("a", "b").distinct())
-    found = components(spark, pairs)
-    sizes = found.groupBy("root").agg(F.ceil(F.count("*") / FAMILY).alias("blocks")).where("blocks > 1")
-    at = found.join(sizes, "root", "left").select("node", "root", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
-    of = lambda x, root: at.select(F.col("node").alias(x), *([F.col("root")] if root else []), F.col("block").alias(f"block_{x}"))
-    low, high = F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")
-    dealt = stash.put(pairs.join(of("a", True), "a").join(of("b", False), "b").select("root", low, high, "a", "b"))
-    wanted = dealt.select("root", "low", "high", F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("near"))
+    of = lambda x: near.select(F.col("node").alias(x), F.col("near").alias(f"near_{x}"))
+    placed = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("near_a", "near_b").alias("root"), "a", "b")
+    sizes = placed.groupBy("root").agg(F.ceil(F.least(2 * F.count("*"), F.approx_count_distinct("a") + F.approx_count_distinct("b")) / FAMILY).alias("blocks")).where("blocks > 1")
+    block = lambda x: F.pmod(F.xxhash64(x), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = stash.put(placed.join(sizes, "root", "left").select("root", F.least(block("a"), block("b")).alias("low"), F.greatest(block("a"), block("b")).alias("high"), "a", "b"))
+    wanted = dealt.select("root", "low", "high", F.col("a").alias("node")).unionByName(dealt.select("root", "low", "high", F.col("b").alias("node"))).distinct()
     placed = stash.put(wanted.join(holders, "node").withColumnsRenamed({"doc_id": "at_id", "text_hash": "at_hash"}))
     few = placed.count() <= BROADCAST_TEXTS
     known = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -504,10 +505,10 @@ def star_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, similar
 
 
 def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of different roots that may be similar enough, by the first shingles that they share. What two sets
+    """All pairs (a, b, score) of different roots that may be similar enough, by the first shingles that they share. What two sets
     have in common lies in both firsts, or behind the firsts of the one whose firsts end earlier: so the number shared decides.
     Of shingles with more than CROWDED pairs, the rows carry what their nodes share earlier (up to EARLIER shingles), and a
-    pair meets only at the first that it shares: there, what stands behind decides."""
+    pair meets only at the first that it shares: there, what stands behind decides. The score grows with what may be common."""
     stash = Stash(spark, "sizes")
     rooted, sizes = by_class(shared, roots)
     crowded = F.col("outside") * F.col("n") > CROWDED
@@ -523,22 +524,23 @@ def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, simila
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
     alike = (F.col("root_a") != F.col("root_b")) & once & (F.least("size_a", "size_b") >= similarity * larger - 1e-6)
 
+    rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+
     def met(df: DataFrame, kept: Column, sure: Column, more: tuple[str, ...] = ()) -> DataFrame:
-        named = lambda d, x: d.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main", *more)))
+        named = lambda d, x: d.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main", "pos", *more)))
         a = named(df.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
         b = named(df.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "b")
         pairs = a.join(b, ["shingle", "block"]).where(alike & kept)
-        return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), sure.alias("sure"), F.ceil(similarity * larger - 1e-9).alias("behind"), both.alias("both"))
+        return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), sure.alias("sure"), F.ceil(similarity * larger - 1e-9).alias("behind"), both.alias("both"), (rest / both).alias("score"))
 
     told = F.col("before_a").isNotNull() & F.col("before_b").isNotNull()
-    rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     first = ~F.arrays_overlap("before_a", "before_b") & ((1 + similarity) * rest >= similarity * both - 1e-6)
-    rows = met(sized.where("not crowded"), F.lit(True), F.lit(False)).unionByName(met(thick, ~told | first, told, ("pos", "before")))
-    counted = stash.put(rows.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.count_if(~F.col("sure")).alias("n"), F.first("behind").alias("behind"), F.first("both").alias("both")))
+    rows = met(sized.where("not crowded"), F.lit(True), F.lit(False)).unionByName(met(thick, ~told | first, told, ("before",)))
+    counted = stash.put(rows.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.count_if(~F.col("sure")).alias("n"), F.first("behind").alias("behind"), F.first("both").alias("both"), F.max("score").alias("score")))
     of = lambda x: lists.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}"))
     uncounted = F.when(F.col("k_a").isNotNull() & F.col("k_b").isNotNull(), F.least("k_a", "k_b")).otherwise(0)  # crowded ones, where both have lists
     enough = (1 + similarity) * (F.col("n") + uncounted + F.col("behind") - 1) >= similarity * F.col("both") - 1e-6
-    out = Stash(spark, "exact").put(counted.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("sure") | enough).select("a", "b"))
+    out = Stash(spark, "exact").put(counted.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("sure") | enough).select("a", "b", "score"))
     stash.drop_older(0)
     return out
 
@@ -566,7 +568,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     held = stash.put(kept.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("h")).select("node", "h.doc_id", "h.text_hash"))
     prints = stash.put(kept.groupBy("node").agg(F.first("fp").alias("fp")))
     links = near_links(spark, prints, similarity, wide_plan(prints, similarity))
-    union = lambda pairs, known: stash.put(components(spark, pairs.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    union = lambda pairs, known: known if not pairs.limit(1).count() else stash.put(components(spark, pairs.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     rooted = lambda df, roots, x: df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
     apart = lambda pairs, roots: rooted(rooted(pairs, roots, "a"), roots, "b").where("root_a <> root_b").select("a", "b")
     # first each node with its nearest candidate, then those whose ends are still apart
@@ -584,7 +586,19 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
         if not outside or outside > left / 2:
             break
         roots, left = union(verified(spark, docs, held, pairs, similarity), roots), outside
-    roots = union(verified(spark, docs, held, exact_pairs(spark, shared, roots, similarity), similarity), roots)
+    pairs, left = exact_pairs(spark, shared, roots, similarity), math.inf
+    while True:  # one link makes two classes one, so the best pairs of every two classes come first, as long as that makes what is left fewer
+        now = rooted(rooted(pairs, roots, "a"), roots, "b").where("root_a <> root_b")
+        n = now.count()
+        if not n or n > 0.75 * left or n <= FEW_PAIRS:
+            break
+        slot = F.pmod(F.xxhash64("a", "b"), F.lit(BEST)).alias("slot")
+        best = now.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b"), slot).agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.*")
+        best = stash.put(best)
+        roots, left = union(verified(spark, docs, held, best, similarity), roots), n
+        pairs = stash.put(pairs.join(best, ["a", "b"], "left_anti"))
+    if n:
+        roots = union(verified(spark, docs, held, now, similarity), roots)
     classes = Stash(spark, "classes").put(kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
     stash.drop_older(0)
     return classes
