@@ -78,10 +78,28 @@ def unzip_entries(spark, sf_dir):
 
 @query("select event_id, case event_id % 5 when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'text/plain; charset=utf-8' when 3 then 'image/jpeg' else 'application/octet-stream' end mime, case event_id % 5 when 0 then 'pdf' when 1 then 'image' when 2 then 'text' when 3 then 'image' end format from events")
 def file_types(spark, sf_dir):
-    name = F.concat(F.lit("x/"), F.col("event_type"), F.element_at(F.array(*map(F.lit, [".pdf", ".PNG", ".md", ".Jpeg", ".zip"])), (F.col("event_id") % 5 + 1).cast("int")))
+    name = F.concat(F.lit("x/"), F.col("event_type"), F.element_at(F.array(*map(F.lit, [".pdf", ".PNG", ".txt", ".Jpeg", ".zip"])), (F.col("event_id") % 5 + 1).cast("int")))
     return read(spark, sf_dir, "events").select("event_id", files.mime_type(name).alias("mime"), rules.format_of(name).alias("format"))
 
 
+HEADERS_SQL = r"""with f as (select c_custkey, (['pdf', 'PNG', 'hwp', 'txt', 'md'])[c_custkey % 5 + 1] ext, replace(c_name, '#', ' ') || ([' 이력서(1)', '''s "x"', '!~*_-+&'])[c_custkey % 3 + 1] as name from customer),
+g as (select *, case when c_custkey % 7 = 0 then 'document-' || substr('id' || c_custkey || '-0123456789', 1, 8) || '.' || lower(ext) else name || '.' || ext end n,
+  case lower(ext) when 'pdf' then 'application/pdf' when 'png' then 'image/png' when 'txt' then 'text/plain; charset=utf-8' else 'application/octet-stream' end t from f)
+select c_custkey, t content_type, case when t <> 'application/octet-stream' and c_custkey % 4 <> 0 then 'inline' else 'attachment' end || '; filename="' || regexp_replace(regexp_replace(n, '[^\x20-\x7e]', '_', 'g'), '["\\]', '_', 'g')
+  || '"; filename*=UTF-8''''' || replace(replace(replace(replace(replace(url_encode(n), '%21', '!'), '%2A', '*'), '%27', ''''), '%28', '('), '%29', ')') content_disposition from g"""
+
+
+@query(HEADERS_SQL)
+def file_headers(spark, sf_dir):
+    k = F.col("c_custkey")
+    ext = F.element_at(F.array(*map(F.lit, [".pdf", ".PNG", ".hwp", ".txt", ".md"])), (k % 5 + 1).cast("int"))
+    end = F.element_at(F.array(*map(F.lit, [" 이력서(1)", "'s \"x\"", "!~*_-+&"])), (k % 3 + 1).cast("int"))
+    name = F.concat(F.when(k % 7 == 0, "ㄱㄴ").otherwise(F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), end)), ext)
+    ident = F.concat(F.lit("id"), k.cast("string"), F.lit("-0123456789"))
+    served = files.file_headers(ident, name, F.concat(F.lit("/x/"), k.cast("string"), ext), k % 4 == 0)
+    return read(spark, sf_dir, "customer").select("c_custkey", served.alias("h")).select("c_custkey", "h.content_type", "h.content_disposition")
+
+
 @query("select c_custkey, c_name from customer where c_custkey = 7")
 def lookup_by_key(spark, sf_dir):
     return files.by_key(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 7)

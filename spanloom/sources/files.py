@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions import rules
+from spanloom.functions import names, rules
 
 # Fixed values.
 PDF_PAGES, TEXT_LEAST = 20, 12
@@ -529,7 +529,25 @@ def gpu_metrics(cards: DataFrame, processes: DataFrame, models: DataFrame) -> Da
     return out
 
 
-def mime_type(filename: Column) -> Column:
-    kinds = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "txt": "text/plain; charset=utf-8", "md": "text/plain; charset=utf-8"}
-    return F.coalesce(rules.lookup(kinds, F.lower(F.regexp_extract(filename, r"\.([^./\\]+)$", 1))), F.lit("application/octet-stream"))
+#: Fixed values.
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "pdf": "application/pdf", "txt": "text/plain; charset=utf-8"}
+UNESCAPED = {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+
 
+def mime_type(filename: Column) -> Column:
+    return F.coalesce(rules.lookup(MIME, F.lower(F.regexp_extract(filename, r"\.([^./\\]+)$", 1))), F.lit("application/octet-stream"))
+
+
+def file_headers(document_id: Column, filename: Column, filepath: Column, download: Column | None = None) -> Column:
+    """Struct of content_type and content_disposition of a served file: shown if a browser can, else (or if asked) saved, under its
+    own name if that is readable, in ASCII and in percent-encoded UTF-8."""
+    kind = mime_type(filepath)
+    ext = F.lower(F.regexp_extract(filepath, r"(\.[^./\\]+)$", 1))
+    name = F.coalesce(rules.readable_name(names.nfc(filename)), F.concat(F.lit("document-"), F.substring(document_id, 1, 8), ext))
+    plain = F.regexp_replace(F.regexp_replace(name, r"[^\x20-\x7e]", "_"), r'["\\]', "_")
+    encoded = F.url_encode(name)
+    for old, new in UNESCAPED.items():
+        encoded = F.replace(encoded, F.lit(old), F.lit(new))
+    shown_ = kind.rlike("^(image/|text/)|^application/pdf$") & ~(F.lit(False) if download is None else F.coalesce(download, F.lit(False)))
+    disposition = F.concat(F.when(shown_, "inline").otherwise("attachment"), F.lit('; filename="'), F.when(plain == "", F.concat(F.lit("document"), ext)).otherwise(plain), F.lit("\"; filename*=UTF-8''"), encoded)
+    return F.struct(kind.alias("content_type"), disposition.alias("content_disposition"))
