@@ -58,7 +58,7 @@ UNSURE = 3.0
 BROADCAST_TEXTS = 100_000
 SAMPLED_TEXTS, MOST_PARTS, MOST_COMMON = 5_000, 10, 1_000_000  # what the order of shingles is taken from; any order is right
 BROADCAST_SHINGLES = 500_000
-BLOCK, FAMILY, CROWDED, EARLIER, NEXT, BEST, FEW_PAIRS = 4000, 300, 10_000, 64, 2, 8, 1000
+BLOCK, FAMILY, CROWDED, EARLIER, NEXT, BEST = 4000, 300, 10_000, 64, 2, 8
 PIECE = 500
 
 
@@ -400,7 +400,8 @@ def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: Da
     near = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("near"))
     of = lambda x: near.select(F.col("node").alias(x), F.col("near").alias(f"near_{x}"))
     placed = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("near_a", "near_b").alias("root"), "a", "b")
-    sizes = placed.groupBy("root").agg(F.ceil(F.least(2 * F.count("*"), F.approx_count_distinct("a") + F.approx_count_distinct("b")) / FAMILY).alias("blocks")).where("blocks > 1")
+    sizes = stash.put(placed.groupBy("root").agg(F.ceil(F.least(2 * F.count("*"), F.approx_count_distinct("a") + F.approx_count_distinct("b")) / FAMILY).alias("blocks")).where("blocks > 1"))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SHINGLES else sizes  # the large ones only
     block = lambda x: F.pmod(F.xxhash64(x), F.coalesce("blocks", F.lit(1))).cast("int")
     dealt = stash.put(placed.join(sizes, "root", "left").select("root", F.least(block("a"), block("b")).alias("low"), F.greatest(block("a"), block("b")).alias("high"), "a", "b"))
     wanted = dealt.select("root", "low", "high", F.col("a").alias("node")).unionByName(dealt.select("root", "low", "high", F.col("b").alias("node"))).distinct()
@@ -505,7 +506,7 @@ def star_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, similar
 
 
 def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b, score) of different roots that may be similar enough, by the first shingles that they share. What two sets
+    """All pairs (a, b, score, root_a, root_b) of different roots that may be similar enough, by the first shingles that they share. What two sets
     have in common lies in both firsts, or behind the firsts of the one whose firsts end earlier: so the number shared decides.
     Of shingles with more than CROWDED pairs, the rows carry what their nodes share earlier (up to EARLIER shingles), and a
     pair meets only at the first that it shares: there, what stands behind decides. The score grows with what may be common."""
@@ -519,7 +520,8 @@ def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, simila
     lists = sized.join(crowds, "node").groupBy("node").agg(F.max("k").alias("k"), F.collect_list(F.struct("pos", "shingle")).alias("held")).where(F.size("held") <= EARLIER)  # first shingles of one text
     lists = stash.put(lists)
     before = F.transform(F.filter("held", lambda x: x["pos"] < F.col("pos")), lambda x: x["shingle"])
-    thick = sized.where("crowded").join(lists.drop("k"), "node", "left").withColumn("before", before).drop("held")
+    thick = sized.where("crowded").join(lists, "node", "left").withColumn("before", before).drop("held")
+    plain = sized.where("not crowded").join(lists.select("node", "k"), "node", "left")
     larger, both = F.greatest("size_a", "size_b"), F.col("size_a") + F.col("size_b")
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
     alike = (F.col("root_a") != F.col("root_b")) & once & (F.least("size_a", "size_b") >= similarity * larger - 1e-6)
@@ -527,20 +529,22 @@ def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, simila
     rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
 
     def met(df: DataFrame, kept: Column, sure: Column, more: tuple[str, ...] = ()) -> DataFrame:
-        named = lambda d, x: d.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main", "pos", *more)))
+        named = lambda d, x: d.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main", "pos", "k", *more)))
         a = named(df.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
         b = named(df.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "b")
         pairs = a.join(b, ["shingle", "block"]).where(alike & kept)
-        return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), sure.alias("sure"), F.ceil(similarity * larger - 1e-9).alias("behind"), both.alias("both"), (rest / both).alias("score"))
+        turned = F.col("node_a") > F.col("node_b")
+        uncounted = F.when(F.col("k_a").isNotNull() & F.col("k_b").isNotNull(), F.least("k_a", "k_b")).otherwise(0)  # crowded ones, where both have lists
+        enough = similarity / (1 + similarity) * both - F.ceil(similarity * larger - 1e-9) + 1 - uncounted - 1e-6  # of shared ones counted
+        return pairs.select(
+            F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.when(turned, F.col("root_b")).otherwise(F.col("root_a")).alias("root_a"),
+            F.when(turned, F.col("root_a")).otherwise(F.col("root_b")).alias("root_b"), sure.alias("sure"), enough.alias("enough"), (rest / both).alias("score"))
 
     told = F.col("before_a").isNotNull() & F.col("before_b").isNotNull()
     first = ~F.arrays_overlap("before_a", "before_b") & ((1 + similarity) * rest >= similarity * both - 1e-6)
-    rows = met(sized.where("not crowded"), F.lit(True), F.lit(False)).unionByName(met(thick, ~told | first, told, ("before",)))
-    counted = stash.put(rows.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.count_if(~F.col("sure")).alias("n"), F.first("behind").alias("behind"), F.first("both").alias("both"), F.max("score").alias("score")))
-    of = lambda x: lists.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}"))
-    uncounted = F.when(F.col("k_a").isNotNull() & F.col("k_b").isNotNull(), F.least("k_a", "k_b")).otherwise(0)  # crowded ones, where both have lists
-    enough = (1 + similarity) * (F.col("n") + uncounted + F.col("behind") - 1) >= similarity * F.col("both") - 1e-6
-    out = Stash(spark, "exact").put(counted.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("sure") | enough).select("a", "b", "score"))
+    rows = met(plain, F.lit(True), F.lit(False)).unionByName(met(thick, ~told | first, told, ("before",)))
+    counted = rows.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.count_if(~F.col("sure")).alias("n"), *(F.first(c).alias(c) for c in ("enough", "root_a", "root_b")), F.max("score").alias("score"))
+    out = Stash(spark, "exact").put(counted.where("sure or n >= enough").select("a", "b", "score", "root_a", "root_b"))
     stash.drop_older(0)
     return out
 
@@ -586,19 +590,17 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
         if not outside or outside > left / 2:
             break
         roots, left = union(verified(spark, docs, held, pairs, similarity), roots), outside
-    pairs, left = exact_pairs(spark, shared, roots, similarity), math.inf
-    while True:  # one link makes two classes one, so the best pairs of every two classes come first, as long as that makes what is left fewer
-        now = rooted(rooted(pairs, roots, "a"), roots, "b").where("root_a <> root_b")
-        n = now.count()
-        if not n or n > 0.75 * left or n <= FEW_PAIRS:
-            break
-        slot = F.pmod(F.xxhash64("a", "b"), F.lit(BEST)).alias("slot")
-        best = now.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b"), slot).agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.*")
-        best = stash.put(best)
-        roots, left = union(verified(spark, docs, held, best, similarity), roots), n
-        pairs = stash.put(pairs.join(best, ["a", "b"], "left_anti"))
-    if n:
-        roots = union(verified(spark, docs, held, now, similarity), roots)
+    pairs = exact_pairs(spark, shared, roots, similarity)
+    # one link makes two classes one, so the best pairs of every two classes come first
+    slot = F.pmod(F.xxhash64("a", "b"), F.lit(BEST)).alias("slot")
+    best = pairs.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b"), slot).agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p"))
+    best = stash.put(best.select("p.*"))
+    roots = union(verified(spark, docs, held, best, similarity), roots)
+    now = lambda x: roots.select(F.col("node").alias(f"root_{x}"), F.col("root").alias(f"now_{x}"))
+    met = pairs.select("root_a", "root_b").distinct().join(now("a"), "root_a", "left").join(now("b"), "root_b", "left")
+    two = stash.put(met.where(F.coalesce("now_a", "root_a") != F.coalesce("now_b", "root_b")).select("root_a", "root_b"))
+    rest = pairs.join(F.broadcast(two) if two.count() <= BROADCAST_SHINGLES else two, ["root_a", "root_b"], "left_semi").join(best, ["a", "b"], "left_anti")
+    roots = union(verified(spark, docs, held, rest, similarity), roots)
     classes = Stash(spark, "classes").put(kept.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
     stash.drop_older(0)
     return classes
