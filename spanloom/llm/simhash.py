@@ -399,7 +399,7 @@ def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: Da
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("near"))
     of = lambda x: near.select(F.col("node").alias(x), F.col("near").alias(f"near_{x}"))
-    placed = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("near_a", "near_b").alias("root"), "a", "b")
+    placed = stash.put(pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("near_a", "near_b").alias("root"), "a", "b"))
     sizes = stash.put(placed.groupBy("root").agg(F.ceil(F.least(2 * F.count("*"), F.approx_count_distinct("a") + F.approx_count_distinct("b")) / FAMILY).alias("blocks")).where("blocks > 1"))
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SHINGLES else sizes  # the large ones only
     block = lambda x: F.pmod(F.xxhash64(x), F.coalesce("blocks", F.lit(1))).cast("int")
@@ -483,11 +483,11 @@ def shared_firsts(spark: SparkSession, sets: DataFrame) -> DataFrame:
     return out
 
 
-def by_class(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def by_class(stash: Stash, shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """shared with each node's root, and of the shingles that still have several roots: main, the root with most rows,
     n, the rows, and outside, those of other roots."""
     few = roots.count() <= BROADCAST_SHINGLES
-    rooted = shared.join(F.broadcast(roots) if few else roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stash.put(shared.join(F.broadcast(roots) if few else roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     counts = rooted.groupBy("shingle", "root").agg(F.count("*").alias("k"))
     sizes = counts.groupBy("shingle").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("n"))
     return rooted, sizes.select("shingle", F.col("top.root").alias("main"), "n", (F.col("n") - F.col("top.k")).alias("outside")).where("outside > 0")
@@ -496,7 +496,7 @@ def by_class(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]
 def star_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, int]:
     """For shingles with more than CROWDED pairs to compare: each node outside the shingle's largest class with one member of
     that, another for each shingle. Returns the pairs (a, b) and how many rows stand outside."""
-    rooted, sizes = by_class(shared, roots)
+    rooted, sizes = by_class(Stash(spark, "rooted"), shared, roots)
     crowded = Stash(spark, "crowded").put(sizes.where(F.col("outside") * F.col("n") > CROWDED))
     outside = crowded.agg(F.sum("outside")).first()[0] or 0
     inside = rooted.join(crowded, "shingle")
@@ -511,7 +511,7 @@ def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, simila
     Of shingles with more than CROWDED pairs, the rows carry what their nodes share earlier (up to EARLIER shingles), and a
     pair meets only at the first that it shares: there, what stands behind decides. The score grows with what may be common."""
     stash = Stash(spark, "sizes")
-    rooted, sizes = by_class(shared, roots)
+    rooted, sizes = by_class(stash, shared, roots)
     crowded = F.col("outside") * F.col("n") > CROWDED
     sizes = stash.put(sizes.select("shingle", "main", crowded.alias("crowded"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     sized = rooted.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_SHINGLES else sizes, "shingle")
@@ -521,7 +521,6 @@ def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, simila
     lists = stash.put(lists)
     before = F.transform(F.filter("held", lambda x: x["pos"] < F.col("pos")), lambda x: x["shingle"])
     thick = sized.where("crowded").join(lists, "node", "left").withColumn("before", before).drop("held")
-    plain = sized.where("not crowded").join(lists.select("node", "k"), "node", "left")
     larger, both = F.greatest("size_a", "size_b"), F.col("size_a") + F.col("size_b")
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
     alike = (F.col("root_a") != F.col("root_b")) & once & (F.least("size_a", "size_b") >= similarity * larger - 1e-6)
@@ -529,22 +528,24 @@ def exact_pairs(spark: SparkSession, shared: DataFrame, roots: DataFrame, simila
     rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
 
     def met(df: DataFrame, kept: Column, sure: Column, more: tuple[str, ...] = ()) -> DataFrame:
-        named = lambda d, x: d.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main", "pos", "k", *more)))
+        named = lambda d, x: d.select("shingle", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "main", "pos", *more)))
         a = named(df.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a")
         b = named(df.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "b")
         pairs = a.join(b, ["shingle", "block"]).where(alike & kept)
         turned = F.col("node_a") > F.col("node_b")
-        uncounted = F.when(F.col("k_a").isNotNull() & F.col("k_b").isNotNull(), F.least("k_a", "k_b")).otherwise(0)  # crowded ones, where both have lists
-        enough = similarity / (1 + similarity) * both - F.ceil(similarity * larger - 1e-9) + 1 - uncounted - 1e-6  # of shared ones counted
+        enough = similarity / (1 + similarity) * both - F.ceil(similarity * larger - 1e-9) + 1 - 1e-6  # of first shingles shared
         return pairs.select(
             F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.when(turned, F.col("root_b")).otherwise(F.col("root_a")).alias("root_a"),
             F.when(turned, F.col("root_a")).otherwise(F.col("root_b")).alias("root_b"), sure.alias("sure"), enough.alias("enough"), (rest / both).alias("score"))
 
     told = F.col("before_a").isNotNull() & F.col("before_b").isNotNull()
     first = ~F.arrays_overlap("before_a", "before_b") & ((1 + similarity) * rest >= similarity * both - 1e-6)
-    rows = met(plain, F.lit(True), F.lit(False)).unionByName(met(thick, ~told | first, told, ("before",)))
+    rows = met(sized.where("not crowded"), F.lit(True), F.lit(False)).unionByName(met(thick, ~told | first, told, ("before",)))
     counted = rows.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.count_if(~F.col("sure")).alias("n"), *(F.first(c).alias(c) for c in ("enough", "root_a", "root_b")), F.max("score").alias("score"))
-    out = Stash(spark, "exact").put(counted.where("sure or n >= enough").select("a", "b", "score", "root_a", "root_b"))
+    of = lambda x: lists.select(F.col("node").alias(x), F.col("k").alias(f"k_{x}"))
+    uncounted = F.when(F.col("k_a").isNotNull() & F.col("k_b").isNotNull(), F.least("k_a", "k_b")).otherwise(0)  # crowded ones, where both have lists
+    known = counted.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    out = Stash(spark, "exact").put(known.where(F.col("sure") | (F.col("n") + uncounted >= F.col("enough"))).select("a", "b", "score", "root_a", "root_b"))
     stash.drop_older(0)
     return out
 
