@@ -59,7 +59,7 @@ BROADCAST_TEXTS = 100_000
 SAMPLED_TEXTS, MOST_PARTS, MOST_COMMON = 5_000, 10, 1_000_000  # what the order of shingles is taken from; any order is right
 BROADCAST_SHINGLES = 500_000
 BLOCK, FAMILY, CROWDED, EARLIER, NEXT, BEST = 4000, 300, 10_000, 64, 2, 8
-PIECE = 500
+PIECE = 200
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
