@@ -316,8 +316,11 @@ union all select key, rn, ts, outcome, allowed, case when not allowed then start
   from (select e.key, e.rn, e.ts, e.outcome, e.ts >= s.blocked allowed, s.start, s.fails, s.blocked, s.blocked > 0 or s.fails = 0 or e.ts - s.start > 900000 fresh from s join e on e.key = s.key and e.rn = s.rn + 1))
 select key, ts, outcome, allowed, blocked blocked_until from s where rn > 0""")
 def rate_limit_blocks(spark, sf_dir):
+    """Times are rounded to milliseconds as epoch_ms does, halves away from 1970; within one, the exact times order attempts."""
     e = read(spark, sf_dir, "events")
-    return queue.limited(e.select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "success").otherwise("fail").alias("outcome")))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ms = F.call_function("div", F.when(us < 0, us - 500).otherwise(us + 500), F.lit(1000))  # cuts off towards 0
+    return queue.limited(e.select(F.col("user_id").cast("string").alias("key"), ms.alias("ts"), F.struct(us, "event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "success").otherwise("fail").alias("outcome")))
 
 
 @query("""with recursive e as (select cast(user_id % 20 as varchar) key, cast(row_number() over (partition by user_id % 20 order by ts, event_id) as bigint) rn, event_type from events),

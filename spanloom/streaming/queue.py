@@ -153,15 +153,15 @@ LIMIT = "key string, ts long, outcome string, allowed boolean, blocked_until lon
 
 
 def limited(events: DataFrame) -> DataFrame:
-    """events: key, ts (ms), outcome, and seq to order attempts of one time (else those are ordered by outcome). Whether each
-    attempt was let in. A key's attempts stream through in order, with only the state kept."""
+    """events: key, ts (ms), outcome, and seq (of any type that sorts) to order attempts of one time (else those are ordered by
+    outcome). Whether each attempt was let in. A key's attempts stream through in order, with only the state kept."""
 
     def one(state: tuple[int, int, int], r: dict) -> tuple[tuple[int, int, int], tuple]:
         state, allowed = step(state, r["ts"], r["outcome"])
         return state, (r["key"], r["ts"], r["outcome"], allowed, state[2])
 
-    order = ["ts", "seq" if "seq" in events.columns else "outcome"]
-    return fold_rows(events.select("key", "ts", "outcome", *order[1:2]) if order[1] == "seq" else events.select("key", "ts", "outcome"), "key", order, (0, 0, 0), one, LIMIT)
+    unread = ("seq",) if "seq" in events.columns else ()
+    return fold_rows(events.select("key", "ts", "outcome", *unread), "key", ["ts", *(unread or ["outcome"])], (0, 0, 0), one, LIMIT, unread)
 
 
 def limited_stream(events: DataFrame) -> DataFrame:
