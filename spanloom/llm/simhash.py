@@ -169,8 +169,8 @@ def together(fps: DataFrame, bits: int) -> tuple[np.ndarray, int]:
             yield pd.DataFrame({"cell": np.arange(bits * bits), "n": total.ravel()})
 
     out, n = np.zeros(bits * bits), fps.count()
-    for cell, k in fps.select("fp").mapInPandas(rows, "cell int, n long").groupBy("cell").agg(F.sum("n")).toPandas().itertuples(index=False):
-        out[cell] = k  # bits x bits cells at most
+    cells = fps.select("fp").mapInPandas(rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # bits x bits at most
+    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return out.reshape(bits, bits), n
 
 
