@@ -22,7 +22,7 @@ thresholds at which a pair at the limit is probed with the chance PROBED. Member
 in order by further bits, and neighbours are candidates. Candidates near enough by distance are verified by their
 shingle sets: first each node with its nearest, then those that still stand in two classes.
 That makes one class of most copies, at a cost in proportion to the rows. An exact join then finds every
-pair that probing left out: shingles are put in one order, those common in a sample last; two
+pair that probing left out: shingles are put in one order, those in many rows last; two
 sets as similar as asked for share some of their first shingles (`first_shingles`), enough of them for the
 rest to suffice. Pairs of different classes that do so are verified alike, the best of every two classes first. A shared shingle costs the rows
 outside its largest class times all its rows; so where these are many, nodes outside are first compared with one
@@ -56,7 +56,7 @@ CROWD = 64
 SEED = 42
 UNSURE = 3.0
 BROADCAST_TEXTS = 100_000
-SAMPLED_TEXTS, MOST_PARTS, MOST_COMMON = 5_000, 10, 1_000_000  # what the order of shingles is taken from; any order is right
+RARE, RARE_STEPS, MOST_COMMON = 5_000, 10, 1_000_000  # what the order of shingles tells apart; any order is right
 BROADCAST_SHINGLES = 500_000
 BLOCK, FAMILY, CROWDED, EARLIER, NEXT, BEST = 4000, 300, 10_000, 64, 2, 8
 PIECE = 200
@@ -437,19 +437,19 @@ def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: Da
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in three or more texts of a sample of one text in MOST_PARTS (more of small tables), sorted, and in about how
-    many rows of docs each is. The sample grows with the table, so what is common by number of rows stays so."""
-    parts = min(MOST_PARTS, max(1, docs.count() // SAMPLED_TEXTS))
-    texts = docs.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(parts)) == 0).select("text").distinct()
+    """Shingles in more than two rows of docs (up to RARE_STEPS times as many in large tables), sorted, and in how many rows each
+    is. All rows are counted. Which shingles are told apart, MOST_COMMON at most, only sets the order."""
+    least = 2 * min(RARE_STEPS, max(1, docs.count() // RARE))
 
     def rows(batches):
         for b in batches:
-            for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64))], ["shingle"])
+            made = [np.unique(shingle_hashes(t.as_py(), SHINGLE)) for t in b.column("text")]
+            shingle, n = np.unique(np.concatenate(made or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
-    counts = texts.mapInArrow(rows, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toPandas()
-    counts = counts.sort_values("shingle")
-    return counts["shingle"].to_numpy(np.int64), counts["count"].to_numpy(np.int64) * parts
+    counts = docs.select("text").mapInArrow(rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    counts = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow().sort_by("shingle")
+    return counts["shingle"].to_numpy(), counts["n"].to_numpy()
 
 
 def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:

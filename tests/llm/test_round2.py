@@ -1,10 +1,20 @@
-"""Components of small edge lists."""
+"""Near-dedup's order of shingles and its small edge lists."""
 
 import random
 
+import numpy as np
 import pytest
 
-from spanloom.llm import components
+from spanloom.llm import components, simhash
+
+
+def test_common_shingles_are_counted_in_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RARE", 10)
+    texts = [f"one two three four five {i} {i}a {i}b {i}c {i}d" for i in range(300)] + [f"six seven eight nine {i} ten" for i in range(5) for _ in range(25)] + [None, ""]
+    shingles, counts = simhash.common_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    want = {int(simhash.shingle_hashes("one two three four five", 5).view(np.int64)[0]): 300}
+    want |= {int(h): 25 for i in range(5) for h in simhash.shingle_hashes(f"six seven eight nine {i} ten", 5).view(np.int64)}
+    assert dict(zip(shingles.tolist(), counts.tolist())) == want and (np.diff(shingles) > 0).all()
 
 
 @pytest.mark.parametrize("most", [0, 200_000])
