@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Stash, small_batches, table
+from spanloom.llm.common import Stash, lean, small_batches, table
 from spanloom.llm.components import components
 
 BITS, WIDE = 64, 512
@@ -60,6 +60,7 @@ RARE, RARE_STEPS, MOST_COMMON = 5_000, 10, 1_000_000  # what the order of shingl
 BROADCAST_SHINGLES = 500_000
 BLOCK, FAMILY, CROWDED, EARLIER, NEXT, BEST = 4000, 300, 10_000, 64, 2, 8
 PIECE = 200
+PART_BYTES, LEAST_PART_BITS, MOST_PART_BITS = 3 << 20, 8, 14  # of text whose shingles are counted at a time
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -415,6 +416,7 @@ def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: Da
     sent = sent.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "kind")
 
     def rows(batches):
+        lean()
         at, sets = None, {}
         for b in batches:
             left, right = [], []
@@ -438,16 +440,49 @@ def verified(spark: SparkSession, docs: DataFrame, holders: DataFrame, pairs: Da
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles in more than two rows of docs (up to RARE_STEPS times as many in large tables), sorted, and in how many rows each
-    is. All rows are counted. Which shingles are told apart, MOST_COMMON at most, only sets the order."""
-    least = 2 * min(RARE_STEPS, max(1, docs.count() // RARE))
-
-    def rows(batches):
+    is. All rows are counted. Which shingles are told apart, MOST_COMMON at most, only sets the order. A batch's shingles are
+    sent as one row for each part of the hashes, so that the JVM holds no row for a shingle; a part is counted at a time."""
+    n_rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    least = 2 * min(RARE_STEPS, max(1, n_rows // RARE))
+    part_bits = min(MOST_PART_BITS, max(LEAST_PART_BITS, ((size or 0) // PART_BYTES).bit_length()))
+    starts = np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)
+
+    def by_part(shingle, data):
+        ends = np.append(np.searchsorted(shingle, starts), len(shingle)) * (data.nbytes // max(1, len(shingle)))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+    def cut(batches):
+        lean()
         for b in batches:
             made = [np.unique(shingle_hashes(t.as_py(), SHINGLE)) for t in b.column("text")]
             shingle, n = np.unique(np.concatenate(made or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
-
-    counts = docs.select("text").mapInArrow(rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+            once, more = shingle[n == 1], shingle[n > 1]
+            pairs = np.column_stack([more, n[n > 1].astype(np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(starts), dtype=np.int32)), by_part(once, once), by_part(more, pairs)], ["part", "once", "more"])
+
+    def counted(once, more):
+        pairs = np.frombuffer(b"".join(more), np.uint64).reshape(-1, 2)
+        once = np.frombuffer(b"".join(once), np.uint64)
+        shingle, n = np.concatenate([once, pairs[:, 0]]), np.concatenate([np.ones(len(once), np.int64), pairs[:, 1].astype(np.int64)])
+        order = np.argsort(shingle)
+        shingle, n = shingle[order], n[order]
+        first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
+        n = np.add.reduceat(n, first) if len(first) else n
+        return pa.RecordBatch.from_arrays([pa.array(shingle[first][n > least].view(np.int64)), pa.array(n[n > least])], ["shingle", "n"])
+
+    def count(batches):
+        at, once, more = None, [], []
+        for b in batches:
+            for part, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                if part != at:
+                    yield counted(once, more)
+                    at, once, more = part, [], []
+                once.append(x)
+                more.append(y)
+        yield counted(once, more)
+
+    sent = docs.select("text").mapInArrow(cut, "part int, once binary, more binary").where("length(once) + length(more) > 0")
+    counts = sent.repartition("part").sortWithinPartitions("part").mapInArrow(count, "shingle long, n long")
     counts = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow().sort_by("shingle")
     return counts["shingle"].to_numpy(), counts["n"].to_numpy()
 
@@ -555,6 +590,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     common = spark.sparkContext.broadcast(common_shingles(small_batches(docs)))
 
     def rows(batches):
+        lean()
         for b in batches:
             for at in range(0, b.num_rows, PIECE):
                 part, made = b.slice(at, PIECE), []
@@ -569,6 +605,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, f"doc_id {kind}, text_hash long, node long, fp binary, size int, first array<long>, often array<long>")
     stash = Stash(spark, "wide")
     kept = stash.put(made)  # equal sets are one node
+    common.destroy()
     # the row that shows a node's text, and stands for it: the same one wherever the node is met
     held = stash.put(kept.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("h")).select("node", "h.doc_id", "h.text_hash"))
     prints = stash.put(kept.groupBy("node").agg(F.first("fp").alias("fp")))
@@ -579,7 +616,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
     # first each node with its nearest candidate, then those whose ends are still apart
     ends = links.select("a", "b", "apart").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
     nearest = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    none = spark.createDataFrame([], "node long, root long")
+    none = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))  # rows of a list would need Python workers of their own
     roots = union(verified(spark, docs, held, nearest, similarity), none)
     roots = union(verified(spark, docs, held, apart(links, roots), similarity), roots)
     few = roots.count() <= BROADCAST_SHINGLES

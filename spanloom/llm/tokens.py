@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from spanloom.llm.common import CACHES
+
 CACHE, SHORT, WORD = 1_000_000, 6, 10
 LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 #: The pre-tokenizer's pattern, restricted to lower-case Latin-1.
@@ -80,6 +82,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids, as bytes."""
 
